@@ -39,6 +39,7 @@ def load_all() -> None:
     from curata.plans import (  # noqa: F401
         corpus_queries,
         experiment_queries,
+        head_queries,
         metric_queries,
         source_queries,
         split_queries,
