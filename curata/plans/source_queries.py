@@ -1 +1,133 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for file sources and sinks.
+
+Each query first writes Spark-derived files from the test tables into a fresh
+folder below the shared checkpoint folder, then reads them with the source
+under test; the oracle is the SQL of the table that was written.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from curata.operators import labels as L
+from curata.plans.corpus_queries import notes_split
+from curata.plans.registry import register
+from curata.session import shared_dir
+from curata.sources import files as FS
+from curata.sources import tables as T
+
+
+@register("read_notes_csv", """
+SELECT note_id, task, text, array_to_string(labels, ',') AS labels FROM notes_docs""", ("notes_docs",))
+def q_read_notes_csv(spark, sf):
+    """Documents (multi-line text) written as note CSV and read back."""
+    path = shared_dir(spark, "notes-csv")
+    FS.write_notes_csv(T.notes_docs(spark, sf).select("note_id", "task", F.col("text").alias("TEXT"), "labels"),
+                       path)
+    n = FS.read_notes_csv(spark, path)
+    return n.select(F.col("note_id").cast("long").alias("note_id"), "task", "text",
+                    F.array_join("labels", ",").alias("labels"))
+
+
+@register("scan_task_dir", """
+SELECT note_id, lower(task) || '_fold_1' AS task, split FROM notes_split""", ("notes_split",))
+def q_scan_task_dir(spark, sf):
+    """One CSV folder per (task, split) named `{task}_fold_1_{split}.csv`; task and split from the name."""
+    path = shared_dir(spark, "task-dir")
+    s = notes_split(spark, sf).withColumn(
+        "file_key", F.concat(F.lower("task"), F.lit("_fold_1_"), F.col("split"), F.lit(".csv")))
+    FS.write_notes_csv(s.select("note_id", F.col("subject_id").alias("subject_id"), "labels", "file_key"), path,
+                       ("file_key",))
+    d = FS.scan_task_dir(spark, path)
+    return d.select(F.col("note_id").cast("long").alias("note_id"), "task", "split")
+
+
+@register("scan_stratified_dir", """
+SELECT note_id, split, CAST(len(list_distinct(labels)) AS INTEGER) AS n_hot
+FROM notes_split WHERE task IN ('BUILDING', 'MACHINERY')""", ("notes_split",))
+def q_scan_stratified_dir(spark, sf):
+    """S3: pre-split files with multi-hot labels, requested tasks only."""
+    path = shared_dir(spark, "strat-dir")
+    s = notes_split(spark, sf)
+    d = L.label_dictionary(T.notes_orders(spark, sf))
+    mh = L.multi_hot(L.labels_to_ids(s, d), L.num_labels(d))
+    out = mh.select("note_id", F.col("labels_ohe").alias("labels"),
+                    F.concat(F.lower("task"), F.lit("_strat_fold_"), F.col("split"), F.lit(".csv"))
+                    .alias("file_key"))
+    FS.write_notes_csv(out, path, ("file_key",))
+    r = FS.scan_stratified_dir(spark, path, ["building", "machinery"])
+    n_hot = F.aggregate("labels", F.lit(0.0), lambda a, x: a + x).cast("int")
+    return r.select(F.col("note_id").cast("long").alias("note_id"), "split", n_hot.alias("n_hot"))
+
+
+@register("read_label_universe",
+          "SELECT DISTINCT label FROM (SELECT unnest(labels) AS label FROM notes_orders) WHERE label IS NOT NULL",
+          ("notes_orders",))
+def q_read_label_universe(spark, sf):
+    """The label universe written as `{"all_D_codes": [...]}` and read back."""
+    path = shared_dir(spark, "universe")
+    FS.write_label_universe(L.label_universe(T.notes_orders(spark, sf)), path)
+    return FS.read_label_universe(spark, path)
+
+
+@register("read_three_splits", """
+SELECT note_id, split FROM notes_split WHERE split IN ('train', 'dev')""", ("notes_split",))
+def q_read_three_splits(spark, sf):
+    """Train and dev written, test missing (optional -> empty)."""
+    root = shared_dir(spark, "three")
+    s = notes_split(spark, sf)
+    for sp in ("train", "dev"):
+        FS.write_notes_csv(s.where(F.col("split") == sp).select("note_id", "labels"), f"{root}/{sp}")
+    r = FS.read_three_splits(spark, root + "/{split}")
+    return r.select(F.col("note_id").cast("long").alias("note_id"), "split")
+
+
+@register("read_code_list", """
+SELECT label AS ccs FROM (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM notes_orders)
+                          GROUP BY label ORDER BY n, label LIMIT 3)""", ("notes_orders",))
+def q_read_code_list(spark, sf):
+    """The three rarest labels written as a `ccs` code list and read back."""
+    path = shared_dir(spark, "codes")
+    n = T.notes_orders(spark, sf)
+    rare = (n.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy("n", "label").limit(3).select(F.col("label").alias("ccs")))
+    rare.write.mode("overwrite").option("header", "true").csv(path)
+    return FS.read_code_list(spark, path)
+
+
+@register("write_splits", "SELECT note_id, task FROM notes_split WHERE split = 'test'", ("notes_split",))
+def q_write_splits(spark, sf):
+    """Parquet partitioned by (task, split); reading one split prunes the other folders."""
+    path = shared_dir(spark, "splits")
+    FS.write_splits(notes_split(spark, sf).select("note_id", "task", "split", "labels"), path)
+    return spark.read.parquet(path).where(F.col("split") == "test").select("note_id", "task")
+
+
+@register("write_result_matrix", """
+SELECT train_step, eval_task, round(CAST(regexp_extract(cell, ': ([^}]+)}', 1) AS DOUBLE), 6) AS value,
+       'results_a_b_c_d_' || strftime(date_trunc('day', (SELECT min(ts) FROM events)), '%Y%m%d-%H%M%S') AS run
+FROM results_cells""", ("results_cells",))
+def q_write_result_matrix(spark, sf):
+    """Long result table written under its run id (stamp taken from the events clock)."""
+    from curata.functions.text import parse_result_cell
+    path = shared_dir(spark, "results")
+    first = T.table(spark, sf, "events").agg(F.date_trunc("day", F.min("ts"))).scalar()
+    long = (T.results_cells(spark, sf)
+            .select("train_step", "eval_task", F.round(parse_result_cell("cell"), 6).alias("value"))
+            .withColumn("ts", first))
+    FS.write_result_matrix(long, path, "a_b_c_d", "ts")
+    return spark.read.parquet(path).select("train_step", "eval_task", "value", "run")
+
+
+@register("read_result_dir", """
+SELECT r, count(*) AS n FROM (SELECT 'results_x_' || CAST(train_step % 2 AS VARCHAR) AS r FROM results_cells)
+GROUP BY r""", ("results_cells",))
+def q_read_result_dir(spark, sf):
+    """Two result tables in one folder, read with one glob; rows per source file group."""
+    from curata.functions.text import parse_result_cell
+    path = shared_dir(spark, "resdir")
+    long = T.results_cells(spark, sf).select("train_step", "eval_task", parse_result_cell("cell").alias("value"))
+    long = long.withColumn("run", F.concat(F.lit("results_x_"), (F.col("train_step") % 2).cast("string")))
+    long.write.mode("overwrite").partitionBy("run").parquet(path)
+    d = FS.read_result_dir(spark, path)
+    return d.groupBy(F.col("run").alias("r")).agg(F.count(F.lit(1)).alias("n"))
