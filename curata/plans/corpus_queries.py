@@ -279,3 +279,31 @@ FROM (SELECT split, min(n) AS smallest FROM (SELECT task, split, count(*) AS n F
       GROUP BY split)""", ("notes_split",))
 def q_split_size_cap(spark, sf):
     return L.split_size_cap(notes_split(spark, sf), {"train": 5000, "dev": 1000, "test": 1000})
+
+
+# ---- ST1 ----------------------------------------------------------------------------------------
+
+@register("grow_label_dictionary", """
+SELECT label_id, label FROM (VALUES (0, 'quality'), (1, 'toxic')) v0(label_id, label)
+WHERE label IN (SELECT unnest(labels) FROM notes_docs)
+UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY label) + 1 AS INTEGER) AS label_id, label
+FROM (SELECT DISTINCT unnest(labels) AS label FROM notes_orders)
+WHERE label NOT IN ('quality', 'toxic')""", ("notes_docs", "notes_orders"))
+def q_grow_label_dictionary(spark, sf):
+    """Batch form: the dictionary of the document labels grows by the order-note labels."""
+    from curata.streaming.labels import grow_dictionary
+    v0 = L.label_dictionary(T.notes_docs(spark, sf))
+    return grow_dictionary(v0, T.notes_orders(spark, sf).select(F.explode("labels").alias("label")))
+
+
+@register("grow_label_dictionary_stream")
+def q_grow_label_dictionary_stream(spark, sf):
+    """Stream form: order notes arrive as one file per task; one micro-batch per file."""
+    from curata.session import shared_dir
+    from curata.streaming.labels import latest_dictionary, run_dictionary_stream
+    src, store, ck = shared_dir(spark, "st-src"), shared_dir(spark, "st-dict"), shared_dir(spark, "st-ck")
+    n = T.notes_orders(spark, sf).select("note_id", "task", "labels")
+    n.repartition(1, "task").write.mode("overwrite").partitionBy("task").parquet(src)
+    run_dictionary_stream(spark, src, "note_id long, labels array<string>, task string", store, ck)
+    return latest_dictionary(spark, store)
