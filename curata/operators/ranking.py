@@ -43,17 +43,23 @@ def grid_bucket(x: Column, buckets: int = GRID_BUCKETS) -> Column:
 
 
 def two_level_row_number(df: DataFrame, groups: Sequence[str], bucket: Column,
-                         order: Sequence[Column], out: str = "rn") -> DataFrame:
+                         order: Sequence[Column], out: str = "rn", size_out: str | None = None) -> DataFrame:
     """Add `out` = row_number() over (partition by groups order by order...).
 
     `bucket` must be non-decreasing along `order` (e.g. a prefix of the first
-    sort key).  `order` must be a total order inside a group.
+    sort key).  `order` must be a total order inside a group.  With `size_out`
+    the row count of the group is added too (taken from the bucket counts, so
+    it costs no extra pass over the rows).
     """
     b = "__bucket"
     d = df.withColumn(b, bucket)
     counts = d.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__n"))
-    wb = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, b, F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
+    wg = Window.partitionBy(*groups)
+    wb = wg.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    cols = [*groups, b, F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off")]
+    if size_out:
+        cols.append(F.sum("__n").over(wg).alias(size_out))
+    offsets = counts.select(*cols)
     local = F.row_number().over(Window.partitionBy(*groups, b).orderBy(*order))
     return (d.withColumn("__local", local)
             .join(offsets, [*groups, b])

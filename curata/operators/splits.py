@@ -23,11 +23,11 @@ SPLITS = ("train", "dev", "test")
 
 
 def seeded_order(df: DataFrame, groups: Sequence[str], key: str, seed: int = DEFAULT_SEED,
-                 out: str = "rn") -> DataFrame:
+                 out: str = "rn", size_out: str | None = None) -> DataFrame:
     """Reproducible shuffled position (1-based) of each row inside its group."""
     d = df.withColumn("__h", seeded_hash(seed, key))
     return two_level_row_number(d, groups, hash_bucket(F.col("__h")),
-                                [F.col("__h"), F.col(key)], out).drop("__h")
+                                [F.col("__h"), F.col(key)], out, size_out).drop("__h")
 
 
 def label_strata(notes: DataFrame, key: str = "note_id", labels_col: str = "labels") -> DataFrame:
@@ -51,9 +51,7 @@ def stratified_split(notes: DataFrame, key: str = "note_id", labels_col: str = "
     """
     s = label_strata(notes, key, labels_col)
     g = [*groups, "stratum"]
-    ranked = seeded_order(s, g, key, seed, "__r")
-    sizes = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ranked.join(sizes, g)
+    ranked = seeded_order(s, g, key, seed, "__r", "__n")
     f = (F.col("__r") - 0.5) / F.col("__n")
     c1 = shares[0]
     c2 = round(shares[0] + shares[1], 10)

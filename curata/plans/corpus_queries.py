@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.operators import labels as L
+from curata.operators.head import checkpointed
 from curata.operators import splits as S
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
@@ -52,9 +53,15 @@ VIEWS["split_labels"] = (("notes_split", "label_dict"), """
 # ---- Spark helpers ---------------------------------------------------------------------------
 
 def notes_split(spark: SparkSession, sf: str) -> DataFrame:
-    """D1 over the labelled order notes (seed 42)."""
-    n = T.notes_orders(spark, sf).where(F.size("labels") > 0)
-    return S.stratified_split(n)
+    """D1 over the labelled order notes (seed 42).
+
+    The notes are read three times by the split (label support, rarest label,
+    rank) and the split is read again by most queries that use it, so both are
+    written once to the shared checkpoint folder (as the reference writes its
+    re-split files and reloads them).
+    """
+    n = checkpointed(T.notes_orders(spark, sf).where(F.size("labels") > 0))
+    return checkpointed(S.stratified_split(n))
 
 
 def _ids_str(c: str) -> F.Column:
