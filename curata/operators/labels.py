@@ -67,11 +67,28 @@ def note_labels(notes: DataFrame, dictionary: DataFrame, key: str = "note_id",
 
 
 def labels_to_ids(notes: DataFrame, dictionary: DataFrame, key: str = "note_id",
-                  labels_col: str = "labels", strict: bool = True) -> DataFrame:
+                  labels_col: str = "labels", strict: bool = True,
+                  carry: Sequence[str] | None = None) -> DataFrame:
     """Add `label_ids` (array<int>, in the order of the label list).
 
-    Notes whose labels are all unknown (lenient) keep an empty array.
+    Notes whose labels are all unknown (lenient) keep an empty array.  With
+    `carry` (narrow columns fixed per note, e.g. task) the notes are read once:
+    labels are exploded with empty lists kept, looked up, and gathered back per
+    note with the carried columns; the result has key + carry + label_ids.
+    Without it, the ids are joined back to all columns of `notes`.
     """
+    if carry is not None:
+        ex = notes.select(key, *carry, F.posexplode_outer(labels_col).alias("pos", "label"))
+        j = ex.join(dictionary, "label", "left")
+        unknown = F.col("label").isNotNull() & F.col("label_id").isNull()
+        if strict:
+            lid = F.when(unknown, F.raise_error(F.concat(F.lit("unknown label: "), F.col("label")))
+                         ).otherwise(F.col("label_id")).cast("int")
+            j = j.withColumn("label_id", lid)
+        ids = F.transform(F.sort_array(F.collect_list(F.when(F.col("label_id").isNotNull(),
+                                                              F.struct("pos", "label_id")))),
+                          lambda s: s["label_id"])
+        return j.groupBy(key, *carry).agg(ids.alias("label_ids"))
     long = note_labels(notes, dictionary, key, labels_col, strict)
     ids = (long.groupBy(key)
            .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label_id"))),

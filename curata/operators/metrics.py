@@ -140,7 +140,7 @@ def label_report(cells: DataFrame, group: Sequence[str] = G, score: str = "y_pro
     support = cells.groupBy(*g, "label_id").agg(F.sum("y_true").cast("long").alias("support"),
                                                 F.count(F.lit(1)).alias("n"))
     per = auroc_per_label(cells, g, score).select(*g, "label_id", "auroc")
-    macro = auroc_macro_weighted(cells, g, score).select(*g, "auroc_macro")
+    macro = per.groupBy(*g).agg(F.avg("auroc").alias("auroc_macro"))
     micro = auroc_micro(cells, g, score)
     loss = bce_loss(cells, g, logit).select(*g, F.col("loss_batch_mean").alias("loss"))
     return (support.join(per, [*g, "label_id"], "left")

@@ -148,8 +148,15 @@ def distinct_text_count(df: DataFrame, groups: Sequence[str] = ("task",)) -> Dat
 
 
 def dedup_text(df: DataFrame, key: str = "note_id", groups: Sequence[str] = ("task",)) -> DataFrame:
-    """One row per distinct text, the smallest key kept (deterministic keep-first)."""
-    return df.groupBy(*groups, "text").agg(F.min(key).alias(key))
+    """One row per distinct text, the smallest key kept (deterministic keep-first).
+
+    Grouped by the SHA-256 of the text (fixed-width keys hash and compare fast);
+    the text rides along as min(struct(key, text)), which the map-side partial
+    aggregate already reduces to one row per distinct text and map task.
+    """
+    first = F.min(F.struct(F.col(key), F.col("text"))).alias("__f")
+    return (df.groupBy(*groups, F.sha2("text", 256).alias("__h")).agg(first)
+            .select(*groups, F.col("__f.text").alias("text"), F.col(f"__f.{key}").alias(key)))
 
 
 def union_splits(*frames: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ that can be broadcast with a proven size; the note side is never collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from curata.functions.text import REASSEMBLED_HEADINGS, SECTIONS, extract_section, words
@@ -59,15 +61,8 @@ def build_vocab(docs: DataFrame, text: str = "text", max_size: int = 30000, min_
     return specials.unionByName(learned)
 
 
-def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str = "note_id", text: str = "text",
-                  max_len: int = MAX_LEN) -> DataFrame:
-    """[CLS] tokens [SEP], cut to max_len including both, padded with 0; mask 1/0.
-
-    The cut happens before the explode, so at most max_len - 2 rows per note are
-    joined with the (size-bounded) vocabulary and gathered back.
-    """
-    body = max_len - 2
-    toks = docs.select(key, F.slice(words(text), 1, body).alias("__t"))
+def _ids_by_join(toks: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """Token ids by explode -> broadcast join -> regroup (one shuffle of <= max_len rows per note)."""
     ex = toks.select(key, F.posexplode("__t").alias("pos", "token"))
     v = F.broadcast(vocab.where(F.col("token_id") > UNK).select("token", "token_id"))
     ids = (ex.join(v, "token", "left")
@@ -75,8 +70,41 @@ def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str = "note_id", text:
            .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK))
                                                                   .alias("id")))),
                             lambda s: s["id"]).alias("__ids")))
-    out = toks.select(key).join(ids, key, "left").withColumn(
-        "__ids", F.coalesce("__ids", F.array().cast("array<int>")))
+    return toks.select(key).join(ids, key, "left")
+
+
+def _ids_by_lookup(toks: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """Token ids by a dictionary lookup in an Arrow-batched pandas UDF: no explode, no shuffle.
+
+    The vocabulary is bounded by `max_size`, so it is collected once and sent
+    to executors as a broadcast variable; tokenisation stays in Spark.
+    """
+    spark = toks.sparkSession
+    table = {r["token"]: int(r["token_id"])
+             for r in vocab.where(F.col("token_id") > UNK).select("token", "token_id").collect()}
+    bc = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def lookup(tokens: pd.Series) -> pd.Series:
+        v = bc.value
+        return tokens.map(lambda ts: [v.get(t, UNK) for t in ts])
+
+    return toks.select(key, lookup("__t").alias("__ids"))
+
+
+def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str = "note_id", text: str = "text",
+                  max_len: int = MAX_LEN, method: str = "lookup") -> DataFrame:
+    """[CLS] tokens [SEP], cut to max_len including both, padded with 0; mask 1/0.
+
+    The cut happens in Spark before any id lookup, so at most max_len - 2 tokens
+    per note are looked up.  `method="lookup"` (default) maps tokens to ids in
+    place with the broadcast vocabulary; `method="join"` is the pure-SQL form
+    (explode, broadcast join, regroup) at the cost of one shuffle.
+    """
+    body = max_len - 2
+    toks = docs.select(key, F.slice(words(text), 1, body).alias("__t"))
+    ids = _ids_by_lookup(toks, vocab, key) if method == "lookup" else _ids_by_join(toks, vocab, key)
+    out = ids.withColumn("__ids", F.coalesce("__ids", F.array().cast("array<int>")))
     n = F.size("__ids") + 2
     input_ids = F.concat(F.array(F.lit(CLS)), F.col("__ids"), F.array(F.lit(SEP)),
                          F.array_repeat(F.lit(PAD), F.lit(max_len) - n))

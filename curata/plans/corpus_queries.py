@@ -102,7 +102,7 @@ LEFT JOIN (SELECT note_id, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY po
 @register("labels_to_ids_strict", _IDS_SQL.format(dict="label_dict"), ("label_dict",))
 def q_labels_to_ids_strict(spark, sf):
     n = T.notes_orders(spark, sf)
-    out = L.labels_to_ids(n, L.label_dictionary(n), strict=True)
+    out = L.labels_to_ids(n, L.label_dictionary(n), strict=True, carry=["task"])
     return out.select("note_id", "task", _ids_str("label_ids").alias("label_ids"),
                       F.size("label_ids").cast("int").alias("n_ids"))
 
@@ -116,7 +116,7 @@ def q_labels_to_ids_lenient(spark, sf):
     """Dictionary without the held-out codes: their labels are dropped, not an error."""
     n = T.notes_orders(spark, sf)
     d = L.label_dictionary(n).join(T.code_list(spark).withColumnRenamed("ccs", "label"), "label", "left_anti")
-    out = L.labels_to_ids(n, d, strict=False)
+    out = L.labels_to_ids(n, d, strict=False, carry=["task"])
     return out.select("note_id", "task", _ids_str("label_ids").alias("label_ids"),
                       F.size("label_ids").cast("int").alias("n_ids"))
 
@@ -136,7 +136,7 @@ LEFT JOIN (SELECT note_id, list(d.label_id) AS ids
 def _multi_hot_orders(spark, sf):
     n = T.notes_orders(spark, sf)
     d = L.label_dictionary(n)
-    return L.multi_hot(L.labels_to_ids(n, d), L.num_labels(d)), d
+    return L.multi_hot(L.labels_to_ids(n, d, carry=["task"]), L.num_labels(d)), d
 
 
 @register("multi_hot", _MULTI_HOT_SQL, ("label_dict",))
@@ -229,7 +229,7 @@ def q_filter_tasks(spark, sf):
     """The dictionary covers all tasks; the task filter comes after it (reference order)."""
     n = T.notes_orders(spark, sf)
     d = L.label_dictionary(n)
-    out = L.labels_to_ids(L.filter_tasks(n, ["AUTO", "MACH"], match="contains"), d)
+    out = L.labels_to_ids(L.filter_tasks(n, ["AUTO", "MACH"], match="contains"), d, carry=["task"])
     return out.select("note_id", "task", _ids_str("label_ids").alias("label_ids"),
                       F.size("label_ids").cast("int").alias("n_ids"))
 
@@ -248,9 +248,9 @@ WHERE NOT (split IN ('train', 'dev') AND label IN (SELECT ccs FROM code_list))""
           ("split_labels", "code_list"))
 def q_mask_zero_shot(spark, sf):
     s = notes_split(spark, sf)
-    d = L.label_dictionary(T.notes_orders(spark, sf))
-    long = L.note_labels(s, d).select("note_id", "label_id").distinct()
-    long = long.join(s.select("note_id", "split"), "note_id")
+    d = L.label_dictionary(s)      # the labelled notes carry every label of the corpus
+    long = (s.select("note_id", "split", F.explode(F.array_distinct("labels")).alias("label"))
+            .join(d, "label").select("note_id", "split", "label_id"))
     return L.mask_zero_shot(long, T.code_list(spark), d).select("note_id", "split", "label_id")
 
 
@@ -263,9 +263,9 @@ LEFT JOIN (SELECT task, split, label_id, count(*) AS n FROM split_labels GROUP B
   ON c.task = g.task AND c.split = g.split AND c.label_id = d.label_id""", ("split_labels",))
 def q_unused_labels(spark, sf):
     s = notes_split(spark, sf)
-    d = L.label_dictionary(T.notes_orders(spark, sf))
-    long = (L.note_labels(s, d).select("note_id", "label_id").distinct()
-            .join(s.select("note_id", "task", "split"), "note_id"))
+    d = L.label_dictionary(s)      # the labelled notes carry every label of the corpus
+    long = (s.select("note_id", "task", "split", F.explode(F.array_distinct("labels")).alias("label"))
+            .join(d, "label").select("note_id", "task", "split", "label_id"))
     groups = [(t, sp) for t in T.SEGMENTS for sp in S.SPLITS]
     return L.unused_labels(long, d, ["task", "split"], groups)
 

@@ -42,6 +42,22 @@ def get_spark(master: str | None = None, app: str = "curata",
     return spark
 
 
+# Settings for a large cluster (to put in the cluster's session configuration, not set here):
+# AQE coalesces the many initial shuffle partitions to ~advisory size, splits skewed
+# partitions of sort-merge joins, and turns joins with a small measured side into
+# broadcast joins (threshold below).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts; set to a local one only if unset."""
     root = spark.conf.get(_CHECKPOINT_KEY, None)
