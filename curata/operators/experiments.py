@@ -13,20 +13,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curata.operators.ranking import two_level_scan
+
 PATIENCE = 4           # the reference hard-codes 4 (its config value 3 is never read)
+EPOCH_BUCKET = 1024    # epochs per bucket of the two-level running maxima
 BATCH_SIZE = 8
 ACCUMULATION = 4
 
 
 def early_stop(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), patience: int = PATIENCE) -> DataFrame:
     """First epoch whose metric has not strictly improved on the running best for
-    `patience` epochs (mode max); the last epoch if that never happens."""
+    `patience` epochs (mode max); the last epoch if that never happens.
+
+    Both running maxima (best so far, last improving epoch) are two-level scans
+    over epoch buckets, so even a trial with a huge epoch log is spread over tasks.
+    """
     k = list(keys)
-    w = Window.partitionBy(*k).orderBy("epoch")
-    best_before = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    m = metrics.withColumn("__imp", best_before.isNull() | (F.col("value") > best_before))
-    m = m.withColumn("__last", F.max(F.when(F.col("__imp"), F.col("epoch")))
-                     .over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bucket = F.floor(F.col("epoch") / EPOCH_BUCKET).cast("int")
+    m = two_level_scan(metrics, k, bucket, [F.col("epoch")], "value", "__best_before", "max")
+    m = m.withColumn("__imp_epoch", F.when(F.col("__best_before").isNull()
+                                           | (F.col("value") > F.col("__best_before")), F.col("epoch")))
+    m = two_level_scan(m, k, bucket, [F.col("epoch")], "__imp_epoch", "__last", "max", inclusive=True)
     stop = F.min(F.when(F.col("epoch") - F.col("__last") >= patience, F.col("epoch")))
     return m.groupBy(*k).agg(F.coalesce(stop, F.max("epoch")).alias("stop_epoch"))
 

@@ -67,16 +67,52 @@ def two_level_row_number(df: DataFrame, groups: Sequence[str], bucket: Column,
             .drop(b, "__off", "__local"))
 
 
-def two_level_prefix_sum(df: DataFrame, groups: Sequence[str], bucket: Column,
-                         order: Sequence[Column], value: str, out: str) -> DataFrame:
-    """Add `out` = sum(value) over rows strictly before this one in `order` inside its group."""
+def two_level_scan(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column],
+                   value: str, out: str, agg: str = "sum", inclusive: bool = False) -> DataFrame:
+    """Running sum or max of `value` along `order` inside each group.
+
+    `inclusive=False` covers the rows strictly before this one; `True` includes
+    it.  Bucket totals give the part from earlier buckets; a window inside the
+    bucket gives the rest.  Null values are ignored, as by the plain window.
+    """
+    fn = {"sum": F.sum, "max": F.max}[agg]
     b = "__bucket"
     d = df.withColumn(b, bucket)
-    totals = d.groupBy(*groups, b).agg(F.sum(value).alias("__t"))
+    totals = d.groupBy(*groups, b).agg(fn(value).alias("__t"))
     wb = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, b, F.coalesce(F.sum("__t").over(wb), F.lit(0)).alias("__off"))
-    wl = Window.partitionBy(*groups, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.withColumn("__local", F.coalesce(F.sum(value).over(wl), F.lit(0)))
-            .join(offsets, [*groups, b])
-            .withColumn(out, F.col("__off") + F.col("__local"))
-            .drop(b, "__off", "__local"))
+    offsets = totals.select(*groups, b, fn("__t").over(wb).alias("__off"))
+    end = 0 if inclusive else -1
+    wl = Window.partitionBy(*groups, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    j = d.withColumn("__local", fn(value).over(wl)).join(offsets, [*groups, b])
+    if agg == "sum":
+        res = F.coalesce(F.col("__off"), F.lit(0)) + F.coalesce(F.col("__local"), F.lit(0))
+    else:
+        res = F.greatest(F.col("__off"), F.col("__local"))      # greatest skips nulls
+    return j.withColumn(out, res).drop(b, "__off", "__local")
+
+
+def two_level_prefix_sum(df: DataFrame, groups: Sequence[str], bucket: Column,
+                         order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """Add `out` = sum(value) over rows strictly before this one in `order` inside its group."""
+    return two_level_scan(df, groups, bucket, order, value, out, "sum", inclusive=False)
+
+
+def ordered_row_number(df: DataFrame, groups: Sequence[str], key: str, tiebreak: Sequence[str] = (),
+                       out: str = "rn", buckets: int = GRID_BUCKETS) -> DataFrame:
+    """row_number() over (partition by groups order by key, tiebreak...), two-level.
+
+    The bucket is a fixed grid over the [min, max] range of the key in each group
+    (numbers or timestamps), so it is monotone in the sort order.
+    """
+    g = list(groups)
+    dtype = df.schema[key].dataType.typeName()
+    if dtype.startswith("timestamp"):       # timestamp / timestamp_ntz: microseconds, monotone
+        k = F.unix_micros(F.col(key).cast("timestamp")).cast("double")
+    else:
+        k = F.col(key).cast("double")
+    rng = df.groupBy(*g).agg(F.min(k).alias("__lo"), F.max(k).alias("__hi"))
+    d = df.join(rng, g)
+    width = F.col("__hi") - F.col("__lo") + 1.0
+    bucket = F.least(F.floor((k - F.col("__lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
+    r = two_level_row_number(d, g, bucket, [F.col(key), *[F.col(c) for c in tiebreak]], out)
+    return r.drop("__lo", "__hi")

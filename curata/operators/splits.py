@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curata.operators.ranking import hash_bucket, seeded_hash, two_level_row_number
+from curata.operators.ranking import hash_bucket, ordered_row_number, seeded_hash, two_level_row_number
 
 DEFAULT_SEED = 42
 SPLIT_SHARES = (0.66, 0.17, 0.17)   # train, dev, test
@@ -94,17 +94,11 @@ def sample_n(df: DataFrame, n: int, key: str = "note_id", seed: int = DEFAULT_SE
 def batch_assign(df: DataFrame, groups: Sequence[str], key: str, batch_size: int = 8) -> DataFrame:
     """Batch number (0-based) of each row in key order inside its group; last batch short.
 
-    Buckets are a fixed grid over the key range of the group, so a big group is
-    ranked in many tasks; the result equals a single-window row number.
+    The rank is two-level (a grid over the key range of the group), so a big
+    group is ranked in many tasks; the result equals a single-window row number.
     """
-    g = list(groups)
-    rng = df.groupBy(*g).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    d = df.join(rng, g)
-    width = (F.col("__hi") - F.col("__lo")).cast("double") + 1.0
-    bucket = F.floor((F.col(key) - F.col("__lo")).cast("double") / width * 4096).cast("int")
-    r = two_level_row_number(d, g, bucket, [F.col(key)], "__r")
-    return r.withColumn("batch_id", F.floor((F.col("__r") - 1) / batch_size).cast("long")).drop(
-        "__r", "__lo", "__hi")
+    r = ordered_row_number(df, groups, key, out="__r")
+    return r.withColumn("batch_id", F.floor((F.col("__r") - 1) / batch_size).cast("long")).drop("__r")
 
 
 def head_per_group(df: DataFrame, groups: Sequence[str], key: str, n: int | str) -> DataFrame:
@@ -125,14 +119,9 @@ def head_per_split(df: DataFrame, caps: DataFrame, key: str, groups: Sequence[st
 
     Caps can be large (thousands), so the rank uses the two-level form.
     """
-    g = list(groups)
-    rng = df.groupBy(*g).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    d = df.join(rng, g)
-    width = (F.col("__hi") - F.col("__lo")).cast("double") + 1.0
-    bucket = F.floor((F.col(key) - F.col("__lo")).cast("double") / width * 4096).cast("int")
-    r = two_level_row_number(d, g, bucket, [F.col(key)], "__r")
+    r = ordered_row_number(df, groups, key, out="__r")
     return (r.join(caps.select("split", "size"), "split")
-            .where(F.col("__r") <= F.col("size")).drop("__r", "__lo", "__hi", "size"))
+            .where(F.col("__r") <= F.col("size")).drop("__r", "size"))
 
 
 def split_shares(df: DataFrame, groups: Sequence[str] = ("task",)) -> DataFrame:

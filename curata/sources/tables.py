@@ -97,12 +97,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def epoch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-epoch validation metric of a trial: events of one user and type in time order."""
-    ev = table(spark, sf_dir, "events")
-    w = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("event_type").alias("study"),
-                     F.col("user_id").alias("trial"),
-                     (F.row_number().over(w) - 1).cast("int").alias("epoch"),
-                     F.col("value"))
+    from curata.operators.ranking import ordered_row_number
+    ev = table(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id", "value")
+    r = ordered_row_number(ev, ["event_type", "user_id"], "ts", ["event_id"], out="__r")
+    return r.select(F.col("event_type").alias("study"),
+                    F.col("user_id").alias("trial"),
+                    (F.col("__r") - 1).cast("int").alias("epoch"),
+                    F.col("value"))
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
