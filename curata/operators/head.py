@@ -112,7 +112,8 @@ def _grad_pass(df: DataFrame, heads: np.ndarray, biases: np.ndarray, features: s
         yield pd.concat([out, pd.DataFrame({"trial": [-1], "label_id": [-1], "d": [-1], "v": [float(n)]})])
 
     parts = df.select(features, targets).mapInPandas(part, "trial int, label_id int, d int, v double")
-    summed = parts.groupBy("trial", "label_id", "d").agg(F.sum("v").alias("v")).collect()
+    summed = parts.groupBy("trial", "label_id", "d").agg(F.sum("v").alias("v")).collect()  # K*L*(D+1) rows
+    bc.unpersist()
     g = np.zeros((k, n_labels, dim))
     gb = np.zeros((k, n_labels))
     n = 0
