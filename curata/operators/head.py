@@ -5,9 +5,9 @@ protocol: a linear head with mean BCE, warm-started task after task, scored on
 every task.  The head (L x D doubles) is bounded by the model size, never by
 the data, so it travels to executors as a broadcast variable.  Each epoch is
 one distributed pass: ``mapInPandas`` turns an Arrow batch of feature rows
-into a partial gradient (numpy matrix product), the partials are summed by a
-``groupBy``, and only the summed gradient (L x (D+1) numbers) reaches the
-driver.  The feature table is checkpointed once, so every epoch re-reads it
+into a partial gradient (numpy matrix product), the partials are summed per
+chunk by a ``groupBy``, and only the summed gradient (L x (D+1) numbers)
+reaches the driver.  The feature table is checkpointed once, so every epoch re-reads it
 instead of re-running its lineage.
 """
 
@@ -78,14 +78,24 @@ def score_linear_head(df: DataFrame, head: Head, features: str = "embedding", ke
         "label_id", F.col("label_id").cast("int"))
 
 
+GRAD_CHUNK = 1024      # doubles per row of a partial gradient
+
+
 def _grad_pass(df: DataFrame, heads: np.ndarray, biases: np.ndarray, features: str, targets: str
                ) -> tuple[np.ndarray, np.ndarray, int]:
     """Summed BCE gradient of K heads at once: (K, L, D), (K, L) and the row count.
 
     heads: (K, L, D); biases: (K, L).  `targets` is array<int> of positive label ids.
+    Each task emits its partial gradient as rows of GRAD_CHUNK doubles (chunk id,
+    values); the chunks are summed per chunk id with numpy (applyInPandas), so the
+    shuffle carries tasks x model-size numbers in dense arrays, and the driver gets
+    one summed copy.  The input is coalesced (no shuffle) to at most one task per
+    core, which bounds the number of partials.
     """
     k, n_labels, dim = heads.shape
-    bc = df.sparkSession.sparkContext.broadcast((heads, biases))
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast((heads, biases))
+    size = k * n_labels * (dim + 1) + 1                       # gradient, bias gradient, row count
 
     def part(it):
         w, b = bc.value
@@ -105,26 +115,30 @@ def _grad_pass(df: DataFrame, heads: np.ndarray, biases: np.ndarray, features: s
                 g[t] += r.T @ x
                 gb[t] += r.sum(axis=0)
             n += len(pdf)
-        tt, ll, dd = np.meshgrid(np.arange(k), np.arange(n_labels), np.arange(dim + 1), indexing="ij")
-        vals = np.concatenate([g, gb[:, :, None]], axis=2)
-        out = pd.DataFrame({"trial": tt.ravel().astype("int32"), "label_id": ll.ravel().astype("int32"),
-                            "d": dd.ravel().astype("int32"), "v": vals.ravel()})
-        yield pd.concat([out, pd.DataFrame({"trial": [-1], "label_id": [-1], "d": [-1], "v": [float(n)]})])
-
-    parts = df.select(features, targets).mapInPandas(part, "trial int, label_id int, d int, v double")
-    summed = parts.groupBy("trial", "label_id", "d").agg(F.sum("v").alias("v")).collect()  # K*L*(D+1) rows
+        flat = np.concatenate([np.concatenate([g, gb[:, :, None]], axis=2).ravel(), [float(n)]])
+        starts = range(0, len(flat), GRAD_CHUNK)
+        yield pd.DataFrame({"chunk": [i // GRAD_CHUNK for i in starts],
+                            "vals": [flat[i:i + GRAD_CHUNK] for i in starts]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(np.stack(pdf["vals"].to_numpy()), axis=0)
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "vals": [total]})
+
+    src = df.select(features, targets)
+    cores = spark.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() > cores:
+        src = src.coalesce(cores)
+    schema = "chunk int, vals array<double>"
+    parts = src.mapInPandas(part, schema)
+    summed = parts.groupBy("chunk").applyInPandas(add, schema).collect()   # size / GRAD_CHUNK rows
     bc.unpersist()
-    g = np.zeros((k, n_labels, dim))
-    gb = np.zeros((k, n_labels))
-    n = 0
+    flat = np.zeros(size)
     for r in summed:
-        if r["trial"] < 0:
-            n = int(r["v"])
-        elif r["d"] == dim:
-            gb[r["trial"], r["label_id"]] = r["v"]
-        else:
-            g[r["trial"], r["label_id"], r["d"]] = r["v"]
-    return g, gb, n
+        v = np.asarray(r["vals"], dtype=np.float64)
+        flat[r["chunk"] * GRAD_CHUNK: r["chunk"] * GRAD_CHUNK + len(v)] = v
+    n = int(round(flat[-1]))
+    full = flat[:-1].reshape(k, n_labels, dim + 1)
+    return full[:, :, :dim].copy(), full[:, :, dim].copy(), n
 
 
 def lr_at(step: int, lr: float, warmup: int, total: int) -> float:

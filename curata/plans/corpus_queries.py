@@ -52,16 +52,27 @@ VIEWS["split_labels"] = (("notes_split", "label_dict"), """
 
 # ---- Spark helpers ---------------------------------------------------------------------------
 
-def notes_split(spark: SparkSession, sf: str) -> DataFrame:
-    """D1 over the labelled order notes (seed 42).
+def labelled_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The order notes with at least one label, written once to the shared checkpoint
+    folder and read back as Parquet (the view is a lineitem/part/orders/customer join
+    that the split reads three times)."""
+    return checkpointed(T.notes_orders(spark, sf).where(F.size("labels") > 0), "notes")
+
 
-    The split reads its notes three times (label support, rarest label, rank),
-    so the notes view (a lineitem/part/orders/customer join) is written once to
-    the shared checkpoint folder and read back as Parquet; the split itself
-    stays lazy (measured: materialising it too was slower at every use).
+def split_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(labelled notes, their D1 split with seed 42).
+
+    Lookups that need only the notes (label dictionary, task list) read the
+    Parquet notes instead of evaluating the split a second time.  The split
+    itself stays lazy (measured: materialising it too was slower at every use).
     """
-    n = checkpointed(T.notes_orders(spark, sf).where(F.size("labels") > 0), "notes")
-    return S.stratified_split(n)
+    n = labelled_notes(spark, sf)
+    return n, S.stratified_split(n)
+
+
+def notes_split(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 over the labelled order notes (seed 42)."""
+    return split_inputs(spark, sf)[1]
 
 
 def _ids_str(c: str) -> F.Column:
@@ -247,8 +258,8 @@ SELECT note_id, split, label_id FROM split_labels
 WHERE NOT (split IN ('train', 'dev') AND label IN (SELECT ccs FROM code_list))""",
           ("split_labels", "code_list"))
 def q_mask_zero_shot(spark, sf):
-    s = notes_split(spark, sf)
-    d = L.label_dictionary(s)      # the labelled notes carry every label of the corpus
+    n, s = split_inputs(spark, sf)
+    d = L.label_dictionary(n)      # the labelled notes carry every label of the corpus
     long = (s.select("note_id", "split", F.explode(F.array_distinct("labels")).alias("label"))
             .join(d, "label").select("note_id", "split", "label_id"))
     return L.mask_zero_shot(long, T.code_list(spark), d).select("note_id", "split", "label_id")
@@ -262,8 +273,8 @@ JOIN (SELECT DISTINCT task, split FROM notes_split) g ON TRUE
 LEFT JOIN (SELECT task, split, label_id, count(*) AS n FROM split_labels GROUP BY ALL) c
   ON c.task = g.task AND c.split = g.split AND c.label_id = d.label_id""", ("split_labels",))
 def q_unused_labels(spark, sf):
-    s = notes_split(spark, sf)
-    d = L.label_dictionary(s)      # the labelled notes carry every label of the corpus
+    n, s = split_inputs(spark, sf)
+    d = L.label_dictionary(n)      # the labelled notes carry every label of the corpus
     long = (s.select("note_id", "task", "split", F.explode(F.array_distinct("labels")).alias("label"))
             .join(d, "label").select("note_id", "task", "split", "label_id"))
     groups = [(t, sp) for t in T.SEGMENTS for sp in S.SPLITS]

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from curata.functions.text import parse_result_cell
 from curata.operators import experiments as E
-from curata.plans.corpus_queries import notes_split
+from curata.plans.corpus_queries import notes_split, split_inputs
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
 from curata.sources import tables as T
@@ -127,8 +127,8 @@ FROM (SELECT note_id, task FROM notes_split WHERE split = 'test') n,
       FROM (SELECT DISTINCT task FROM notes_split)) s
 GROUP BY ALL""", ("notes_split",))
 def q_eval_grid(spark, sf):
-    s = notes_split(spark, sf)
-    steps = s.select("task").distinct().select(
+    n, s = split_inputs(spark, sf)
+    steps = n.select("task").distinct().select(
         (F.row_number().over(Window.orderBy("task")) - 1).cast("int").alias("train_step"),
         F.col("task").alias("trained_task"))
     test = s.where(F.col("split") == "test").select("note_id", "task")

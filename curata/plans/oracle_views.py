@@ -50,12 +50,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "section_notes": ((), """
         SELECT doc_id AS note_id, lang AS task,
                CASE WHEN doc_id % 3 = 0 THEN
-                      'Chief Complaint: ' || split_part(text, chr(10), 1) || chr(10) || chr(10)
-                      || 'Present Illness: ' || split_part(text, chr(10), 2) || chr(10) || chr(10) || 'Plan: '
+                      'Chief Complaint: ' || text || chr(10) || chr(10) || 'Present Illness: ' || text
+                      || chr(10) || chr(10) || 'Discharge: '
                     WHEN doc_id % 3 = 1 THEN
-                      'Present Illness: ' || split_part(text, chr(10), 2) || chr(10) || chr(10) || 'Plan: '
+                      'Present Illness: ' || text || chr(10) || chr(10) || 'Discharge: '
                     ELSE
-                      'Chief Complaint: ' || split_part(text, chr(10), 1) || chr(10) || chr(10) || 'Plan: '
+                      'Medical History: ' || text || chr(10) || chr(10) || 'Brief Hospital Course' || chr(10)
+                      || text || chr(10) || chr(10) || 'Discharge: '
                END AS text
         FROM documents"""),
     "code_list": ((), """

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.operators import labels as L
-from curata.plans.corpus_queries import notes_split
+from curata.plans.corpus_queries import notes_split, split_inputs
 from curata.plans.registry import register
 from curata.session import shared_dir
 from curata.sources import files as FS
@@ -48,8 +48,8 @@ FROM notes_split WHERE task IN ('BUILDING', 'MACHINERY')""", ("notes_split",))
 def q_scan_stratified_dir(spark, sf):
     """S3: pre-split files with multi-hot labels, requested tasks only."""
     path = shared_dir(spark, "strat-dir")
-    s = notes_split(spark, sf)
-    d = L.label_dictionary(T.notes_orders(spark, sf))
+    n, s = split_inputs(spark, sf)
+    d = L.label_dictionary(n)
     mh = L.multi_hot(L.labels_to_ids(s, d), L.num_labels(d))
     out = mh.select("note_id", F.col("labels_ohe").alias("labels"),
                     F.concat(F.lower("task"), F.lit("_strat_fold_"), F.col("split"), F.lit(".csv"))

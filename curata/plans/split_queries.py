@@ -25,8 +25,8 @@ VIEWS["padded_split"] = (("notes_split",), f"""
                WHERE c.r <= z.k1 + z.k2) mv ON s.note_id = mv.note_id""")
 
 
-def padded(spark, sf):
-    return S.pad_split_to_multiple(notes_split(spark, sf))
+def padded(spark, sf, split=None):
+    return S.pad_split_to_multiple(notes_split(spark, sf) if split is None else split)
 
 
 @register("seeded_order", f"""
@@ -125,7 +125,7 @@ SELECT note_id, task FROM notes_split WHERE split = 'train'
   AND note_id NOT IN (SELECT note_id FROM padded_split WHERE moved)""", ("padded_split",))
 def q_rows_except(spark, sf):
     s = notes_split(spark, sf)
-    p = padded(spark, sf)
+    p = padded(spark, sf, s)
     moved = p.join(s.select("note_id", F.col("split").alias("old")), "note_id").where(F.col("split") != F.col("old"))
     return S.rows_except(s.where(F.col("split") == "train").select("note_id", "task"), moved)
 

@@ -134,17 +134,21 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents turned into sectioned notes; one part left out by doc_id % 3."""
+    """Documents turned into sectioned notes; every section holds the whole document text.
+
+    doc_id % 3 picks the layout: chief complaint + present illness; present
+    illness only; medical history + hospital course (heading without a colon).
+    Each note ends with a `Discharge:` heading so the last section is closed.
+    """
     docs = table(spark, sf_dir, "documents")
-    nl = "\n"
-    l1 = F.split_part(F.col("text"), F.lit(nl), F.lit(1))
-    l2 = F.split_part(F.col("text"), F.lit(nl), F.lit(2))
-    cc = F.concat(F.lit("Chief Complaint: "), l1, F.lit(nl + nl))
-    pi = F.concat(F.lit("Present Illness: "), l2, F.lit(nl + nl))
+    nl2 = "\n\n"
+    t = F.col("text")
     k = F.col("doc_id") % 3
-    text = (F.when(k == 0, F.concat(cc, pi, F.lit("Plan: ")))
-            .when(k == 1, F.concat(pi, F.lit("Plan: ")))
-            .otherwise(F.concat(cc, F.lit("Plan: "))))
+    text = (F.when(k == 0, F.concat(F.lit("Chief Complaint: "), t, F.lit(nl2 + "Present Illness: "), t,
+                                    F.lit(nl2 + "Discharge: ")))
+            .when(k == 1, F.concat(F.lit("Present Illness: "), t, F.lit(nl2 + "Discharge: ")))
+            .otherwise(F.concat(F.lit("Medical History: "), t, F.lit(nl2 + "Brief Hospital Course\n"), t,
+                                F.lit(nl2 + "Discharge: "))))
     return docs.select(F.col("doc_id").alias("note_id"), F.col("lang").alias("task"), text.alias("text"))
 
 
