@@ -282,13 +282,13 @@ def q_unused_labels(spark, sf):
 
 
 @register("split_support_by_label", """
-SELECT label, split, positives, positives / sum(positives) OVER (PARTITION BY label) AS share
+SELECT label, split, positives, round(positives / sum(positives) OVER (PARTITION BY label), 6) AS share
 FROM (SELECT label, split, count(DISTINCT note_id) AS positives FROM split_labels GROUP BY ALL)""",
           ("split_labels",))
 def q_split_support_by_label(spark, sf):
     s = notes_split(spark, sf)
     ex = s.select("note_id", "split", F.explode("labels").alias("label"))
-    return L.split_support_by_label(ex)
+    return L.split_support_by_label(ex).withColumn("share", F.round("share", 6))
 
 
 @register("split_size_cap", """
