@@ -180,8 +180,9 @@ WHERE p.positives > 0 AND p.positives < s.n""", ("label_dict",))
 def q_scorable_labels(spark, sf):
     n = T.notes_orders(spark, sf)
     d = L.label_dictionary(n)
-    long = (L.note_labels(n, d).join(n.select("note_id", "task"), "note_id")
-            .select("task", "note_id", "label_id").distinct())
+    # one read of the notes: distinct labels of each note, looked up, counted per (task, label)
+    long = (n.select("task", F.explode(F.array_distinct("labels")).alias("label"))
+            .join(d, "label").select("task", "label_id"))
     pos = long.groupBy("task", "label_id").agg(F.count(F.lit(1)).alias("positives"))
     sizes = n.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     sc = L.scorable_from_sparse(pos, sizes)

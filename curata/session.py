@@ -64,13 +64,17 @@ CLUSTER_CONF = {
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts; set to a local one only if unset."""
     root = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    try:
+        jsc = spark.sparkContext._jsc.sc()
+    except Exception:  # noqa: BLE001 - no JVM context in this client
+        jsc = None
+    if not root and jsc is not None:
+        jdir = jsc.getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
-    if not root:
+    if not root:                       # unset: only in local runs and tests
         root = tempfile.mkdtemp(prefix="curata-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, root)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if jsc is not None and not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 

@@ -54,3 +54,15 @@ def test_spread_only_below_core_count(spark):
     many = spark.range(0, 100, numPartitions=cores * 2)
     assert T.spread(few).rdd.getNumPartitions() == cores
     assert T.spread(many) is many
+
+
+def test_row_index_per_file_in_file_order(spark):
+    d = tempfile.mkdtemp(prefix="curata-rows-")
+    for f, n in (("a_fold_1_train.csv", 5), ("b_fold_1_dev.csv", 3), ("c_fold_1_test.csv", 4)):
+        pd.DataFrame({"text": [f"{f}-{i}\nline" for i in range(n)], "labels": ["['X']"] * n}).to_csv(
+            os.path.join(d, f), index=False)
+    r = FS.scan_task_dir(spark, d).select("file_name", "row_idx", "text", "task", "split").collect()
+    assert len(r) == 12
+    for x in r:
+        assert x["text"] == f"{x['file_name']}-{x['row_idx']}\nline"
+    assert {(x["task"], x["split"]) for x in r} == {("a_fold_1", "train"), ("b_fold_1", "dev"), ("c_fold_1", "test")}
