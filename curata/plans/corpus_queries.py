@@ -75,6 +75,11 @@ def notes_split(spark: SparkSession, sf: str) -> DataFrame:
     return split_inputs(spark, sf)[1]
 
 
+def dictionary_table(notes: DataFrame) -> DataFrame:
+    """The label dictionary as a small written table (read by several branches of a query)."""
+    return checkpointed(L.label_dictionary(notes), "labels-dict")
+
+
 def _ids_str(c: str) -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
@@ -146,7 +151,7 @@ LEFT JOIN (SELECT note_id, list(d.label_id) AS ids
 
 def _multi_hot_orders(spark, sf):
     n = T.notes_orders(spark, sf)
-    d = L.label_dictionary(n)
+    d = dictionary_table(n)
     return L.multi_hot(L.labels_to_ids(n, d, carry=["task"]), L.num_labels(d)), d
 
 
@@ -179,7 +184,7 @@ JOIN (SELECT task, count(*) AS n FROM notes_orders GROUP BY task) s ON p.task =
 WHERE p.positives > 0 AND p.positives < s.n""", ("label_dict",))
 def q_scorable_labels(spark, sf):
     n = T.notes_orders(spark, sf)
-    d = L.label_dictionary(n)
+    d = dictionary_table(n)
     # one read of the notes: distinct labels of each note, looked up, counted per (task, label)
     long = (n.select("task", F.explode(F.array_distinct("labels")).alias("label"))
             .join(d, "label").select("task", "label_id"))
