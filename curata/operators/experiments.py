@@ -24,17 +24,18 @@ def early_stop(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), pat
     """First epoch whose metric has not strictly improved on the running best for
     `patience` epochs (mode max); the last epoch if that never happens.
 
-    Both running maxima (best so far, last improving epoch) are two-level scans
-    over epoch buckets, so even a trial with a huge epoch log is spread over tasks.
+    The running best (inclusive) is non-decreasing, and it changes exactly at the
+    improving epochs; so each value of it is a plateau whose first epoch s is an
+    improvement.  Training stops at s + patience for the first plateau that lasts
+    that long.  One two-level running max (epoch buckets, so even a huge epoch log
+    is spread over tasks) and two partial aggregates; no second scan.
     """
     k = list(keys)
     bucket = F.floor(F.col("epoch") / EPOCH_BUCKET).cast("int")
-    m = two_level_scan(metrics, k, bucket, [F.col("epoch")], "value", "__best_before", "max")
-    m = m.withColumn("__imp_epoch", F.when(F.col("__best_before").isNull()
-                                           | (F.col("value") > F.col("__best_before")), F.col("epoch")))
-    m = two_level_scan(m, k, bucket, [F.col("epoch")], "__imp_epoch", "__last", "max", inclusive=True)
-    stop = F.min(F.when(F.col("epoch") - F.col("__last") >= patience, F.col("epoch")))
-    return m.groupBy(*k).agg(F.coalesce(stop, F.max("epoch")).alias("stop_epoch"))
+    m = two_level_scan(metrics, k, bucket, [F.col("epoch")], "value", "__best", "max", inclusive=True)
+    plateaus = m.groupBy(*k, "__best").agg(F.min("epoch").alias("__s"), F.max("epoch").alias("__e"))
+    stop = F.min(F.when(F.col("__e") - F.col("__s") >= patience, F.col("__s") + patience))
+    return plateaus.groupBy(*k).agg(F.coalesce(stop, F.max("__e")).cast("int").alias("stop_epoch"))
 
 
 def best_checkpoint(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), patience: int = PATIENCE
