@@ -29,20 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Rebalance a scan that plans fewer input splits than the session has cores.
 
     A file with one row group is read by one task however it is split, which
     leaves the other cores idle in CPU-heavy stages (tokenising, hashing).  On a
-    cluster a large table plans far more splits than cores and this is a no-op;
-    the round-robin shuffle is only added for small inputs.
+    cluster a large table plans far more splits than cores and this is a no-op.
+    Inputs below `min_bytes` (the optimizer's size estimate of the scan) are
+    left alone: for a small dimension table the extra stage costs more than it
+    saves.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         planned = df.rdd.getNumPartitions()
+        est = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = est if isinstance(est, int) else int(est.toString())
     except Exception:  # noqa: BLE001 - sessions without an RDD view (e.g. remote clients): leave as is
         return df
-    return df.repartition(cores) if planned < cores else df
+    return df.repartition(cores) if planned < cores and size >= min_bytes else df
 
 
 def notes_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,9 @@ def test_spread_only_below_core_count(spark):
     cores = spark.sparkContext.defaultParallelism
     few = spark.range(0, 100, numPartitions=1)
     many = spark.range(0, 100, numPartitions=cores * 2)
-    assert T.spread(few).rdd.getNumPartitions() == cores
-    assert T.spread(many) is many
+    assert T.spread(few, min_bytes=0).rdd.getNumPartitions() == cores
+    assert T.spread(few) is few                      # a tiny input is left alone
+    assert T.spread(many, min_bytes=0) is many
 
 
 def test_row_index_per_file_in_file_order(spark):
