@@ -33,3 +33,16 @@ def test_two_level_equals_window(spark, rows):
            .where((F.col("s_ex") != F.col("s0")) | (F.col("rn") != F.col("r0"))
                   | ~F.col("m_in").eqNullSafe(F.col("m0"))))
     assert bad.count() == 0
+
+
+def test_hot_group_is_ranked_per_bucket(spark):
+    """A group holding most rows is windowed per (group, bucket), not as one partition."""
+    df = spark.range(0, 5000).select(F.col("id").alias("k"),
+                                     F.when(F.col("id") % 10 < 8, "hot").otherwise("cold").alias("g"))
+    r = ordered_row_number(df, ["g"], "k", out="rn")
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "__bucket" in plan and "Window" in plan
+    hot_buckets = r.where(F.col("g") == "hot").select(F.floor(F.col("k") / 5000 * 4096)).distinct().count()
+    assert hot_buckets > 1000
+    w = Window.partitionBy("g").orderBy("k")
+    assert r.join(df.withColumn("r0", F.row_number().over(w)), ["k", "g"]).where("rn <> r0").count() == 0
