@@ -55,8 +55,8 @@ def q_best_checkpoint(spark, sf):
 @register("study_summary", """
 SELECT t.study, t.n_trials, t.n_pruned, t.n_complete, b.trial AS best_trial, round(b.value, 6) AS best_value,
        b.learning_rate AS best_learning_rate, b.warmup_steps AS best_warmup_steps
-FROM (SELECT study, count(*) AS n_trials, count_if(state = 'PRUNED') AS n_pruned,
-             count_if(state = 'COMPLETE') AS n_complete FROM trials GROUP BY study) t
+FROM (SELECT study, count(*) AS n_trials, CAST(count_if(state = 'PRUNED') AS BIGINT) AS n_pruned,
+             CAST(count_if(state = 'COMPLETE') AS BIGINT) AS n_complete FROM trials GROUP BY study) t
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY value DESC, trial) AS r
                           FROM trials WHERE state = 'COMPLETE') WHERE r = 1) b ON t.study = b.study""",
           ("trials",))

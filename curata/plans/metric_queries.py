@@ -66,7 +66,7 @@ def q_sigmoid(spark, sf):
     return T.preds(spark, sf).select("note_id", "label_id", r6(sigmoid("logit")).alias("p"))
 
 
-@register("threshold", "SELECT note_id, label_id, CASE WHEN y_prob >= 0.5 THEN 1.0 ELSE 0.0 END AS y_pred "
+@register("threshold", "SELECT note_id, label_id, CAST(CASE WHEN y_prob >= 0.5 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS y_pred "
           "FROM preds", ("preds",))
 def q_threshold(spark, sf):
     return T.preds(spark, sf).select("note_id", "label_id", threshold("y_prob").alias("y_pred"))

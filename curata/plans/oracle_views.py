@@ -44,8 +44,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "trials": ((), """
         SELECT event_type AS study, event_id AS trial,
                CASE WHEN event_id % 3 = 0 THEN 'PRUNED' ELSE 'COMPLETE' END AS state, value,
-               [5e-6, 1e-5, 2e-5, 3e-5, 5e-5, 8e-5][CAST(event_id % 6 AS INTEGER) + 1] AS learning_rate,
-               [0.0, 100.0, 250.0, 500.0, 750.0][CAST(event_id % 5 AS INTEGER) + 1] AS warmup_steps
+               CAST([5e-6, 1e-5, 2e-5, 3e-5, 5e-5, 8e-5][CAST(event_id % 6 AS INTEGER) + 1] AS DOUBLE)
+                   AS learning_rate,
+               CAST([0.0, 100.0, 250.0, 500.0, 750.0][CAST(event_id % 5 AS INTEGER) + 1] AS DOUBLE) AS warmup_steps
         FROM events"""),
     "section_notes": ((), """
         SELECT doc_id AS note_id, lang AS task,

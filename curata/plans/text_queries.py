@@ -157,7 +157,7 @@ def q_encode_tokens(spark, sf):
 
 
 @register("truncation_report", """
-SELECT lang AS task, count(*) AS notes, count_if(n > 510) AS truncated,
+SELECT lang AS task, count(*) AS notes, CAST(count_if(n > 510) AS BIGINT) AS truncated,
        CAST(sum(greatest(n - 510, 0)) AS BIGINT) AS tokens_lost
 FROM (SELECT lang, len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS n
       FROM documents)
