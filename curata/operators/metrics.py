@@ -96,18 +96,22 @@ def label_accuracy(cells: DataFrame, group: Sequence[str] = G, score: str = "y_p
                                (F.sum("right") / F.sum("n")).alias("acc_micro"))
 
 
-def _roc_area(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """Exact ROC area per `keys` with ties counted one half.
+def score_histogram(cells: DataFrame, keys: Sequence[str], score: str = "y_prob") -> DataFrame:
+    """Positives and negatives per distinct score: (keys, score, pos, neg).  A partial
+    aggregate, so a hot (key, score) pair leaves each map task as one row."""
+    return (cells.groupBy(*keys, score)
+            .agg(F.sum("y_true").cast("long").alias("pos"),
+                 F.sum(1 - F.col("y_true")).cast("long").alias("neg")))
+
 
-    1. collapse to distinct scores: (keys, score) -> positives, negatives;
-    2. negatives strictly below each score = bucketed prefix sum (see ranking);
-    3. area = sum(pos * (neg_below + neg_here / 2)) / (P * N).
+def area_from_histogram(hist: DataFrame, keys: Sequence[str], score: str = "y_prob") -> DataFrame:
+    """Exact ROC area per `keys` from a score histogram, ties counted one half.
+
+    negatives strictly below each score = bucketed prefix sum (see ranking);
+    area = sum(pos * (neg_below + neg_here / 2)) / (P * N).
     """
     k = list(keys)
-    per_score = (cells.groupBy(*k, score)
-                 .agg(F.sum("y_true").cast("long").alias("pos"),
-                      F.sum(1 - F.col("y_true")).cast("long").alias("neg")))
-    cum = two_level_prefix_sum(per_score, k, grid_bucket(F.col(score)), [F.col(score)], "neg", "neg_below")
+    cum = two_level_prefix_sum(hist, k, grid_bucket(F.col(score)), [F.col(score)], "neg", "neg_below")
     return (cum.groupBy(*k)
             .agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
                   / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auroc"),
@@ -115,6 +119,10 @@ def _roc_area(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
             .where((F.col("positives") > 0) & (F.col("negatives") > 0)))
 
 
+def _roc_area(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    return area_from_histogram(score_histogram(cells, keys, score), keys, score)
+
+
 def auroc_per_label(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob") -> DataFrame:
     """ROC area of every label with both classes; single-class labels are left out."""
     return _roc_area(cells, [*group, "label_id"], score)
@@ -135,13 +143,20 @@ def auroc_micro(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob
 
 def label_report(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob",
                  logit: str = "logit") -> DataFrame:
-    """Per label AUROC, support and kept flag, with the group's macro, micro AUROC and loss."""
+    """Per label AUROC, support and kept flag, with the group's macro, micro AUROC and loss.
+
+    One per-label score histogram feeds the per-label areas, the support, and
+    (summed over labels) the micro area, so the cells are aggregated once for
+    all three; the loss needs the logits and reads the cells again.
+    """
     g = list(group)
-    support = cells.groupBy(*g, "label_id").agg(F.sum("y_true").cast("long").alias("support"),
-                                                F.count(F.lit(1)).alias("n"))
-    per = auroc_per_label(cells, g, score).select(*g, "label_id", "auroc")
+    hist = score_histogram(cells, [*g, "label_id"], score)
+    support = hist.groupBy(*g, "label_id").agg(F.sum("pos").alias("support"),
+                                               (F.sum("pos") + F.sum("neg")).alias("n"))
+    per = area_from_histogram(hist, [*g, "label_id"], score).select(*g, "label_id", "auroc")
     macro = per.groupBy(*g).agg(F.avg("auroc").alias("auroc_macro"))
-    micro = auroc_micro(cells, g, score)
+    pooled = hist.groupBy(*g, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    micro = area_from_histogram(pooled, g, score).select(*g, F.col("auroc").alias("auroc_micro"))
     loss = bce_loss(cells, g, logit).select(*g, F.col("loss_batch_mean").alias("loss"))
     return (support.join(per, [*g, "label_id"], "left")
             .join(macro, g, "left").join(micro, g, "left").join(loss, g, "left")
