@@ -21,9 +21,17 @@ PAD, CLS, SEP, UNK = 0, 1, 2, 3
 MAX_LEN = 512
 
 
-def extract_sections(df: DataFrame, text: str = "text") -> DataFrame:
-    """add one column per admission section."""
-    return df.withColumns({name: extract_section(text, heading) for name, heading in SECTIONS})
+def extract_sections(df: DataFrame, text: str = "text", blank_brackets: bool = False) -> DataFrame:
+    """add one column per admission section.
+
+    `blank_brackets=True` empties sections that start with "[]" (the reference
+    meant to, but its assignment has no effect, so the default keeps them).
+    """
+    cols = {}
+    for name, heading in SECTIONS:
+        c = extract_section(text, heading)
+        cols[name] = F.when(c.startswith("[]"), F.lit("")).otherwise(c) if blank_brackets else c
+    return df.withColumns(cols)
 
 
 def filter_has_section(df: DataFrame) -> DataFrame:

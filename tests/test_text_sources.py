@@ -83,3 +83,9 @@ def test_vocab_and_encoding(spark):
     assert enc[1]["input_ids"] == [1, 4, 5, 4, 3, 2]            # cut to 4 tokens + CLS/SEP
     assert enc[2]["input_ids"] == [1, 4, 3, 2, 0, 0] and enc[2]["attention_mask"] == [1, 1, 1, 1, 0, 0]
     assert enc[3]["input_ids"] == [1, 2, 0, 0, 0, 0]
+
+
+def test_blank_brackets_flag(spark):
+    df = spark.createDataFrame([(1, "Chief Complaint: [] none\n\nPlan: x")], "note_id long, text string")
+    assert TX.extract_sections(df).first()["CHIEF_COMPLAINT"] == "[] none"
+    assert TX.extract_sections(df, blank_brackets=True).first()["CHIEF_COMPLAINT"] == ""
