@@ -24,15 +24,21 @@ def label_universe(notes: DataFrame, labels_col: str = "labels") -> DataFrame:
             .distinct())
 
 
-def label_dictionary(notes: DataFrame, labels_col: str = "labels") -> DataFrame:
+def label_dictionary(notes: DataFrame, labels_col: str = "labels", two_level: bool = False) -> DataFrame:
     """A2: dense ids from 0 in sorted label order.
 
-    The window is global, but it runs on the distinct label set only (the
-    label vocabulary, hundreds to tens of thousands of rows), never on notes.
+    The default window is global, but it runs on the distinct label set only
+    (the label vocabulary, hundreds to tens of thousands of rows), never on
+    notes.  `two_level=True` ranks a label set too large for one task by
+    buckets of its first two characters (monotone in the binary string order).
     """
-    return (label_universe(notes, labels_col)
-            .select((F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_id"),
-                    "label"))
+    labels = label_universe(notes, labels_col)
+    if two_level:
+        from curata.operators.ranking import two_level_row_number
+        r = two_level_row_number(labels, [], F.substring("label", 1, 2), [F.col("label")], "__rn")
+        return r.select((F.col("__rn") - 1).cast("int").alias("label_id"), "label")
+    return labels.select((F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_id"),
+                         "label")
 
 
 def labels_union(a: DataFrame, b: DataFrame, labels_col: str = "labels") -> DataFrame:

@@ -89,3 +89,13 @@ def test_batches(spark):
     df = spark.range(0, 21).select(F.col("id").alias("note_id"), F.lit("t").alias("task"))
     b = {r["note_id"]: r["batch_id"] for r in S.batch_assign(df, ["task"], "note_id").collect()}
     assert b[0] == 0 and b[7] == 0 and b[8] == 1 and b[20] == 2
+
+
+def test_two_level_dictionary_equals_global(spark, sf):
+    n = T.notes_orders(spark, sf)
+    a = {tuple(r) for r in L.label_dictionary(n).collect()}
+    b = {tuple(r) for r in L.label_dictionary(n, two_level=True).collect()}
+    assert a == b and len(a) > 0
+    odd = spark.createDataFrame([(1, ["é", "e", "Z", "a", "ab", "b", ""])], "note_id long, labels array<string>")
+    assert ({tuple(r) for r in L.label_dictionary(odd).collect()}
+            == {tuple(r) for r in L.label_dictionary(odd, two_level=True).collect()})
