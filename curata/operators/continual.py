@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.numeric import sigmoid
-from curata.operators.head import (Head, checkpointed, fit_linear_head, fit_linear_heads, head_catalogue_lookup,
-                                   head_from_rows, score_linear_head)
+from curata.operators.head import (Head, fit_linear_head, fit_linear_heads, head_catalogue_lookup, head_from_rows,
+                                   score_linear_head)
 from curata.operators.metrics import auroc_macro_weighted, auroc_micro
+from curata.session import checkpointed
 
 
 def prediction_cells(df: DataFrame, head: Head, features: str = "embedding", targets: str = "label_ids",

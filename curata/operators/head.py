@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from curata.session import shared_dir
 
 
 @dataclass
@@ -151,15 +150,6 @@ def lr_at(step: int, lr: float, warmup: int, total: int) -> float:
     return lr * max(0.0, (total - step) / (total - warmup))
 
 
-def checkpointed(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage of a table read many times: write it as Parquet below the shared
-    checkpoint folder and read it back (columnar, survives lost executors, and later
-    reads get column pruning and filter pushdown, which an RDD checkpoint does not)."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def fit_linear_heads(df: DataFrame, inits: Sequence[Head], lrs: Sequence[float], warmups: Sequence[int],
                      epochs: int, features: str = "embedding", targets: str = "label_ids",
                      on_epoch: Callable[[int, list[Head]], None] | None = None) -> list[Head]:

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.operators import labels as L
-from curata.operators.head import checkpointed
 from curata.operators import splits as S
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
+from curata.session import checkpointed, shared_dir
 from curata.sources import tables as T
+from curata.streaming.labels import grow_dictionary, latest_dictionary, run_dictionary_stream
 
 # ---- shared oracle views -------------------------------------------------------------------
 
@@ -311,7 +312,6 @@ FROM (SELECT DISTINCT unnest(labels) AS label FROM notes_orders)
 WHERE label NOT IN ('quality', 'toxic')""", ("notes_docs", "notes_orders"))
 def q_grow_label_dictionary(spark, sf):
     """Batch form: the dictionary of the document labels grows by the order-note labels."""
-    from curata.streaming.labels import grow_dictionary
     v0 = L.label_dictionary(T.notes_docs(spark, sf))
     return grow_dictionary(v0, T.notes_orders(spark, sf).select(F.explode("labels").alias("label")))
 
@@ -319,8 +319,6 @@ def q_grow_label_dictionary(spark, sf):
 @register("grow_label_dictionary_stream")
 def q_grow_label_dictionary_stream(spark, sf):
     """Stream form: order notes arrive as one file per task; one micro-batch per file."""
-    from curata.session import shared_dir
-    from curata.streaming.labels import latest_dictionary, run_dictionary_stream
     src, store, ck = shared_dir(spark, "st-src"), shared_dir(spark, "st-dict"), shared_dir(spark, "st-ck")
     n = T.notes_orders(spark, sf).select("note_id", "task", "labels")
     n.repartition(1, "task").write.mode("overwrite").partitionBy("task").parquet(src)

@@ -17,7 +17,7 @@ from curata.operators import head as Hd
 from curata.operators import splits as S
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
-from curata.session import shared_dir
+from curata.session import checkpointed, shared_dir
 from curata.sources import tables as T
 
 EPOCHS = 5
@@ -84,7 +84,7 @@ def q_score_linear_head(spark, sf):
 def q_fit_linear_head(spark, sf):
     v = vector_notes(spark, sf)
     n_labels, dim = _shape(v)
-    train = Hd.checkpointed(v.where(F.col("split") == "train"))
+    train = checkpointed(v.where(F.col("split") == "train"))
     head = Hd.fit_linear_head(train, Hd.Head.zeros(n_labels, dim), LR, EPOCHS)
     rows = [(i, float(head.bias[i]), float(np.linalg.norm(head.weights[i]))) for i in range(n_labels)]
     return spark.createDataFrame(rows, "label_id int, bias double, weight_norm double")
@@ -144,7 +144,7 @@ def q_head_catalogue(spark, sf):
 
 @register("score_with")
 def q_score_with(spark, sf):
-    """M6: a user model function (here: cosine to per-label centroids of a small lookup) over Arrow batches."""
+    """M6: a user model function over Arrow batches (here: sigmoid of the normalised sum of the vector)."""
     v = T.vectors(spark, sf)
 
     def model(pdf: pd.DataFrame) -> pd.DataFrame:

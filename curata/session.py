@@ -82,3 +82,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df, name: str = "table"):
+    """Cut the lineage of a table read many times: write it as Parquet below the shared
+    checkpoint folder and read it back (columnar, survives lost executors, and later
+    reads get column pruning and filter pushdown, which an RDD checkpoint does not)."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
