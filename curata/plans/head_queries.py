@@ -142,7 +142,11 @@ def q_head_catalogue(spark, sf):
         again.where(F.col("train_step") == 1).select("seq_key", "eval_task", "auroc_macro"), "seq_key")
 
 
-@register("score_with")
+@register("score_with", """
+SELECT vec_id AS note_id,
+       round(1.0 / (1.0 + exp(-(list_sum(e) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) + 1e-12)))), 6)
+           AS y_prob
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
 def q_score_with(spark, sf):
     """M6: a user model function over Arrow batches (here: sigmoid of the normalised sum of the vector)."""
     v = T.vectors(spark, sf)
@@ -153,4 +157,5 @@ def q_score_with(spark, sf):
         p = 1.0 / (1.0 + np.exp(-(x.sum(axis=1) / norm)))
         return pd.DataFrame({"note_id": pdf["note_id"].to_numpy(), "y_prob": p})
 
-    return Hd.score_with(v.select("note_id", "embedding"), model, "note_id long, y_prob double")
+    scored = Hd.score_with(v.select("note_id", "embedding"), model, "note_id long, y_prob double")
+    return scored.select("note_id", F.round("y_prob", 6).alias("y_prob"))
