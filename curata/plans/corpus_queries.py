@@ -316,11 +316,21 @@ def q_grow_label_dictionary(spark, sf):
     return grow_dictionary(v0, T.notes_orders(spark, sf).select(F.explode("labels").alias("label")))
 
 
-@register("grow_label_dictionary_stream")
+@register("grow_label_dictionary_stream", """
+SELECT CAST(row_number() OVER (ORDER BY p, label) - 1 AS INTEGER) AS label_id, label
+FROM (SELECT e.label, min(t.pos) AS p
+      FROM (SELECT task, unnest(labels) AS label FROM notes_orders) e
+      JOIN (SELECT task, row_number() OVER (ORDER BY task) AS pos
+            FROM (SELECT DISTINCT task FROM notes_orders)) t ON e.task = t.task
+      GROUP BY e.label)""", ("notes_orders",))
 def q_grow_label_dictionary_stream(spark, sf):
-    """Stream form: order notes arrive as one file per task; one micro-batch per file."""
+    """Stream form: the order notes of each task arrive as one file, tasks in name order;
+    one micro-batch per file.  New labels of a batch get the next ids, so the final
+    dictionary orders labels by (first task they appear in, label)."""
     src, store, ck = shared_dir(spark, "st-src"), shared_dir(spark, "st-dict"), shared_dir(spark, "st-ck")
-    n = T.notes_orders(spark, sf).select("note_id", "task", "labels")
-    n.repartition(1, "task").write.mode("overwrite").partitionBy("task").parquet(src)
-    run_dictionary_stream(spark, src, "note_id long, labels array<string>, task string", store, ck)
+    n = checkpointed(T.notes_orders(spark, sf).select("note_id", "task", "labels"), "st-notes")
+    tasks = sorted(r[0] for r in n.select("task").distinct().collect())      # a handful of task names
+    for i, t in enumerate(tasks):                                              # arrival order of the files
+        n.where(F.col("task") == t).coalesce(1).write.mode("append").parquet(f"{src}/{i:05d}")
+    run_dictionary_stream(spark, f"{src}/*", "note_id long, task string, labels array<string>", store, ck)
     return latest_dictionary(spark, store)
