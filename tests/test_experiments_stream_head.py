@@ -109,3 +109,22 @@ def test_gradient_pass_equals_numpy(spark, sf):
     assert np.abs(head.weights - w).max() < 1e-12 and np.abs(head.bias - b).max() < 1e-12
     scored = Hd.score_linear_head(T.vectors(spark, sf), head).where(F.col("note_id") == int(pdf.index[0]))
     assert scored.count() == n_labels
+
+
+def test_continual_run_reuses_catalogue_and_matches_by_equality(spark, sf):
+    from curata.operators import continual as C
+    from curata.plans.head_queries import _shape, vector_notes
+    v = vector_notes(spark, sf)
+    n_labels, dim = _shape(v)
+    cat = shared_dir(spark, "t-heads")
+    first = {(r["train_step"], r["eval_task"]): r["auroc_macro"]
+             for r in C.continual_run(v, ["t0", "t1"], n_labels, dim, 2, 2.0, catalogue=cat).collect()}
+    again = {(r["train_step"], r["eval_task"]): r["auroc_macro"]
+             for r in C.continual_run(v, ["t0", "t1"], n_labels, dim, 2, 2.0, catalogue=cat).collect()}
+    assert len(first) == 6 and first.keys() == again.keys()   # every step found in the catalogue
+    for k, val in first.items():                               # same heads; sums may differ in the last bit
+        assert again[k] == pytest.approx(val, abs=1e-12)
+    heads = spark.read.parquet(cat)
+    assert heads.select("step", "seq_key").distinct().count() == 2
+    assert Hd.head_catalogue_lookup(heads, "run", 1, "t0").count() == 0          # no substring match
+    assert Hd.head_catalogue_lookup(heads, "run", 1, "t0_t1").count() == n_labels
