@@ -67,3 +67,24 @@ def test_row_index_per_file_in_file_order(spark):
     for x in r:
         assert x["text"] == f"{x['file_name']}-{x['row_idx']}\nline"
     assert {(x["task"], x["split"]) for x in r} == {("a_fold_1", "train"), ("b_fold_1", "dev"), ("c_fold_1", "test")}
+
+
+def test_result_sink_run_id_and_reader(spark):
+    import re
+    from curata.session import shared_dir
+    path = shared_dir(spark, "t-results")
+    long = spark.createDataFrame([(0, "a", 0.5), (1, "a", 0.7)], "train_step int, eval_task string, value double")
+    FS.write_result_matrix(long, path, "a_b")
+    FS.write_result_matrix(long.withColumn("value", F.col("value") + 0.1), path, "a_b_c")
+    r = FS.read_result_dir(spark, path).collect()
+    assert len(r) == 4 and all(x["file_name"].endswith(".parquet") for x in r)
+    runs = {x["run"] for x in r}
+    assert len(runs) == 2 and all(re.fullmatch(r"results_a_b(_c)?_\d{8}-\d{6}", x) for x in runs)
+
+
+def test_split_size_cap_all_and_numbers(spark):
+    from curata.operators import labels as L
+    df = spark.createDataFrame([("x", "train")] * 5 + [("y", "train")] * 3 + [("x", "dev")] * 2,
+                               "task string, split string")
+    caps = {r["split"]: r["size"] for r in L.split_size_cap(df, {"train": 4, "dev": "all"}).collect()}
+    assert caps == {"train": 3, "dev": 2}
