@@ -49,14 +49,24 @@ def stratified_split(notes: DataFrame, key: str = "note_id", labels_col: str = "
     rarest label; inside (task, stratum) the seeded rank r of n rows gives
     f = (r - 0.5) / n; train if f <= 0.66, dev if f <= 0.83, else test.
     """
-    s = label_strata(notes, key, labels_col)
+    needed = [key, *groups, labels_col]
+    # columns that can be large (text, arrays, nested): worth keeping out of the shuffles
+    wide = [f.name for f in notes.schema.fields if f.name not in needed
+            and f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    base = notes.select(*[c for c in notes.columns if c not in wide]) if wide else notes
+    s = label_strata(base, key, labels_col)
     g = [*groups, "stratum"]
     ranked = seeded_order(s, g, key, seed, "__r", "__n")
     f = (F.col("__r") - 0.5) / F.col("__n")
     c1 = shares[0]
     c2 = round(shares[0] + shares[1], 10)
     split = F.when(f <= c1, "train").when(f <= c2, "dev").otherwise("test")
-    return ranked.withColumn("split", split).drop("__r", "__n")
+    out = ranked.withColumn("split", split).drop("__r", "__n")
+    if not wide:
+        return out
+    # wide notes (e.g. with text): the assignment is computed on the narrow projection
+    # above and joined back once, so the wide rows are shuffled once, not twice
+    return notes.select(key, *wide).join(out, key)
 
 
 def pad_split_to_multiple(df: DataFrame, key: str = "note_id", seed: int = DEFAULT_SEED,

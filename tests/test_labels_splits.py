@@ -99,3 +99,13 @@ def test_two_level_dictionary_equals_global(spark, sf):
     odd = spark.createDataFrame([(1, ["é", "e", "Z", "a", "ab", "b", ""])], "note_id long, labels array<string>")
     assert ({tuple(r) for r in L.label_dictionary(odd).collect()}
             == {tuple(r) for r in L.label_dictionary(odd, two_level=True).collect()})
+
+
+def test_split_of_wide_notes_equals_narrow(spark, sf):
+    n = T.notes_orders(spark, sf).where(F.size("labels") > 0)
+    narrow = S.stratified_split(n.select("note_id", "task", "labels"))
+    wide = S.stratified_split(n.withColumn("text", F.repeat(F.lit("x"), 100)))
+    assert set(wide.columns) >= {"subject_id", "text", "stratum", "split"}
+    a = {(r["note_id"], r["split"], r["stratum"]) for r in narrow.collect()}
+    b = {(r["note_id"], r["split"], r["stratum"]) for r in wide.collect()}
+    assert a == b
