@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import chat_format, secret_scan, url_filter, vector_search
+from curata.llm import byte_bpe, chat_format, secret_scan, url_filter, vector_search
 from curata.llm.common import read_table, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,20 @@ def op1_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.kd_topk(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
 
 
+@register("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(spark, read_table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = docs.select("doc_id", byte_bpe.encode_column(spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                          sha256_hex(byte_bpe.decode_column(F.col("ids"), ranks)).alias("decoded_sha256"))
+
+
 #: Fixed values of the url query: rule and what it says.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
