@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import byte_bpe, chat_format, decontaminate, secret_scan, url_filter, vector_search
+from curata.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, url_filter, vector_search
 from curata.llm.common import read_table, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.render_chunks(chat_format.fold_events(events)))
 
 
+@register("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    vocabulary = language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    langs, prob = language_id.train(language_id.training_sample(docs.where(~held_out), train_docs=300), vocabulary)
+    found = docs.select("doc_id", held_out.alias("held_out"), language_id.predict_column(F.col("text"), langs, prob, vocabulary, spark).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 @register("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
