@@ -20,13 +20,12 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONG = 256          # bytes; longer matches are merged through a heap
-MEMO = 300_000      # matches that a task remembers
+MEMO = 200_000      # matches that a task remembers
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,20 +97,22 @@ class Memo(dict):
         return ids
 
 
-def encode_column(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
-    """array<int> of token ids of each text."""
-    shared = spark.sparkContext.broadcast(ranks)
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 128) -> DataFrame:
+    """(doc_id, ids): token ids of every text.  Tasks turn ``rows`` texts at a time into Python objects, so memory stays small."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    id_type = docs.schema[id_col].dataType.simpleString()
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find, memo = regex.compile(pattern).findall, Memo(shared.value)
-        for texts in batches:
-            yield pd.Series([np.fromiter(chain.from_iterable(map(memo.__getitem__, find(t))) if t else (), dtype=np.int32)
-                             for t in texts], dtype=object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = [list(chain.from_iterable(map(memo.__getitem__, find(t)))) if t else [] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return encode(text)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 
 
 def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, url_filter, vector_search
+from curata.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, toxicity, url_filter, vector_search
 from curata.llm.common import read_table, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,14 +41,14 @@ def op1_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(spark, read_table(spark, sf_dir, "documents"))
+    return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = docs.select("doc_id", byte_bpe.encode_column(spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
+    encoded = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
                           sha256_hex(byte_bpe.decode_column(F.col("ids"), ranks)).alias("decoded_sha256"))
 
@@ -109,3 +109,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_decontaminate")
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = toxicity.judge_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), "toxic")
