@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import byte_bpe, chat_format, decontaminate, language_id, secret_scan, toxicity, url_filter, vector_search
+from curata.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, secret_scan, toxicity, url_filter, vector_search
 from curata.llm.common import read_table, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
                           sha256_hex(byte_bpe.decode_column(F.col("ids"), ranks)).alias("decoded_sha256"))
 
 
+@register("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 #: Fixed values of the url query: rule and what it says.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
