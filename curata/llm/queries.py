@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, secret_scan, toxicity, url_filter, vector_search
+from curata.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, secret_scan, toxicity, url_filter, vector_search
 from curata.llm.common import read_table, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+@register("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is the file ``<source>/<lang>/<doc_id>``."""
+    docs = read_table(spark, sf_dir, "documents")
+    return license_scan.scan_licenses(docs, path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 @register("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
