@@ -18,6 +18,10 @@ that class; repeated rows are scored each; empty tables give no rows; extra colu
 
 from __future__ import annotations
 
+import math
+import re
+
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,30 +31,56 @@ from pyspark.sql import functions as F
 from curata.session import checkpointed
 
 _TOKENS, _TF, _IN = "__tokens", "__tf", "__features"
+_WORD = re.compile(r"[^\W_]+")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """Distinct lower-cased words and, marked, the first four letters of words longer than that."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    return sorted(words | {"^" + w[:4] for w in words if len(w) > 4})
 
 
-def tokens_of(text: Column) -> Column:
-    """Lower-cased words and, marked, the first four letters of words longer than that."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) > 4), lambda w: F.concat(F.lit("^"), F.substring(w, 1, 4))))
+def tokens_column(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series([tokens_of(t) for t in texts], dtype=object)
+
+    return tokens(text)
 
 
 class ToxicityChain:
-    """A fitted chain: vocabulary, and per category its name and model (None: a constant probability)."""
+    """A fitted chain: per category its name, intercept, weights of tokens and of the probabilities before it.
+
+    ``models`` holds (name, intercept, {token: weight}, [weight of each earlier probability]); L1 leaves few
+    weights, so a chain is small and goes to the tasks with the function."""
+
+    def __init__(self, models: list[tuple[str, float, dict[str, float], list[float]]]):
+        self.models = models
+
+    def column(self, text: Column) -> Column:
+        """struct<p_<category> ...> of a text."""
+        models, names = self.models, [_p(m[0]) for m in self.models]
+        wanted = {t for _, _, weights, _ in models for t in weights}
+        starts = {t[1:] for t in wanted if t[0] == "^"}
+
+        def probabilities(text: str | None) -> list[float]:
+            words = set(_WORD.findall(text.lower())) if text else set()
+            found = sorted((words & wanted) | {"^" + w[:4] for w in words if len(w) > 4 and w[:4] in starts})
+            out: list[float] = []
+            for _, intercept, weights, before in models:
+                z = intercept + sum(weights[t] for t in found if t in weights) + sum(a * b for a, b in zip(before, out))
+                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
+            return out
+
+        @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
+        def score(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([probabilities(t) for t in texts], columns=names)
 
-    def __init__(self, vocabulary, models: list[tuple[str, object]]):
-        self.vocabulary, self.models = vocabulary, models
+        return score(text)
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The documents with a probability column ``p_<category>`` each."""
-        if self.vocabulary is None:
-            return docs.withColumns({_p(name): F.lit(0.0) for name, _ in self.models})
-        df = self.vocabulary.transform(docs.withColumn(_TOKENS, tokens_of(F.col(text_col)))).drop(_TOKENS)
-        earlier: list[str] = []
-        for name, model in self.models:
-            df = _scored(model, df, earlier, _p(name))
-            earlier.append(_p(name))
-        return df.drop(_TF)
+        return docs.withColumn("__p", self.column(F.col(text_col))).withColumns({_p(m[0]): F.col("__p")[_p(m[0])] for m in self.models}).drop("__p")
 
 
 def _p(name: str) -> str:
@@ -68,23 +98,31 @@ def _fit(df: DataFrame, earlier: list[str], label: str, penalty: float):
     return lr.fit(VectorAssembler(inputCols=[_TF, *earlier], outputCol=_IN).transform(df))
 
 
+def _base_rate(rows: DataFrame, label: str) -> float:
+    """Log odds of a label among rows without words."""
+    p = rows.agg(F.avg(label)).first()[0]
+    return math.log(p / (1 - p)) if 0 < p < 1 else 700.0 * (2 * p - 1)
+
+
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = 6_000,
                 min_docs: int = 6, folds: int = 3, penalty: float = 5e-4, vocabulary_size: int = 1 << 15) -> ToxicityChain:
     """Fit the chain; ``labels`` has (id, one 0/1 column per category, in chain order)."""
     known = (labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*(F.max(F.col(c).cast("double")).alias(f"__{c}") for c in categories))
              .dropna().orderBy(F.xxhash64("__id"), "__id").limit(train_docs))
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known), "__id")      # at most train_docs rows
-            .withColumn(_TOKENS, tokens_of(F.col("__text"))).withColumn("__fold", F.pmod(F.xxhash64("__id"), F.lit(folds))).drop("__text"))
+            .withColumn(_TOKENS, tokens_column(F.col("__text"))).withColumn("__fold", F.pmod(F.xxhash64("__id"), F.lit(folds))).drop("__text"))
     rows = checkpointed(rows, "toxicwords")
     n = rows.count()
     if not n or not rows.where(F.size(_TOKENS) > 0).head(1):
-        return ToxicityChain(None, [(c, None) for c in categories])
+        return ToxicityChain([(c, -700.0 if not n else _base_rate(rows, f"__{c}"), {}, []) for c in categories])
     vocabulary = CountVectorizer(inputCol=_TOKENS, outputCol=_TF, minDF=float(min(min_docs, n)), vocabSize=vocabulary_size, binary=True).fit(rows)
     table = checkpointed(vocabulary.transform(rows).drop(_TOKENS), "toxicvectors")
     sizes = {r[0]: r[1] for r in table.groupBy("__fold").count().collect()}
     models, earlier = [], []
     for i, c in enumerate(categories):
-        models.append((c, _fit(table, earlier, f"__{c}", penalty)))
+        fitted, words = _fit(table, earlier, f"__{c}", penalty), vocabulary.vocabulary
+        given = fitted.coefficients.toArray()
+        models.append((c, float(fitted.intercept), {w: float(x) for w, x in zip(words, given) if x}, [float(x) for x in given[len(words):]]))
         if i + 1 < len(categories):      # out-of-fold probabilities for the models after it
             parts = []
             for fold, own in sizes.items():
@@ -95,11 +133,21 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
                 table = table.unionByName(p)
             table = checkpointed(table, "toxicvectors")
             earlier.append(_p(c))
-    return ToxicityChain(vocabulary, models)
+    return ToxicityChain(models)
 
 
-def judge_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The documents with ``p_low_quality``, ``p_toxic`` and ``toxic``; labels has (doc_id, quality, toxic)."""
+def toxicity_chain(docs: DataFrame, labels: DataFrame, **options) -> ToxicityChain:
+    """The chain low quality -> toxic; labels has (doc_id, quality, toxic)."""
     given = labels.select("doc_id", (1 - F.col("quality").cast("int")).alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
-    chain = train_chain(docs, given, ["low_quality", "toxic"], **options)
-    return chain.score(docs).withColumn("toxic", F.col("p_toxic") >= threshold)
+    return train_chain(docs, given, ["low_quality", "toxic"], **options)
+
+
+def judge_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The documents with ``p_low_quality``, ``p_toxic`` and ``toxic``."""
+    return toxicity_chain(docs, labels, **options).score(docs).withColumn("toxic", F.col("p_toxic") >= threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The documents that are not judged toxic, unchanged."""
+    chain = toxicity_chain(docs, labels, **options)
+    return docs.where(chain.column(F.col("text"))["p_toxic"] < threshold)
