@@ -217,3 +217,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, edits, windows): one row per document and benchmark item that it contains."""
     found = docs.select(F.col(id_col).alias("doc_id"), leak_column(F.col(text_col), benchmark).alias("found"))
     return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id", "f.edits", "f.windows")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that contain no benchmark item, unchanged."""
+    return docs.where(F.size(leak_column(F.col(text_col), benchmark)) == 0)

@@ -198,3 +198,10 @@ def scan_secrets(docs: DataFrame, limits: list[int] | None = None, id_col: str =
     """(doc_id, spans) of every document."""
     limits = random_limits(docs, text_col) if limits is None else limits
     return docs.select(F.col(id_col).alias("doc_id"), span_column(F.col(text_col), limits).alias("spans"))
+
+
+def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All documents, their secrets replaced by a mark; a column ``n_chars`` follows the text."""
+    limits = random_limits(docs, text_col)
+    clean = docs.withColumn(text_col, redacted_column(F.col(text_col), limits))
+    return clean.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
