@@ -3,11 +3,13 @@
 Jaccard distance is a metric, and two documents link when it is at most r.  Equal sets are one
 node.  The join has three levels, each with pivots:
 
-1. *Regions by indexed pivots.*  Linked sets share a shingle of their prefixes (the first
-   ``n - ceil(s * n) + 1`` shingles in one global order, frequent ones last).  The pivot of a shingle is
-   the least node whose prefix holds it; a node belongs to the region of every pivot of its prefix,
-   so linked nodes always share a region.  This finds near pivots without measuring the distance to
-   all of them, which random texts (all at distance 1 from each other) would need.
+1. *Regions by indexed pivots.*  The prefix of a set are its first ``n - ceil(s * n) + l`` shingles in one
+   global order (frequent ones last), ``l = 1 + n / 20``: linked sets share at least ``min(l, l')`` shingles
+   of their prefixes.  The pivot of a shingle is the least node whose prefix holds it; a node's votes for
+   a pivot are the shared shingles of its prefix with that pivot.  A node with too few votes in all
+   has no partner.  The others join the regions of the pivots with most votes, until the votes left
+   out are so few that linked nodes still must meet in a region (`spare`).  This finds near pivots without
+   measuring the distance to all, which random texts (all at distance 1 from each other) would need.
 2. *Large regions* are dealt into blocks.  A few pivots are drawn by hash; every block measures its
    distances to them.  Nodes within r of a pivot link to it (so a pivot's links are complete
    and it leaves).  A region whose nodes are all connected is done.  Otherwise each node goes to
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.session import checkpointed
@@ -49,6 +51,7 @@ STRETCH = 4_000_000       # shingles counted at a time
 MEMO = 500_000            # words that a task remembers
 REGION = 2_000_000        # shingles of a region that one task joins
 SPREAD = 1.5              # largest growth by windows at which cells replace a region
+FEW = 100_000             # members that are told to all tasks
 LEAF = 12                 # nodes compared without cells
 
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -215,7 +218,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def first(h: np.ndarray, often: np.ndarray, place: np.ndarray) -> np.ndarray:
-        least = len(h) - -(-percent * len(h) // 100) + 1
+        least = min(len(h), len(h) - -(-percent * len(h) // 100) + 1 + len(h) // 20)
         at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
         known = often[at] == h if len(often) else np.zeros(len(h), bool)
         rare = h[~known][:least]
@@ -236,11 +239,30 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return checkpointed(docs.mapInArrow(cut, f"id {id_type}, node long, n int, prefix array<long>"), "prefixes")
 
 
-def regions_of(sets: DataFrame) -> DataFrame:
-    """(region, node, n): the regions with at least two nodes."""
-    rows = sets.where(F.col("n") > 0).select("node", "n", F.explode("prefix").alias("s"))
+def spare(n: Column, percent: int) -> Column:
+    """Votes that a node of n shingles may leave out.
+
+    With ``p = percent / 100`` linked sizes differ by a factor of at most 1 / p, so l < 1 + l' / p for l' <= l; both
+    together leave out at most ``0.9 / (1 + 1 / p) * (l + l' - 4)``, which is less than l', the votes they share."""
+    return F.greatest(F.lit(0), F.floor(F.lit(0.9 / (1 + 100 / percent)) * (F.floor(n / 20) - 1)))
+
+
+def regions_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(region, node, n, own, w): the regions with at least two nodes and their shingles; ``own`` is the least id of the node's documents."""
+    known = sets.where(F.col("n") > 0)
+    rows = known.select("node", F.explode("prefix").alias("s"))
     pivot = rows.groupBy("s").agg(F.min("node").alias("region"), F.max("node").alias("last")).where(F.col("region") < F.col("last")).drop("last")
-    return checkpointed(rows.join(pivot, "s").groupBy("region", "node").agg(F.max("n").alias("n")), "regions")
+    documents = known.groupBy("node").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.min("id").alias("own"))
+    votes = (rows.join(pivot, "s").groupBy("node", "region").agg(F.count("*").alias("votes")).join(documents, "node")
+             .withColumn("votes", F.col("votes") / F.col("copies")))           # the copies of a set vote alike
+    of_node = Window.partitionBy("node")
+    ranked = (votes.withColumn("total", F.sum("votes").over(of_node))
+              .withColumn("before", F.sum("votes").over(of_node.orderBy(F.desc("votes"), "region").rowsBetween(Window.unboundedPreceding, -1))))
+    # a partner of p * n shingles shares at least 1 + p * n / 20 of the prefix
+    enough = F.col("total") >= 1 + F.floor(F.col("n") * percent / 2000)
+    member = checkpointed(ranked.where(enough & (F.coalesce("before", F.lit(0)) < F.col("total") - spare(F.col("n"), percent))).select("region", "node", "n", "own"), "regions")
+    weight = member.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where(F.col("m") > 1)
+    return checkpointed(member.join(weight.drop("m"), "region"), "regions")
 
 
 # ---- level 2: large regions ------------------------------------------------------------------
@@ -331,12 +353,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """(doc_id, n_shingles, component_id) of every document."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = prefixes(texts, words, percent)
-    members = regions_of(sets)
-    weight = members.groupBy("region").agg(F.sum("n").alias("w"))
-    # one document of each node gives its text
-    source = sets.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("own"))
-    wanted = members.join(weight, "region").join(source, "node")
-    rows = wanted.join(texts, F.col("own").eqNullSafe(F.col("id"))).select("region", "node", "n", "text", "w")
+    members = regions_of(sets, percent)
+    # one document of each node gives its text; few members are told to all tasks, many are joined by sorting
+    wanted = F.broadcast(members) if members.count() <= FEW else members
+    rows = texts.join(wanted, F.col("own").eqNullSafe(F.col("id"))).select("region", "node", "n", "text", "w")
 
     def join(batches):
         for _, nodes, found in _regions(batches, words):
@@ -361,7 +381,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             yield pd.DataFrame({"a": nodes[hit], "b": nodes[[root[i] for i in hit]]})
 
     edges = rows.where(F.col("w") <= limit).select("region", "node", "text").repartition("region").sortWithinPartitions("region").mapInArrow(join, "a long, b long")
-    if weight.where(F.col("w") > limit).head(1):
+    if members.where(F.col("w") > limit).head(1):
         large = rows.where(F.col("w") > limit).select("region", "node", "n", "text").mapInArrow(with_sets, "region long, node long, n int, set array<long>").dropDuplicates(["region", "node"])
         stars, small = split_large(large, percent, limit)
         edges = edges.union(stars)
