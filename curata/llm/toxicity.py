@@ -7,7 +7,8 @@ was fitted on the other folds, so later models learn from probabilities as uncer
 the ones they get when predicting.  The models are sparse logistic regressions (L1).
 
 Training uses at most ``train_docs`` labelled documents, chosen by a hash of the id (a bounded,
-documented sample; whole texts); words found in fewer than ``min_docs`` of them are left out.
+documented sample; whole texts).  The models see the ``vocabulary_size`` tokens that depend most on
+a category (chi-squared), of those found in at least ``min_docs`` of these documents.
 Every document is scored.
 
 Defined results: null and empty texts have no words and get the models' base rate; labels null
@@ -23,7 +24,7 @@ import re
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,8 +105,22 @@ def _base_rate(rows: DataFrame, label: str) -> float:
     return math.log(p / (1 - p)) if 0 < p < 1 else 700.0 * (2 * p - 1)
 
 
+def _telling_tokens(rows: DataFrame, labels: list[str], n: int, min_docs: int, most: int) -> list[str]:
+    """At most ``most`` tokens with the highest chi-squared to one of the labels."""
+    given = rows.agg(*(F.sum(c).alias(c) for c in labels)).first()
+    counted = rows.select(*labels, F.explode(_TOKENS).alias("token")).groupBy("token").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in labels)).where(F.col("n") >= min_docs)
+
+    def chi(c: str) -> Column:
+        all_of, both, has = given[c], F.col(c), F.col("n")
+        cross = both * (n - has - all_of + both) - (has - both) * (all_of - both)
+        return F.coalesce(F.try_divide(cross * cross * n, has * (n - has) * all_of * (n - all_of)), F.lit(0.0))
+
+    scored = counted.select("token", F.greatest(*(chi(c) for c in labels)).alias("chi") if len(labels) > 1 else chi(labels[0]).alias("chi"))
+    return [r.token for r in scored.orderBy(F.desc("chi"), "token").limit(most).collect()]
+
+
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = 6_000,
-                min_docs: int = 6, folds: int = 3, penalty: float = 5e-4, vocabulary_size: int = 1 << 15) -> ToxicityChain:
+                min_docs: int = 6, folds: int = 3, penalty: float = 5e-4, vocabulary_size: int = 1 << 12) -> ToxicityChain:
     """Fit the chain; ``labels`` has (id, one 0/1 column per category, in chain order)."""
     known = (labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*(F.max(F.col(c).cast("double")).alias(f"__{c}") for c in categories))
              .dropna().orderBy(F.xxhash64("__id"), "__id").limit(train_docs))
@@ -115,12 +130,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_co
     n = rows.count()
     if not n or not rows.where(F.size(_TOKENS) > 0).head(1):
         return ToxicityChain([(c, -700.0 if not n else _base_rate(rows, f"__{c}"), {}, []) for c in categories])
-    vocabulary = CountVectorizer(inputCol=_TOKENS, outputCol=_TF, minDF=float(min(min_docs, n)), vocabSize=vocabulary_size, binary=True).fit(rows)
+    words = _telling_tokens(rows, [f"__{c}" for c in categories], n, min(min_docs, n), vocabulary_size)
+    vocabulary = CountVectorizerModel.from_vocabulary(words, inputCol=_TOKENS, outputCol=_TF)
     table = checkpointed(vocabulary.transform(rows).drop(_TOKENS), "toxicvectors")
     sizes = {r[0]: r[1] for r in table.groupBy("__fold").count().collect()}
     models, earlier = [], []
     for i, c in enumerate(categories):
-        fitted, words = _fit(table, earlier, f"__{c}", penalty), vocabulary.vocabulary
+        fitted = _fit(table, earlier, f"__{c}", penalty)
         given = fitted.coefficients.toArray()
         models.append((c, float(fitted.intercept), {w: float(x) for w, x in zip(words, given) if x}, [float(x) for x in given[len(words):]]))
         if i + 1 < len(categories):      # out-of-fold probabilities for the models after it
