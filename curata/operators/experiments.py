@@ -65,9 +65,10 @@ def study_summary(trials: DataFrame, param_names: Sequence[str] = ("learning_rat
                       *[F.element_at("__b.params", F.lit(p)).alias(f"best_{p}") for p in param_names])
 
 
-def rank_results(results: DataFrame, metric: str = "value", tie: str = "trial", k: int = 20) -> DataFrame:
-    """O3: top k by the metric, descending (TakeOrdered: per-task top-k, then merge)."""
-    return results.orderBy(F.desc(metric), F.col(tie)).limit(k)
+def rank_results(results: DataFrame, metric: str = "value", tie: str = "trial", k: int | None = None) -> DataFrame:
+    """O3: all rows by the metric, descending (a range sort); with ``k`` the top k (TakeOrdered)."""
+    ranked = results.orderBy(F.desc(metric), F.col(tie))
+    return ranked if k is None else ranked.limit(k)
 
 
 def result_matrix(long: DataFrame, tasks: Sequence[str]) -> DataFrame:

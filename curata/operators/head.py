@@ -124,9 +124,6 @@ def _grad_pass(df: DataFrame, heads: np.ndarray, biases: np.ndarray, features: s
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "vals": [total]})
 
     src = df.select(features, targets)
-    cores = spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() > cores:
-        src = src.coalesce(cores)
     schema = "chunk int, vals array<double>"
     parts = src.mapInPandas(part, schema)
     summed = parts.groupBy("chunk").applyInPandas(add, schema).collect()   # size / GRAD_CHUNK rows

@@ -171,15 +171,14 @@ def unused_labels(note_label_groups: DataFrame, dictionary: DataFrame, groups: S
 
 
 def split_size_cap(notes: DataFrame, caps: dict[str, int | str]) -> DataFrame:
-    """A4: per split, min(configured cap, smallest (task, split) frame); 'all' = no cap."""
+    """A4: per split, min(configured cap, smallest (task, split) frame); 'all' or no entry: null, no cap."""
     sizes = notes.groupBy("task", "split").agg(F.count(F.lit(1)).alias("n"))
     cap_map = F.create_map(*[x for k, v in caps.items()
                              for x in (F.lit(k), F.lit(None if v == "all" else int(v)).cast("long"))])
     agg = sizes.groupBy("split").agg(F.min("n").alias("smallest"))
     cap = F.element_at(cap_map, F.col("split"))
     return agg.select("split", "smallest",
-                      F.when(cap.isNull(), F.col("smallest")).otherwise(F.least(cap, F.col("smallest")))
-                      .cast("long").alias("size"))
+                      F.when(cap.isNotNull(), F.least(cap, F.col("smallest"))).cast("long").alias("size"))
 
 
 def mask_zero_shot(note_labels_split: DataFrame, codes: DataFrame, dictionary: DataFrame,
@@ -221,7 +220,9 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     if srcs and srcs != ["text"]:
         out = out.withColumn("__text", F.coalesce(*[F.col(c) for c in srcs])).drop(*srcs)
         out = out.withColumnRenamed("__text", "text")
-    if "ICD10" in cols:
+    if "ICD10" in cols and "label" in cols:
+        out = out.withColumn("label", F.coalesce("label", "ICD10")).drop("ICD10")
+    elif "ICD10" in cols:
         out = out.withColumnRenamed("ICD10", "label")
     return out
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.numeric import bce_with_logits, threshold
-from curata.operators.ranking import grid_bucket, two_level_prefix_sum
+from curata.operators.ranking import join_null_safe, two_level_prefix_sum, with_order_bucket
 from curata.operators.splits import batch_assign
 
 G = ("task",)
@@ -22,9 +22,11 @@ G = ("task",)
 
 def align_predictions(scores: DataFrame, truth: DataFrame, keys: Sequence[str] = ("note_id", "label_id")
                       ) -> DataFrame:
-    """Pair each score with its truth; a (note, label) absent from `truth` is 0."""
+    """Pair each score with its truth; a (note, label) absent from `truth` is 0.
+
+    Where notes of several tasks can have the same id, the task belongs to ``keys``."""
     t = truth.select(*keys).distinct().withColumn("y_true", F.lit(1))
-    return (scores.join(t, list(keys), "left")
+    return (join_null_safe(scores, t, list(keys), "left")
             .withColumn("y_true", F.coalesce("y_true", F.lit(0)).cast("int")))
 
 
@@ -45,7 +47,7 @@ def bce_loss(cells: DataFrame, group: Sequence[str] = G, logit: str = "logit", y
     g = list(group)
     notes = cells.select(*g, "note_id").distinct()
     nb = batch_assign(notes, g, "note_id", batch_size)
-    per_batch = (cells.join(nb, [*g, "note_id"])
+    per_batch = (join_null_safe(cells, nb, [*g, "note_id"])
                  .withColumn("__l", bce_with_logits(logit, y))
                  .groupBy(*g, "batch_id")
                  .agg(F.avg("__l").alias("bm"), F.sum("__l").alias("s"), F.count(F.lit(1)).alias("k")))
@@ -80,7 +82,7 @@ def f1_scores(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob")
 def exact_match(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob") -> DataFrame:
     """Share of notes whose predicted set equals the true set over the scorable labels."""
     g = list(group)
-    c = _with_pred(cells, score).join(scorable(cells, g), [*g, "label_id"], "left_semi")
+    c = join_null_safe(_with_pred(cells, score), scorable(cells, g), [*g, "label_id"])
     per_note = c.groupBy(*g, "note_id").agg(F.bool_and(F.col("y_pred") == F.col("y_true")).alias("ok"))
     return per_note.groupBy(*g).agg(F.avg(F.col("ok").cast("double")).alias("exact_match"))
 
@@ -98,8 +100,9 @@ def label_accuracy(cells: DataFrame, group: Sequence[str] = G, score: str = "y_p
 
 def score_histogram(cells: DataFrame, keys: Sequence[str], score: str = "y_prob") -> DataFrame:
     """Positives and negatives per distinct score: (keys, score, pos, neg).  A partial
-    aggregate, so a hot (key, score) pair leaves each map task as one row."""
-    return (cells.groupBy(*keys, score)
+    aggregate, so a hot (key, score) pair leaves each map task as one row.  Cells without
+    a score or a truth take no part."""
+    return (cells.where(F.col(score).isNotNull() & F.col("y_true").isNotNull()).groupBy(*keys, score)
             .agg(F.sum("y_true").cast("long").alias("pos"),
                  F.sum(1 - F.col("y_true")).cast("long").alias("neg")))
 
@@ -111,7 +114,7 @@ def area_from_histogram(hist: DataFrame, keys: Sequence[str], score: str = "y_pr
     area = sum(pos * (neg_below + neg_here / 2)) / (P * N).
     """
     k = list(keys)
-    cum = two_level_prefix_sum(hist, k, grid_bucket(F.col(score)), [F.col(score)], "neg", "neg_below")
+    cum = two_level_prefix_sum(with_order_bucket(hist, k, score), k, F.col("__order_bucket"), [F.col(score)], "neg", "neg_below")
     return (cum.groupBy(*k)
             .agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
                   / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auroc"),
@@ -143,7 +146,8 @@ def auroc_micro(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob
 
 def label_report(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob",
                  logit: str = "logit") -> DataFrame:
-    """Per label AUROC, support and kept flag, with the group's macro, micro AUROC and loss.
+    """Per label AUROC, support and kept flag, with the group's macro and micro AUROC over the
+    labels with both classes, and its loss.
 
     One per-label score histogram feeds the per-label areas, the support, and
     (summed over labels) the micro area, so the cells are aggregated once for
@@ -155,11 +159,13 @@ def label_report(cells: DataFrame, group: Sequence[str] = G, score: str = "y_pro
                                                (F.sum("pos") + F.sum("neg")).alias("n"))
     per = area_from_histogram(hist, [*g, "label_id"], score).select(*g, "label_id", "auroc")
     macro = per.groupBy(*g).agg(F.avg("auroc").alias("auroc_macro"))
-    pooled = hist.groupBy(*g, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    both = support.where((F.col("support") > 0) & (F.col("support") < F.col("n"))).select(*g, "label_id")
+    pooled = join_null_safe(hist, both, [*g, "label_id"]).groupBy(*g, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     micro = area_from_histogram(pooled, g, score).select(*g, F.col("auroc").alias("auroc_micro"))
     loss = bce_loss(cells, g, logit).select(*g, F.col("loss_batch_mean").alias("loss"))
-    return (support.join(per, [*g, "label_id"], "left")
-            .join(macro, g, "left").join(micro, g, "left").join(loss, g, "left")
-            .select(*g, "label_id", "auroc", "support",
+    out = join_null_safe(support, per, [*g, "label_id"], "left")
+    for one in (macro, micro, loss):
+        out = join_null_safe(out, one, g, "left")
+    return (out.select(*g, "label_id", "auroc", "support",
                     ((F.col("support") > 0) & (F.col("support") < F.col("n"))).alias("kept"),
                     "auroc_macro", "auroc_micro", "loss"))

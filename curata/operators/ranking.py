@@ -3,8 +3,8 @@
 A plain ``row_number().over(partitionBy(g).orderBy(k))`` sends every row of a
 group to one task.  When one group holds a third of the table that task is the
 whole job.  The two-level form used here splits each group into buckets of a
-column that is monotone in the sort order (a prefix of a hash, or a coarse
-grid over a number):
+column that is monotone in the sort order (a prefix of a hash, or quantiles of
+a key; null groups and null keys count like any other):
 
 1. count rows per (group, bucket) — a partial aggregate, tiny output;
 2. offsets = running sum of the counts over the buckets of a group — a window
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HASH_BUCKET_CHARS = 3          # 16**3 = 4096 buckets per group
-GRID_BUCKETS = 4096
+QUANTILES = 128                # boundaries per group of an ordered key
 
 
 def seeded_hash(seed: int | str, *cols: str) -> Column:
@@ -37,9 +37,46 @@ def hash_bucket(h: Column) -> Column:
     return F.substring(h, 1, HASH_BUCKET_CHARS)
 
 
-def grid_bucket(x: Column, buckets: int = GRID_BUCKETS) -> Column:
-    """Monotone bucket of any double: a squashed grid over atan(x)."""
-    return F.floor((F.atan(x) / F.lit(3.141592653589793) + F.lit(0.5)) * F.lit(buckets)).cast("int")
+def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` in which null equals null; the left columns stay, ``right`` adds its others."""
+    own = right.withColumnsRenamed({c: f"__right_{c}" for c in cols})
+    on = F.lit(True)
+    for c in cols:
+        on = on & left[c].eqNullSafe(own[f"__right_{c}"])
+    return left.join(own, on, how).drop(*[f"__right_{c}" for c in cols])
+
+
+def _number(df: DataFrame, key: str) -> Column | None:
+    """A double that never decreases along the key; None for text."""
+    kind = df.schema[key].dataType.typeName()
+    if kind.startswith("timestamp"):        # timestamp / timestamp_ntz: microseconds
+        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
+    if kind == "date":
+        return F.unix_date(key).cast("double")
+    return None if kind in ("string", "binary") else F.col(key).cast("double")
+
+
+def with_order_bucket(df: DataFrame, groups: Sequence[str], key: str, out: str = "__order_bucket") -> DataFrame:
+    """Add a bucket that never decreases along ``key`` inside each group, with boundaries from the data.
+
+    Numbers and times: approximate quantiles of the group, so crowded or far-off values fill no
+    bucket alone (equal values share one).  Text: the three characters after what the
+    least and greatest key of the group have in common.  Null keys get the first bucket.
+    """
+    g, k = list(groups), _number(df, key)
+    if k is not None:
+        at = [i / QUANTILES for i in range(1, QUANTILES)]
+        known = df.groupBy(*g).agg(F.percentile_approx(k, at, 20 * QUANTILES).alias("__bounds"))
+        d = join_null_safe(df, known, g) if g else df.crossJoin(known)
+        found = F.size(F.filter("__bounds", lambda x: x < k))
+        return d.withColumn(out, F.when(F.col(key).isNull(), -1).otherwise(found)).drop("__bounds")
+    text = F.col(key).cast("string")
+    known = df.groupBy(*g).agg(F.min(text).alias("__lo"), F.max(text).alias("__hi"))
+    same = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("__lo"), F.length("__hi")))), F.lit(0),
+                       lambda n, i: F.when((n == i - 1) & (F.substring("__lo", 1, i) == F.substring("__hi", 1, i)), i).otherwise(n))
+    known = known.select(*g, same.alias("__same"))
+    d = join_null_safe(df, known, g) if g else df.crossJoin(known)
+    return d.withColumn(out, F.substring(text, F.col("__same") + 1, F.lit(3))).drop("__same")
 
 
 def two_level_row_number(df: DataFrame, groups: Sequence[str], bucket: Column,
@@ -62,7 +99,7 @@ def two_level_row_number(df: DataFrame, groups: Sequence[str], bucket: Column,
     offsets = counts.select(*cols)
     local = F.row_number().over(Window.partitionBy(*groups, b).orderBy(*order))
     return (d.withColumn("__local", local)
-            .join(offsets, [*groups, b])
+            .transform(lambda x: join_null_safe(x, offsets, [*groups, b]))
             .withColumn(out, (F.col("__off") + F.col("__local")).cast("long"))
             .drop(b, "__off", "__local"))
 
@@ -83,7 +120,7 @@ def two_level_scan(df: DataFrame, groups: Sequence[str], bucket: Column, order:
     offsets = totals.select(*groups, b, fn("__t").over(wb).alias("__off"))
     end = 0 if inclusive else -1
     wl = Window.partitionBy(*groups, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    j = d.withColumn("__local", fn(value).over(wl)).join(offsets, [*groups, b])
+    j = join_null_safe(d.withColumn("__local", fn(value).over(wl)), offsets, [*groups, b])
     if agg == "sum":
         res = F.coalesce(F.col("__off"), F.lit(0)) + F.coalesce(F.col("__local"), F.lit(0))
     else:
@@ -98,21 +135,8 @@ def two_level_prefix_sum(df: DataFrame, groups: Sequence[str], bucket: Column,
 
 
 def ordered_row_number(df: DataFrame, groups: Sequence[str], key: str, tiebreak: Sequence[str] = (),
-                       out: str = "rn", buckets: int = GRID_BUCKETS) -> DataFrame:
-    """row_number() over (partition by groups order by key, tiebreak...), two-level.
-
-    The bucket is a fixed grid over the [min, max] range of the key in each group
-    (numbers or timestamps), so it is monotone in the sort order.
-    """
-    g = list(groups)
-    dtype = df.schema[key].dataType.typeName()
-    if dtype.startswith("timestamp"):       # timestamp / timestamp_ntz: microseconds, monotone
-        k = F.unix_micros(F.col(key).cast("timestamp")).cast("double")
-    else:
-        k = F.col(key).cast("double")
-    rng = df.groupBy(*g).agg(F.min(k).alias("__lo"), F.max(k).alias("__hi"))
-    d = df.join(rng, g)
-    width = F.col("__hi") - F.col("__lo") + 1.0
-    bucket = F.least(F.floor((k - F.col("__lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
-    r = two_level_row_number(d, g, bucket, [F.col(key), *[F.col(c) for c in tiebreak]], out)
-    return r.drop("__lo", "__hi")
+                       out: str = "rn") -> DataFrame:
+    """row_number() over (partition by groups order by key, tiebreak...), two-level (numbers, times or text)."""
+    d = with_order_bucket(df, groups, key)
+    order = [F.col(key), *[F.col(c) for c in tiebreak]]
+    return two_level_row_number(d, groups, F.col("__order_bucket"), order, out).drop("__order_bucket")

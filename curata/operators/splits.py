@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curata.operators.ranking import hash_bucket, ordered_row_number, seeded_hash, two_level_row_number
+from curata.operators.ranking import hash_bucket, join_null_safe, ordered_row_number, seeded_hash, two_level_row_number
 
 DEFAULT_SEED = 42
 SPLIT_SHARES = (0.66, 0.17, 0.17)   # train, dev, test
 SPLITS = ("train", "dev", "test")
+STEP = 61                           # no common factor with 100: consecutive ranks spread over the shares
 
 
 def seeded_order(df: DataFrame, groups: Sequence[str], key: str, seed: int = DEFAULT_SEED,
@@ -30,14 +31,18 @@ def seeded_order(df: DataFrame, groups: Sequence[str], key: str, seed: int = DEF
                                 [F.col("__h"), F.col(key)], out, size_out).drop("__h")
 
 
-def label_strata(notes: DataFrame, key: str = "note_id", labels_col: str = "labels") -> DataFrame:
-    """Stratum of each note = its rarest label (ties: smallest label); '' when no label."""
-    ex = notes.select(key, F.explode(F.array_distinct(labels_col)).alias("label"))
-    support = ex.groupBy("label").agg(F.count(F.lit(1)).alias("support"))
-    rare = (ex.join(support, "label")
-            .groupBy(key)
+def label_strata(notes: DataFrame, key: str = "note_id", labels_col: str = "labels",
+                 groups: Sequence[str] = ()) -> DataFrame:
+    """Stratum of each note = its rarest label inside its group (ties: smallest label); '' when no label.
+
+    A note is identified by its group and key: equal keys of two tasks are two notes."""
+    g = list(groups)
+    ex = notes.select(*g, key, F.explode(F.array_distinct(labels_col)).alias("label"))
+    support = ex.groupBy(*g, "label").agg(F.count(F.lit(1)).alias("support"))
+    rare = (join_null_safe(ex, support, [*g, "label"])
+            .groupBy(*g, key)
             .agg(F.min_by("label", F.struct("support", "label")).alias("stratum")))
-    return notes.join(rare, key, "left").withColumn("stratum", F.coalesce("stratum", F.lit("")))
+    return join_null_safe(notes, rare, [*g, key], "left").withColumn("stratum", F.coalesce("stratum", F.lit("")))
 
 
 def stratified_split(notes: DataFrame, key: str = "note_id", labels_col: str = "labels",
@@ -45,19 +50,23 @@ def stratified_split(notes: DataFrame, key: str = "note_id", labels_col: str = "
                      groups: Sequence[str] = ("task",)) -> DataFrame:
     """Re-split each task 66/17/17 keeping label shares.
 
-    Re-aimed from greedy iterative stratification (sequential) to: stratum =
-    rarest label; inside (task, stratum) the seeded rank r of n rows gives
-    f = (r - 0.5) / n; train if f <= 0.66, dev if f <= 0.83, else test.
+    Re-aimed from greedy iterative stratification (sequential) to systematic sampling: stratum =
+    rarest label of the note's task; the notes of a task are ranked by (stratum, seeded hash), and
+    the rank r gives f = (61 r mod 100 + 0.5) / 100; train if f <= 0.66, dev if f <= 0.83, else test.
+    The rank runs on across strata, so rare labels get their shares together.
     """
     needed = [key, *groups, labels_col]
     # columns that can be large (text, arrays, nested): worth keeping out of the shuffles
     wide = [f.name for f in notes.schema.fields if f.name not in needed
             and f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
     base = notes.select(*[c for c in notes.columns if c not in wide]) if wide else notes
-    s = label_strata(base, key, labels_col)
-    g = [*groups, "stratum"]
-    ranked = seeded_order(s, g, key, seed, "__r", "__n")
-    f = (F.col("__r") - 0.5) / F.col("__n")
+    s = label_strata(base, key, labels_col, groups).withColumn("__h", seeded_hash(seed, key))
+    # the notes of a task in order of (stratum, hash); the stratum and the start of the hash are the bucket
+    bucket = F.concat(F.col("stratum"), F.lit("\u0000"), F.substring("__h", 1, 2))
+    ranked = two_level_row_number(s, groups, bucket, [F.col("stratum"), F.col("__h"), F.col(key)], "__r").drop("__h")
+    # systematic: every hundred consecutive notes hold 66 train, 17 dev and 17 test ones, so shares hold
+    # for strata of any size, single notes included
+    f = F.pmod(F.col("__r") * F.lit(STEP), F.lit(100)) / 100 + 0.005
     c1 = shares[0]
     c2 = round(shares[0] + shares[1], 10)
     split = F.when(f <= c1, "train").when(f <= c2, "dev").otherwise("test")
@@ -66,7 +75,8 @@ def stratified_split(notes: DataFrame, key: str = "note_id", labels_col: str = "
         return out
     # wide notes (e.g. with text): the assignment is computed on the narrow projection
     # above and joined back once, so the wide rows are shuffled once, not twice
-    return notes.select(key, *wide).join(out, key)
+    g = list(groups)
+    return join_null_safe(notes.select(*g, key, *wide), out, [*g, key]).select(*out.columns, *wide)
 
 
 def pad_split_to_multiple(df: DataFrame, key: str = "note_id", seed: int = DEFAULT_SEED,
@@ -88,11 +98,11 @@ def pad_split_to_multiple(df: DataFrame, key: str = "note_id", seed: int = DEFAU
     cand = (df.where(F.col("split") == "train")
             .select(*g, key, F.row_number().over(w).alias("__r"))
             .where(F.col("__r") <= 2 * (multiple - 1)))
-    moved = (cand.join(sizes, g)
-             .select(key, F.when(F.col("__r") <= F.col("k1"), "dev")
+    moved = (join_null_safe(cand, sizes, g)
+             .select(*g, key, F.when(F.col("__r") <= F.col("k1"), "dev")
                      .when(F.col("__r") <= F.col("k1") + F.col("k2"), "test").alias("__to"))
              .where(F.col("__to").isNotNull()))
-    return (df.join(moved, key, "left")
+    return (join_null_safe(df, moved, [*g, key], "left")
             .withColumn("split", F.coalesce("__to", "split")).drop("__to"))
 
 
@@ -114,24 +124,22 @@ def batch_assign(df: DataFrame, groups: Sequence[str], key: str, batch_size: int
 def head_per_group(df: DataFrame, groups: Sequence[str], key: str, n: int | str) -> DataFrame:
     """O1: first n rows (by key) of each group; 'all' keeps everything.
 
-    For n at most 1000 Catalyst plans a window group limit (partial top-n per
-    map task before the shuffle), so hot groups cost n rows per task.
+    The rank is two-level for every n, so no group is sorted in one task.
     """
     if n == "all":
         return df
-    w = Window.partitionBy(*groups).orderBy(key)
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= int(n)).drop("__r")
+    return ordered_row_number(df, groups, key, out="__r").where(F.col("__r") <= int(n)).drop("__r")
 
 
 def head_per_split(df: DataFrame, caps: DataFrame, key: str, groups: Sequence[str] = ("task", "split")
                    ) -> DataFrame:
-    """O2: first `size` rows of each (task, split), size from A4 per split.
+    """O2: first `size` rows of each (task, split), size from A4 per split; a null size keeps all.
 
     Caps can be large (thousands), so the rank uses the two-level form.
     """
     r = ordered_row_number(df, groups, key, out="__r")
-    return (r.join(caps.select("split", "size"), "split")
-            .where(F.col("__r") <= F.col("size")).drop("__r", "size"))
+    return (join_null_safe(r, caps.select("split", "size"), ["split"], "left")
+            .where(F.col("size").isNull() | (F.col("__r") <= F.col("size"))).drop("__r", "size"))
 
 
 def split_shares(df: DataFrame, groups: Sequence[str] = ("task",)) -> DataFrame:
@@ -149,13 +157,14 @@ def distinct_text_count(df: DataFrame, groups: Sequence[str] = ("task",)) -> Dat
 def dedup_text(df: DataFrame, key: str = "note_id", groups: Sequence[str] = ("task",)) -> DataFrame:
     """One row per distinct text, the smallest key kept (deterministic keep-first).
 
-    Grouped by the SHA-256 of the text (fixed-width keys hash and compare fast);
-    the text rides along as min(struct(key, text)), which the map-side partial
-    aggregate already reduces to one row per distinct text and map task.
+    The smallest key per hash of the text is a hash aggregate over fixed-width columns; the
+    texts are read once more and only the kept rows leave the semi join.  Rows that repeat a
+    kept key and text stay once.
     """
-    first = F.min(F.struct(F.col(key), F.col("text"))).alias("__f")
-    return (df.groupBy(*groups, F.sha2("text", 256).alias("__h")).agg(first)
-            .select(*groups, F.col("__f.text").alias("text"), F.col(f"__f.{key}").alias(key)))
+    g, h = list(groups), F.sha2("text", 256)
+    first = df.groupBy(*g, h.alias("__h")).agg(F.min(key).alias(key))
+    rows = df.select(*g, "text", key).withColumn("__h", h)
+    return join_null_safe(rows, first, [*g, "__h", key]).drop("__h").dropDuplicates([*g, key, "text"])
 
 
 def union_splits(*frames: DataFrame) -> DataFrame:
@@ -172,9 +181,10 @@ def subjects_intersect(df: DataFrame, a: str, b: str, subject: str = "subject_id
             .intersect(df.where(F.col("split") == b).select(subject)))
 
 
-def rows_except(df: DataFrame, moved: DataFrame, key: str = "note_id") -> DataFrame:
-    """U4: rows of df whose key is not in `moved`."""
-    return df.join(moved.select(key), key, "left_anti")
+def rows_except(df: DataFrame, moved: DataFrame, key: str | Sequence[str] = "note_id") -> DataFrame:
+    """U4: rows of df whose key (one column or several) is not in `moved`."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.join(moved.select(*keys), keys, "left_anti")
 
 
 def split_leakage(df: DataFrame, subject: str = "subject_id", groups: Sequence[str] = (),

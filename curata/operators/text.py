@@ -7,12 +7,11 @@ that can be broadcast with a proven size; the note side is never collected.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
+from curata.operators.ranking import ordered_row_number
 from curata.functions.text import REASSEMBLED_HEADINGS, SECTIONS, extract_section, words
 
 # Special token ids and names.
@@ -52,27 +51,31 @@ def reassemble_sections(df: DataFrame, out: str = "text") -> DataFrame:
     return df.withColumn(out, F.concat(*parts))
 
 
-def build_vocab(docs: DataFrame, text: str = "text", max_size: int = 30000, min_count: int = 1) -> DataFrame:
+def build_vocab(docs: DataFrame, text: str = "text", max_size: int | None = None, min_count: int = 1) -> DataFrame:
     """Word vocabulary; ids 0-3 special, then by (count desc, token).
 
-    The token counts are a partial+final hash aggregate; the top (max_size - 4)
-    is a TakeOrdered (per-task top-k, then merge), so the only global ordering
-    runs on at most max_size rows.
+    The token counts are a partial+final hash aggregate.  With ``max_size`` the top (max_size - 4)
+    is a TakeOrdered (per-task top-k, then merge); without it every token of at least
+    ``min_count`` occurrences gets an id, ranked by (n, token) in two levels.
     """
     counts = (docs.select(F.explode(words(text)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_count))
-    top = counts.orderBy(F.desc("n"), "token").limit(max_size - len(SPECIALS))
-    learned = top.select((F.row_number().over(Window.orderBy(F.desc("n"), "token")) + (len(SPECIALS) - 1))
-                         .cast("int").alias("token_id"), "token", "n")
+    if max_size is None:
+        ranked = ordered_row_number(counts.withColumn("__all", F.lit(0)).withColumn("__less", -F.col("n")), ["__all"], "__less", ["token"], "__r")
+        learned = ranked.select((F.col("__r") + (len(SPECIALS) - 1)).cast("int").alias("token_id"), "token", "n")
+    else:
+        top = counts.orderBy(F.desc("n"), "token").limit(max_size - len(SPECIALS))
+        learned = top.select((F.row_number().over(Window.orderBy(F.desc("n"), "token")) + (len(SPECIALS) - 1))
+                             .cast("int").alias("token_id"), "token", "n")
     specials = docs.sparkSession.createDataFrame([(i, t, 0) for i, t in SPECIALS], "token_id int, token string, n long")
     return specials.unionByName(learned)
 
 
 def _ids_by_join(toks: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """Token ids by explode -> broadcast join -> regroup (one shuffle of <= max_len rows per note)."""
+    """Token ids by explode -> join -> regroup; the vocabulary is broadcast only if Spark finds it small."""
     ex = toks.select(key, F.posexplode("__t").alias("pos", "token"))
-    v = F.broadcast(vocab.where(F.col("token_id") > UNK).select("token", "token_id"))
+    v = vocab.where(F.col("token_id") > UNK).select("token", "token_id")
     ids = (ex.join(v, "token", "left")
            .groupBy(key)
            .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK))
@@ -81,37 +84,16 @@ def _ids_by_join(toks: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return toks.select(key).join(ids, key, "left")
 
 
-def _ids_by_lookup(toks: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """Token ids by a dictionary lookup in an Arrow-batched pandas UDF: no explode, no shuffle.
-
-    The vocabulary is bounded by `max_size`, so it is collected once and sent
-    to executors as a broadcast variable; tokenisation stays in Spark.
-    """
-    spark = toks.sparkSession
-    table = {r["token"]: int(r["token_id"])
-             for r in vocab.where(F.col("token_id") > UNK).select("token", "token_id").collect()}
-    bc = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def lookup(tokens: pd.Series) -> pd.Series:
-        v = bc.value
-        return tokens.map(lambda ts: [v.get(t, UNK) for t in ts])
-
-    return toks.select(key, lookup("__t").alias("__ids"))
-
-
 def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str = "note_id", text: str = "text",
-                  max_len: int = MAX_LEN, method: str = "lookup") -> DataFrame:
+                  max_len: int = MAX_LEN) -> DataFrame:
     """[CLS] tokens [SEP], cut to max_len including both, padded with 0; mask 1/0.
 
     The cut happens in Spark before any id lookup, so at most max_len - 2 tokens
-    per note are looked up.  `method="lookup"` (default) maps tokens to ids in
-    place with the broadcast vocabulary; `method="join"` is the pure-SQL form
-    (explode, broadcast join, regroup) at the cost of one shuffle.
+    per note are looked up, by a join.
     """
     body = max_len - 2
     toks = docs.select(key, F.slice(words(text), 1, body).alias("__t"))
-    ids = _ids_by_lookup(toks, vocab, key) if method == "lookup" else _ids_by_join(toks, vocab, key)
+    ids = _ids_by_join(toks, vocab, key)
     out = ids.withColumn("__ids", F.coalesce("__ids", F.array().cast("array<int>")))
     n = F.size("__ids") + 2
     input_ids = F.concat(F.array(F.lit(CLS)), F.col("__ids"), F.array(F.lit(SEP)),

@@ -26,23 +26,21 @@ VIEWS["label_dict"] = (("notes_orders",), """
 
 VIEWS["notes_split"] = (("notes_orders",), """
     SELECT note_id, subject_id, task, labels, stratum,
-           CASE WHEN (CAST(rnk AS DOUBLE) - 0.5) / CAST(cnt AS DOUBLE) <= 0.66 THEN 'train'
-                WHEN (CAST(rnk AS DOUBLE) - 0.5) / CAST(cnt AS DOUBLE) <= 0.83 THEN 'dev'
-                ELSE 'test' END AS split
+           CASE WHEN (rnk * 61) % 100 < 66 THEN 'train' WHEN (rnk * 61) % 100 < 83 THEN 'dev' ELSE 'test' END AS split
     FROM (SELECT b.*, coalesce(st.stratum, '') AS stratum,
-                 row_number() OVER (PARTITION BY b.task, coalesce(st.stratum, '')
-                                    ORDER BY md5('42:' || CAST(b.note_id AS VARCHAR)), b.note_id) AS rnk,
-                 count(*) OVER (PARTITION BY b.task, coalesce(st.stratum, '')) AS cnt
+                 row_number() OVER (PARTITION BY b.task ORDER BY coalesce(st.stratum, ''),
+                                    md5('42:' || CAST(b.note_id AS VARCHAR)), b.note_id) AS rnk
           FROM (SELECT * FROM notes_orders WHERE len(labels) > 0) b
           LEFT JOIN (SELECT note_id, label AS stratum
                      FROM (SELECT ex.note_id, ex.label,
                                   row_number() OVER (PARTITION BY ex.note_id ORDER BY sup.support, ex.label) AS r
                            FROM (SELECT DISTINCT note_id, unnest(labels) AS label
                                  FROM notes_orders WHERE len(labels) > 0) ex
-                           JOIN (SELECT label, count(*) AS support
-                                 FROM (SELECT DISTINCT note_id, unnest(labels) AS label
-                                       FROM notes_orders WHERE len(labels) > 0) GROUP BY label) sup
-                             ON ex.label = sup.label)
+                           JOIN (SELECT note_id, task FROM notes_orders) own ON own.note_id = ex.note_id
+                           JOIN (SELECT task, label, count(*) AS support
+                                 FROM (SELECT DISTINCT note_id, task, unnest(labels) AS label
+                                       FROM notes_orders WHERE len(labels) > 0) GROUP BY task, label) sup
+                             ON ex.label = sup.label AND own.task IS NOT DISTINCT FROM sup.task)
                      WHERE r = 1) st ON b.note_id = st.note_id) x""")
 
 VIEWS["split_labels"] = (("notes_split", "label_dict"), """

@@ -66,7 +66,7 @@ def q_study_summary(spark, sf):
 
 
 @register("rank_results", """
-SELECT study, trial, round(value, 6) AS value FROM trials ORDER BY value DESC, trial LIMIT 20""", ("trials",))
+SELECT study, trial, round(value, 6) AS value FROM trials ORDER BY value DESC, trial""", ("trials",))
 def q_rank_results(spark, sf):
     r = E.rank_results(T.trials(spark, sf).select("study", "trial", "value"))
     return r.select("study", "trial", F.round("value", 6).alias("value"))

@@ -145,8 +145,11 @@ SELECT s.task, s.label_id, round(r.auroc, 6) AS auroc, s.support, s.support > 0
 FROM (SELECT task, label_id, CAST(sum(y_true) AS BIGINT) AS support, count(*) AS n FROM cells GROUP BY ALL) s
 LEFT JOIN roc_label r ON s.task = r.task AND s.label_id = r.label_id
 LEFT JOIN (SELECT task, avg(auroc) AS auroc_macro FROM roc_label GROUP BY task) m ON s.task = m.task
-LEFT JOIN roc_micro mi ON s.task = mi.task
-LEFT JOIN loss_task l ON s.task = l.task""", ("roc_label", "roc_micro", "loss_task"))
+LEFT JOIN (SELECT a.task, sum(CASE WHEN a.y_prob > b.y_prob THEN 1.0 WHEN a.y_prob = b.y_prob THEN 0.5 ELSE 0.0 END) / count(*) AS auroc_micro
+           FROM (SELECT c.* FROM cells c JOIN roc_label k ON c.task = k.task AND c.label_id = k.label_id WHERE y_true = 1) a
+           JOIN (SELECT c.* FROM cells c JOIN roc_label k ON c.task = k.task AND c.label_id = k.label_id WHERE y_true = 0) b ON a.task = b.task
+           GROUP BY a.task) mi ON s.task = mi.task
+LEFT JOIN loss_task l ON s.task = l.task""", ("roc_label", "loss_task"))
 def q_label_report(spark, sf):
     out = M.label_report(T.preds(spark, sf))
     return out.select("task", "label_id", r6("auroc").alias("auroc"), "support", "kept",

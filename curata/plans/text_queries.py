@@ -12,7 +12,7 @@ from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
 from curata.sources import tables as T
 
-VOCAB_SIZE = 1000
+VOCAB_SIZE = None          # every word of the documents
 
 _NL = "chr(10)"
 _CLASS = "[^(\\\\|\\d.)' || chr(10) || ']+?:"
@@ -28,13 +28,13 @@ VIEWS["sections"] = (("section_notes",), "SELECT note_id, task, "
                      + ", ".join(f"{_sql_section(h)} AS {n}" for n, h in X.SECTIONS)
                      + " FROM section_notes")
 
-VIEWS["vocab"] = ((), f"""
+VIEWS["vocab"] = ((), """
     SELECT * FROM (VALUES (0, '[PAD]', 0), (1, '[CLS]', 0), (2, '[SEP]', 0), (3, '[UNK]', 0)) s(token_id, token, n)
     UNION ALL
     SELECT CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id, token, n
     FROM (SELECT token, count(*) AS n
           FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS token FROM documents)
-          WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE - 4})""")
+          WHERE token <> '' GROUP BY token)""")
 
 
 def _sections(spark, sf):
