@@ -18,7 +18,7 @@ from curata.functions.numeric import sigmoid
 from curata.operators.head import (Head, fit_linear_head, fit_linear_heads, head_catalogue_lookup, head_from_rows,
                                    score_linear_head)
 from curata.operators.metrics import auroc_macro_weighted, auroc_micro
-from curata.session import checkpointed
+from curata.session import checkpointed, path_exists
 
 
 def prediction_cells(df: DataFrame, head: Head, features: str = "embedding", targets: str = "label_ids",
@@ -52,11 +52,8 @@ def continual_run(feats: DataFrame, sequence: Sequence[str], n_labels: int, dim:
     for i, task in enumerate(sequence):
         seq_key = "_".join(sequence[: i + 1])
         stored = None
-        if catalogue is not None:
-            try:
-                rows = head_catalogue_lookup(spark.read.parquet(catalogue), experiment, i, seq_key).collect()  # <= L rows
-            except Exception:  # noqa: BLE001 - no catalogue yet
-                rows = []
+        if catalogue is not None and path_exists(spark, catalogue):
+            rows = head_catalogue_lookup(spark.read.parquet(catalogue), experiment, i, seq_key).collect()  # <= L rows
             if rows:
                 stored = head_from_rows(rows, n_labels, dim)
         if stored is not None:
@@ -127,4 +124,5 @@ def select_best_head(best: DataFrame, heads: list[Head], catalogue: str, experim
     frame = heads[t].to_frame(spark, experiment=experiment, step=step, seq_key=seq_key, version=1,
                               promoted=True, trial=t, learning_rate=lr)
     frame.write.mode("append").parquet(catalogue)
-    return spark.read.parquet(catalogue).where(F.col("promoted"))
+    return spark.read.parquet(catalogue).where(
+        F.col("promoted") & (F.col("experiment") == experiment) & (F.col("step") == step) & (F.col("seq_key") == seq_key))

@@ -202,11 +202,12 @@ def score_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
 
 def head_catalogue_lookup(heads: DataFrame, experiment: str, step: int, seq_key: str) -> DataFrame:
     """The stored head of (experiment, step, seq_key) — equality, not substring —
-    with the lowest version when several exist (first match wins)."""
+    a promoted one before others, then the lowest version."""
     hit = heads.where((F.col("experiment") == experiment) & (F.col("step") == step)
                       & (F.col("seq_key") == seq_key))
-    first = hit.agg(F.min("version").alias("version"))
-    return hit.join(first, "version")
+    hit = hit.withColumn("__later", ~F.coalesce("promoted", F.lit(False)))
+    first = hit.agg(F.min(F.struct("__later", "version")).alias("__f")).select("__f.*")
+    return hit.join(first, ["__later", "version"]).drop("__later")
 
 
 def head_from_rows(rows: list, n_labels: int, dim: int) -> Head:

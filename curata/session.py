@@ -9,6 +9,7 @@ between two stages of one job) go below it.  Only when the setting is absent
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -71,7 +72,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and jsc is not None:
         jdir = jsc.getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
-    if not root:                       # unset: only in local runs and tests
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that driver and executors share (master {master!r})")
         root = tempfile.mkdtemp(prefix="curata-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, root)
     if jsc is not None and not jsc.getCheckpointDir().isDefined():
@@ -79,6 +83,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the store that the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from curata.session import path_exists
+
 DICT_SCHEMA = "label_id int, label string"
 
 
@@ -32,15 +34,9 @@ def grow_dictionary(current: DataFrame, labels: DataFrame, label_col: str = "lab
     return current.select("label_id", "label").unionByName(added)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def latest_dictionary(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
     """The newest dictionary version in `store` (optionally older than `before`)."""
-    if not _exists(spark, store):
+    if not path_exists(spark, store):
         return spark.createDataFrame([], DICT_SCHEMA)
     d = spark.read.parquet(store)
     if before is not None:
@@ -50,15 +46,18 @@ def latest_dictionary(spark: SparkSession, store: str, before: int | None = None
 
 
 def dictionary_batch_writer(store: str, labels_col: str = "labels"):
-    """foreachBatch function: one dictionary version per micro-batch, idempotent on replay."""
+    """foreachBatch function: one dictionary version per micro-batch, idempotent on replay.
+
+    A version counts once its folder holds the success marker; a half-written one is written again.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _exists(spark, f"{store}/version={batch_id}"):
+        if path_exists(spark, f"{store}/version={batch_id}/_SUCCESS"):
             return                                     # replayed batch: already applied
         current = latest_dictionary(spark, store, before=batch_id)
         grown = grow_dictionary(current, batch.select(F.explode(labels_col).alias("label")))
-        grown.withColumn("version", F.lit(batch_id)).write.mode("append").partitionBy("version").parquet(store)
+        grown.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
 
     return write
 

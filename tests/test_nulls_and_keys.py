@@ -69,3 +69,22 @@ def test_dedup_text_keeps_the_smallest_key(spark):
     for note, task, _, text in rows:
         best[task, text] = min(note, best.get((task, text), note))
     assert {(r["task"], r["text"]): r["note_id"] for r in got} == best and len(got) == len(best)
+
+
+def test_half_written_dictionary_version_is_written_again(spark):
+    from curata.session import path_exists, shared_dir
+    from curata.streaming import labels as SL
+    store = shared_dir(spark, "t-half")
+    spark.createDataFrame([], SL.DICT_SCHEMA).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{store}/version=0")
+    assert path_exists(spark, f"{store}/version=0") and not path_exists(spark, f"{store}/version=0/_SUCCESS")
+    batch = spark.createDataFrame([(1, ["B", "A"])], "note_id long, labels array<string>")
+    SL.dictionary_batch_writer(store)(batch, 0)
+    assert sorted(tuple(r) for r in SL.latest_dictionary(spark, store).collect()) == [(0, "A"), (1, "B")]
+
+
+def test_stored_heads_prefer_the_promoted_one(spark):
+    from curata.operators.head import head_catalogue_lookup
+    rows = [("e", 0, "k", 0, False, 0), ("e", 0, "k", 1, True, 0), ("e", 0, "k", 2, True, 0), ("f", 0, "k", 0, True, 0), ("f", 1, "k", 0, None, 0)]
+    heads = spark.createDataFrame(rows, "experiment string, step int, seq_key string, version int, promoted boolean, label_id int")
+    assert [r["version"] for r in head_catalogue_lookup(heads, "e", 0, "k").collect()] == [1]
+    assert [r["version"] for r in head_catalogue_lookup(heads, "f", 1, "k").collect()] == [0]
