@@ -36,11 +36,9 @@ def parse_label_list(c: Column | str, element: str = "string") -> Column:
 
 
 def render_label_list(c: Column | str) -> Column:
-    """Inverse of F1 for string lists: Python's list literal form (quotes chosen per item)."""
-    def item(x: Column) -> Column:
-        return F.when(F.instr(x, "'") > 0, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(
-            F.concat(F.lit("'"), x, F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(F.transform(_c(c), item), ", "), F.lit("]"))
+    """Inverse of F1 for string lists: a JSON array, which is a list literal too (quotes, backslashes and
+    line breaks are escaped)."""
+    return F.to_json(_c(c))
 
 
 def parse_result_cell(c: Column | str, metric: str = RESULT_METRIC) -> Column:

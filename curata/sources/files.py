@@ -10,10 +10,12 @@ whole directory, never a driver loop over files).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from curata.functions.text import file_stem, key_split, key_task, parse_label_list, render_label_list
 from curata.operators.labels import normalise_columns
@@ -22,9 +24,36 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"
 TEXT_SOURCES = ("text", "TEXT", "notes")
 
 
+def headers_of(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header -> the files that have it (the driver gets the list of files, as any scan does)."""
+    lines = (spark.read.text(paths if isinstance(paths, str) else list(paths))
+             .where("_metadata.file_block_start = 0")
+             .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in lines.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect():
+        found.setdefault(tuple(next(csv.reader([r["header"]]), ())), []).append(r["path"])
+    return found
+
+
 def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """CSV files by column name: files of equal header are read together, then united by name."""
     r = spark.read.options(**CSV_OPTIONS)
-    return r.csv(paths if isinstance(paths, str) else list(paths))
+    whole = r.csv(paths if isinstance(paths, str) else list(paths))
+    groups = headers_of(spark, paths)
+    if len(groups) <= 1:
+        return whole.withColumns({"file_name": F.col("_metadata.file_name"), "__path": F.col("_metadata.file_path")})
+    if isinstance(paths, str):
+        r = r.option("basePath", paths)            # keeps the partition columns
+    frames = []
+    for header, files in groups.items():
+        names = StructType([StructField(n, StringType()) for n in header])
+        one = r.schema(names).csv(files).withColumns({"file_name": F.col("_metadata.file_name"), "__path": F.col("_metadata.file_path")})
+        sources = [c for c in TEXT_SOURCES if c in header]
+        frames.append(one.withColumnRenamed(sources[0], "text") if len(sources) == 1 else one)
+    out = frames[0]
+    for one in frames[1:]:
+        out = out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def with_row_index(df: DataFrame, by: str = "file_name") -> DataFrame:
@@ -47,13 +76,21 @@ def read_notes_csv(spark: SparkSession, paths: str | Sequence[str], labels_eleme
     """Note CSVs -> (file_name, row_idx, text, labels array, other columns).
 
     Text column unified from `text` / `TEXT` / `notes`; labels parsed from the
-    list literal (malformed -> null, never evaluated as code).
+    list literal (malformed -> null, never evaluated as code; `rejected_notes` lists those
+    rows).  Files may order and name their columns differently; a row is known by
+    the path of its file and its index there.
     """
-    raw = _csv(spark, paths).withColumn("file_name", F.col("_metadata.file_name"))
-    df = normalise_columns(raw)
+    df = normalise_columns(_csv(spark, paths))
     if "labels" in df.columns:
         df = df.withColumn("labels", parse_label_list("labels", labels_element))
-    return with_row_index(df)
+    return with_row_index(df, "__path").drop("__path")
+
+
+def rejected_notes(spark: SparkSession, paths: str | Sequence[str], labels_element: str = "string") -> DataFrame:
+    """Rows whose label cell is not a list literal: (file_name, row_idx, labels as written)."""
+    df = with_row_index(_csv(spark, paths), "__path")
+    bad = F.col("labels").isNotNull() & parse_label_list("labels", labels_element).isNull()
+    return df.where(bad).select("file_name", "row_idx", "labels")
 
 
 def write_notes_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -91,13 +128,15 @@ def scan_task_dir(spark: SparkSession, directory: str) -> DataFrame:
 def scan_stratified_dir(spark: SparkSession, directory: str, tasks: Sequence[str]) -> DataFrame:
     """S3: pre-split files with multi-hot label lists; key = `tok0_tok1_lastTok` of the
     stem before the first dot.  Every requested task must match some file; files
-    are kept in request order (`task_rank`) and each file once."""
+    are kept in request order (`task_rank`) and each file once.  No request keeps all files."""
     df = read_notes_csv(spark, directory, labels_element="double")
     name = F.col("file_key") if "file_key" in df.columns else F.col("file_name")
     stem = F.split(name, "\\.").getItem(0)
     toks = F.split(stem, "_")
     key = F.concat_ws("_", toks.getItem(0), toks.getItem(1), F.element_at(toks, -1))
     df = df.withColumn("key", key).withColumn("split", F.element_at(toks, -1))
+    if not tasks:
+        return df.withColumn("task_rank", F.lit(None).cast("int"))
     names = [r[0] for r in df.select(name).distinct().collect()]          # the file list, not the rows
     missing = [t for t in tasks if not any(t in n for n in names)]
     if missing:
