@@ -67,7 +67,7 @@ def with_order_bucket(df: DataFrame, groups: Sequence[str], key: str, out: str =
     if k is not None:
         at = [i / QUANTILES for i in range(1, QUANTILES)]
         known = df.groupBy(*g).agg(F.percentile_approx(k, at, 20 * QUANTILES).alias("__bounds"))
-        d = join_null_safe(df, known, g) if g else df.crossJoin(known)
+        d = join_null_safe(df, known, g) if g else df.withColumn("__bounds", known.scalar())
         found = F.size(F.filter("__bounds", lambda x: x < k))
         return d.withColumn(out, F.when(F.col(key).isNull(), -1).otherwise(found)).drop("__bounds")
     text = F.col(key).cast("string")
@@ -75,7 +75,7 @@ def with_order_bucket(df: DataFrame, groups: Sequence[str], key: str, out: str =
     same = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("__lo"), F.length("__hi")))), F.lit(0),
                        lambda n, i: F.when((n == i - 1) & (F.substring("__lo", 1, i) == F.substring("__hi", 1, i)), i).otherwise(n))
     known = known.select(*g, same.alias("__same"))
-    d = join_null_safe(df, known, g) if g else df.crossJoin(known)
+    d = join_null_safe(df, known, g) if g else df.withColumn("__same", known.scalar())
     return d.withColumn(out, F.substring(text, F.col("__same") + 1, F.lit(3))).drop("__same")
 
 

@@ -88,3 +88,9 @@ def test_stored_heads_prefer_the_promoted_one(spark):
     heads = spark.createDataFrame(rows, "experiment string, step int, seq_key string, version int, promoted boolean, label_id int")
     assert [r["version"] for r in head_catalogue_lookup(heads, "e", 0, "k").collect()] == [1]
     assert [r["version"] for r in head_catalogue_lookup(heads, "f", 1, "k").collect()] == [0]
+
+
+def test_rank_without_groups(spark):
+    df = spark.createDataFrame([(f"k{i * 7 % 50:02d}", float(i)) for i in range(50)], "a string, b double")
+    assert [r["rn"] for r in ordered_row_number(df, [], "a").orderBy("a").collect()] == list(range(1, 51))
+    assert [r["rn"] for r in ordered_row_number(df, [], "b").orderBy("b").collect()] == list(range(1, 51))
