@@ -47,6 +47,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain without a license"),
 ]
 ANCHORS = r"(?i)licen[cs]e|copyright|redistribution|permission is hereby"
+SALTS = 32            # parts of a directory's files
 LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
 
@@ -113,5 +114,8 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "dir", "depth", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("depth"), F.lit(1))), "/")).alias("ancestor"))
     nearest = (above.join(governing.select(F.col("dir").alias("ancestor"), "license"), "ancestor").groupBy("dir")
                .agg(F.max(F.struct("depth", "license", "ancestor")).alias("g")).select("dir", F.col("g.license").alias("given"), F.col("g.ancestor").alias("from")))
-    return known.join(nearest, "dir", "left").select(
+    # a directory may hold a large part of all files: its files are dealt over SALTS tasks
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)))
+    copies = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, ["dir", "salt"], "left").select(
         "doc_id", "path", "own_license", "score", "line", F.coalesce("own_license", "given").alias("license"), F.when(F.col("own_license").isNull(), F.col("from")).alias("from_dir"))
