@@ -48,7 +48,7 @@ from curata.session import checkpointed
 
 FREQUENT = 1 << 17        # shingles told to the tasks as frequent
 STRETCH = 4_000_000       # shingles counted at a time
-MEMO = 500_000            # words that a task remembers
+MEMO = 200_000            # words that a task remembers
 REGION = 2_000_000        # shingles of a region that one task joins
 SPREAD = 1.5              # largest growth by windows at which cells replace a region
 FEW = 100_000             # members that are told to all tasks
