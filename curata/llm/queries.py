@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, secret_scan, toxicity, url_filter, vector_search
+from curata.llm import (byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, secret_scan, toxicity,
+                        url_filter, vector_search)
 from curata.llm.common import read_table, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = toxicity.judge_toxicity(docs, read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), "toxic")
+
+
+@register("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, specials = packing.load_byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, specials)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
