@@ -135,9 +135,9 @@ class Pool:
             others = self.counts | {seed: self.counts[seed] - 1}
             chosen, total = closest_fill(others, self.lengths, self.capacity - seed)
             chosen[seed] = chosen.get(seed, 0) + 1
-            for _ in range(min(self.counts[n] // k for n, k in chosen.items())):
+            slack = self.capacity - seed - total
+            for _ in range(1 if slack else min(self.counts[n] // k for n, k in chosen.items())):      # a cut changes the counts
                 window = [self.take(n) for n, k in chosen.items() for _ in range(k)]
-                slack = self.capacity - seed - total
                 while slack:
                     window.append(self.cut(min(slack, self.lengths[-1])))
                     slack -= len(window[-1][2])

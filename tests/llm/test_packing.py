@@ -75,3 +75,19 @@ def test_repeats_null_ids_and_empty_table(spark):
     out = packing.pack_documents(df, ranks, P.PATTERN, specials).collect()
     assert sum(r.length for r in out if r.doc_id is None) == 6 and sum(r.length for r in out if r.doc_id == 1) == 4
     assert packing.pack_documents(df.limit(0), ranks, P.PATTERN, specials).count() == 0
+
+
+def test_windows_of_long_pieces_only_are_filled_by_cuts():
+    """Lengths that leave a slack often: repeats of a choice must not outlive a cut."""
+    rng = random.Random(11)
+    for trial in range(60):
+        capacity = 32
+        pool = packing.Pool(capacity)
+        docs = [rng.choice([31, 30, 29, 17, 3] if trial % 2 else [31, 20]) for _ in range(rng.randint(1, 60))]
+        for d, n in enumerate(docs):
+            pool.add(d, 0, np.arange(n, dtype="<u4") + 100 * d)
+        windows = list(pool.windows(0))
+        assert all(sum(len(ids) for *_, ids in w) == capacity for w in windows)
+        windows += pool.tail()
+        pieces = sorted((d, start, ids.tolist()) for w in windows for d, start, ids in w)
+        assert [i for _, _, ids in pieces for i in ids] == [100 * d + i for d, n in enumerate(docs) for i in range(n)]
