@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import (byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, secret_scan, toxicity,
+from curata.llm import (byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, secret_scan, token_alignment, toxicity,
                         url_filter, vector_search)
 from curata.llm.common import read_table, sha256_hex
+from curata.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +139,16 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, specials = packing.load_byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, specials)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, _ = packing.load_byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        pieces = f.read()
+    aligned = token_alignment.align_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, pieces)
+    digest = F.when(F.col("groups") == "", "").otherwise(sha256_hex(F.col("groups"))).alias("groups_sha256")
+    kept = [c for c in aligned.columns if c != "groups"]
+    return token_alignment.with_scores(checkpointed(aligned.select(*kept, digest), "alignment"))
