@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import (byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, secret_scan, token_alignment, toxicity,
-                        url_filter, vector_search)
+from curata.llm import (byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, prefix_trie, secret_scan,
+                        token_alignment, toxicity, url_filter, vector_search)
 from curata.llm.common import read_table, sha256_hex
 from curata.session import checkpointed
 
@@ -152,3 +152,46 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("groups") == "", "").otherwise(sha256_hex(F.col("groups"))).alias("groups_sha256")
     kept = [c for c in aligned.columns if c != "groups"]
     return token_alignment.with_scores(checkpointed(aligned.select(*kept, digest), "alignment"))
+
+
+@register("op11_prefix_trie", """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (
+  SELECT *, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS sha FROM t),
+c AS (
+  SELECT conv_id, list({'sha': sha, 'size': strlen(text)} ORDER BY turn NULLS FIRST, role, sha) AS own FROM d GROUP BY conv_id),
+h AS (      -- crc32 of the decimal id, bit by bit
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+           lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+         lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)),
+           lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h FROM c),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS seq
+  FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (
+  SELECT conv_id, d AS depth, len(seq) AS n, sha256(array_to_string(list_transform(seq[1:d], lambda x: x.sha), ',')) AS k,
+         CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(seq[1:d - 1], lambda x: x.sha), ',')) END AS up,
+         CASE WHEN d > 0 THEN seq[d].size ELSE 0 END AS size
+  FROM (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM r)),
+node AS (
+  SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY k, depth),
+kids AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY ALL),
+way AS (     -- every node with each of its ancestors and itself
+  SELECT DISTINCT p.k AS k, p.depth AS depth, q.k AS top, q.depth AS top_depth FROM p JOIN p q ON p.conv_id = q.conv_id AND q.depth <= p.depth),
+sums AS (
+  SELECT way.top, way.top_depth, count(*) FILTER (kids.n_children IS NULL) AS n_leaves, sum((node.n_convs - 1) * node.size) AS saved_tokens
+  FROM way JOIN node USING (k, depth) LEFT JOIN kids ON kids.up = node.k AND kids.depth = node.depth GROUP BY ALL)
+SELECT node.conv_id, node.depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n_children, 0) AS n_children,
+  sums.n_leaves, CAST(sums.saved_tokens AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node LEFT JOIN node above ON above.k = node.up AND above.depth = node.depth - 1
+  LEFT JOIN kids ON kids.up = node.k AND kids.depth = node.depth
+  JOIN sums ON sums.top = node.k AND sums.top_depth = node.depth
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = checkpointed(prefix_trie.numbered_turns(read_table(spark, sf_dir, "conversations")), "numbered")
+    conv = F.col("conv_id")
+    rebuilt = prefix_trie.regrafted(numbered, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9)
+    return prefix_trie.prefix_trie(rebuilt)
