@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curata.operators.keys import note_key
+from curata.operators.ranking import join_null_safe, two_level_row_number
+
 
 def label_universe(notes: DataFrame, labels_col: str = "labels") -> DataFrame:
     """A1: distinct labels over all notes (before any task filter)."""
@@ -34,7 +37,6 @@ def label_dictionary(notes: DataFrame, labels_col: str = "labels", two_level: bo
     """
     labels = label_universe(notes, labels_col)
     if two_level:
-        from curata.operators.ranking import two_level_row_number
         r = two_level_row_number(labels, [], F.substring("label", 1, 2), [F.col("label")], "__rn")
         return r.select((F.col("__rn") - 1).cast("int").alias("label_id"), "label")
     return labels.select((F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_id"),
@@ -51,55 +53,46 @@ def num_labels(dictionary: DataFrame) -> Column:
     return dictionary.agg(F.count(F.lit(1)).cast("int")).scalar()
 
 
-def _exploded(notes: DataFrame, key: str, labels_col: str) -> DataFrame:
-    return notes.select(key, F.posexplode(labels_col).alias("pos", "label"))
-
-
-def note_labels(notes: DataFrame, dictionary: DataFrame, key: str = "note_id",
+def note_labels(notes: DataFrame, dictionary: DataFrame, key: str | Sequence[str] | None = None,
                 labels_col: str = "labels", strict: bool = True) -> DataFrame:
-    """J1/J2 long form: (key, pos, label_id) for every label of every note.
+    """J1/J2 long form: (key, pos, label_id) for every label of every note (key: task and id by default).
 
     strict: an unknown label fails the query (raise_error); lenient: dropped.
     """
-    ex = _exploded(notes, key, labels_col)
-    how = "left" if strict else "inner"
-    j = ex.join(dictionary, "label", how)
+    keys = note_key(notes, key)
+    j = notes.select(*keys, F.posexplode(labels_col).alias("pos", "label")).join(dictionary, "label", "left" if strict else "inner")
     if strict:
-        lid = F.when(F.col("label_id").isNull(),
-                     F.raise_error(F.concat(F.lit("unknown label: "), F.col("label")))
-                     ).otherwise(F.col("label_id")).cast("int")
-        j = j.withColumn("label_id", lid)
-    return j.select(key, "pos", "label_id")
+        j = j.withColumn("label_id", _known_id(F.col("label_id").isNull()))
+    return j.select(*keys, "pos", "label_id")
+
+
+def _known_id(unknown: Column) -> Column:
+    """The label id; a row that is ``unknown`` fails the query."""
+    return F.when(unknown, F.raise_error(F.concat(F.lit("unknown label: "), F.col("label")))).otherwise(F.col("label_id")).cast("int")
 
 
-def labels_to_ids(notes: DataFrame, dictionary: DataFrame, key: str = "note_id",
+def labels_to_ids(notes: DataFrame, dictionary: DataFrame, key: str | Sequence[str] | None = None,
                   labels_col: str = "labels", strict: bool = True,
                   carry: Sequence[str] | None = None) -> DataFrame:
     """Add `label_ids` (array<int>, in the order of the label list).
 
-    Notes whose labels are all unknown (lenient) keep an empty array.  With
-    `carry` (narrow columns fixed per note, e.g. task) the notes are read once:
+    A note is its task and its id (null tasks count), unless ``key`` says otherwise.  Notes whose labels are
+    all unknown (lenient) keep an empty array.  With `carry` (narrow columns fixed per note) the notes are read once:
     labels are exploded with empty lists kept, looked up, and gathered back per
     note with the carried columns; the result has key + carry + label_ids.
     Without it, the ids are joined back to all columns of `notes`.
     """
+    keys = note_key(notes, key)
+    ordered = lambda x: F.transform(F.sort_array(F.collect_list(x)), lambda s: s["label_id"]).alias("label_ids")
     if carry is not None:
-        ex = notes.select(key, *carry, F.posexplode_outer(labels_col).alias("pos", "label"))
+        by = list(dict.fromkeys([*keys, *carry]))
+        ex = notes.select(*by, F.posexplode_outer(labels_col).alias("pos", "label"))
         j = ex.join(dictionary, "label", "left")
-        unknown = F.col("label").isNotNull() & F.col("label_id").isNull()
         if strict:
-            lid = F.when(unknown, F.raise_error(F.concat(F.lit("unknown label: "), F.col("label")))
-                         ).otherwise(F.col("label_id")).cast("int")
-            j = j.withColumn("label_id", lid)
-        ids = F.transform(F.sort_array(F.collect_list(F.when(F.col("label_id").isNotNull(),
-                                                              F.struct("pos", "label_id")))),
-                          lambda s: s["label_id"])
-        return j.groupBy(key, *carry).agg(ids.alias("label_ids"))
-    long = note_labels(notes, dictionary, key, labels_col, strict)
-    ids = (long.groupBy(key)
-           .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "label_id"))),
-                            lambda s: s["label_id"]).alias("label_ids")))
-    return (notes.join(ids, key, "left")
+            j = j.withColumn("label_id", _known_id(F.col("label").isNotNull() & F.col("label_id").isNull()))
+        return j.groupBy(*by).agg(ordered(F.when(F.col("label_id").isNotNull(), F.struct("pos", "label_id"))))
+    ids = note_labels(notes, dictionary, keys, labels_col, strict).groupBy(*keys).agg(ordered(F.struct("pos", "label_id")))
+    return (join_null_safe(notes, ids, keys, "left")
             .withColumn("label_ids", F.coalesce("label_ids", F.array().cast("array<int>"))))
 
 
@@ -116,16 +109,17 @@ def multi_hot(notes_with_ids: DataFrame, n_labels: Column | int, ids_col: str =
     return d.withColumn(out, F.when(n > 0, vec).otherwise(F.array().cast("array<double>"))).drop("__L")
 
 
-def ids_to_labels(df: DataFrame, dictionary: DataFrame, key: str = "note_id",
+def ids_to_labels(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str] | None = None,
                   ohe_col: str = "labels_ohe") -> DataFrame:
-    """Multi-hot -> label names where the value is 1, in id order."""
-    hot = (df.select(key, F.posexplode(ohe_col).alias("label_id", "v"))
+    """Multi-hot -> label names where the value is 1, in id order; a note is its task and its id."""
+    keys = note_key(df, key)
+    hot = (df.select(*keys, F.posexplode(ohe_col).alias("label_id", "v"))
            .where(F.col("v") == 1.0)
            .join(dictionary, "label_id"))
-    names = (hot.groupBy(key)
+    names = (hot.groupBy(*keys)
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("label_id", "label"))),
                               lambda s: s["label"]).alias("decoded")))
-    return (df.select(key).join(names, key, "left")
+    return (join_null_safe(df.select(*keys), names, keys, "left")
             .withColumn("decoded", F.coalesce("decoded", F.array().cast("array<string>"))))
 
 
@@ -193,7 +187,8 @@ def mask_zero_shot(note_labels_split: DataFrame, codes: DataFrame, dictionary: D
 
 def split_support_by_label(note_label_split: DataFrame, label: str = "label") -> DataFrame:
     """Positives per label in each split and the split's share of them."""
-    c = note_label_split.groupBy(label, "split").agg(F.countDistinct("note_id").alias("positives"))
+    note = F.struct(*note_key(note_label_split))            # a struct counts although its task is null
+    c = note_label_split.groupBy(label, "split").agg(F.countDistinct(note).alias("positives"))
     share = F.col("positives") / F.sum("positives").over(Window.partitionBy(label))
     return c.withColumn("share", share)
 
@@ -231,10 +226,10 @@ TRANSLATIONS = ("official_translation", "Opus_el_en")
 
 
 def select_translation(df: DataFrame, selector: str) -> DataFrame:
-    """The chosen translation becomes `notes`; the original is kept as `org_notes`."""
+    """The chosen translation becomes `notes`; the original is kept as `org_notes`, the other translation as it is."""
     if selector not in TRANSLATIONS:
         raise ValueError(f"unknown translation column {selector!r}; expected one of {TRANSLATIONS}")
-    rest = [c for c in df.columns if c not in ("notes", *TRANSLATIONS)]
+    rest = [c for c in df.columns if c not in ("notes", selector)]
     return df.select(*rest, F.col(selector).alias("notes"), F.col("notes").alias("org_notes"))
 
 

@@ -20,11 +20,11 @@ from curata.operators.splits import batch_assign
 G = ("task",)
 
 
-def align_predictions(scores: DataFrame, truth: DataFrame, keys: Sequence[str] = ("note_id", "label_id")
-                      ) -> DataFrame:
+def align_predictions(scores: DataFrame, truth: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Pair each score with its truth; a (note, label) absent from `truth` is 0.
 
-    Where notes of several tasks can have the same id, the task belongs to ``keys``."""
+    A note is its task and its id where both frames have a task (null equals null)."""
+    keys = keys or [c for c in ("task", "note_id", "label_id") if c in scores.columns and c in truth.columns]
     t = truth.select(*keys).distinct().withColumn("y_true", F.lit(1))
     return (join_null_safe(scores, t, list(keys), "left")
             .withColumn("y_true", F.coalesce("y_true", F.lit(0)).cast("int")))

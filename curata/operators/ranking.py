@@ -14,6 +14,9 @@ a key; null groups and null keys count like any other):
 
 The result equals the single-window row number exactly because the bucket is
 a function of the leading sort key.
+
+``range_row_number`` ranks by any composite key instead: rows are dealt by ranges of the whole key
+(Spark samples the splitters), so ties of its first column are split too.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curata.session import checkpointed
+
 HASH_BUCKET_CHARS = 3          # 16**3 = 4096 buckets per group
-QUANTILES = 128                # boundaries per group of an ordered key
+QUANTILES = 128                # buckets per group of an ordered key, a power of two
+RANGES = 128                   # ranges of a composite key
 
 
 def seeded_hash(seed: int | str, *cols: str) -> Column:
@@ -68,7 +74,8 @@ def with_order_bucket(df: DataFrame, groups: Sequence[str], key: str, out: str =
         at = [i / QUANTILES for i in range(1, QUANTILES)]
         known = df.groupBy(*g).agg(F.percentile_approx(k, at, 20 * QUANTILES).alias("__bounds"))
         d = join_null_safe(df, known, g) if g else df.withColumn("__bounds", known.scalar())
-        found = F.size(F.filter("__bounds", lambda x: x < k))
+        steps = F.array(*[F.lit(QUANTILES >> i) for i in range(1, QUANTILES.bit_length())])      # binary search
+        found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("__bounds", at + step - 1) < k, step).otherwise(0))
         return d.withColumn(out, F.when(F.col(key).isNull(), -1).otherwise(found)).drop("__bounds")
     text = F.col(key).cast("string")
     known = df.groupBy(*g).agg(F.min(text).alias("__lo"), F.max(text).alias("__hi"))
@@ -140,3 +147,21 @@ def ordered_row_number(df: DataFrame, groups: Sequence[str], key: str, tiebreak:
     d = with_order_bucket(df, groups, key)
     order = [F.col(key), *[F.col(c) for c in tiebreak]]
     return two_level_row_number(d, groups, F.col("__order_bucket"), order, out).drop("__order_bucket")
+
+
+def range_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str = "rn", ranges: int = RANGES) -> DataFrame:
+    """row_number() over (partition by groups order by order...), by ranges of the composite key (groups, order).
+
+    The rows are dealt into ``ranges`` ranges, sorted and numbered there, and written once.  A range's place in
+    its group is the running sum of the counts before it: one row per group and range that it touches.  So a
+    group of any size, and any number of rows that tie in the first columns of ``order``, is spread over ranges.
+    """
+    g, at, run = list(groups), "__at", "__range"
+    dealt = df.repartitionByRange(ranges, *[F.col(c) for c in g], *order).sortWithinPartitions(*[F.col(c) for c in g], *order)
+    # the id grows by one from row to row of a range, whose number is in the upper bits
+    rows = checkpointed(dealt.withColumn(at, F.monotonically_increasing_id()), "ranges").withColumn(run, F.shiftright(at, 33))
+    counts = rows.groupBy(*g, run).agg(F.min(at).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*g).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*g, run, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    number = (F.col("__off") + F.col(at) - F.col("__first") + 1).cast("long")
+    return join_null_safe(rows, starts, [*g, run]).withColumn(out, number).drop(at, run, "__first", "__off")

@@ -1,23 +1,31 @@
 """Note sections, vocabulary, token encoding and hashed features.
 
-Token work is expressed as explode -> join -> aggregate.  The vocabulary is
-bounded by its `max_size` parameter, so it is the only side of these joins
-that can be broadcast with a proven size; the note side is never collected.
+Counting is explode -> aggregate.  Encoding looks frequent words up in place and
+joins only rare ones; the note side is never collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curata.operators.ranking import ordered_row_number
 from curata.functions.text import REASSEMBLED_HEADINGS, SECTIONS, extract_section, words
+from curata.operators.keys import note_key
+from curata.operators.ranking import range_row_number
+from curata.session import checkpointed
 
 # Special token ids and names.
 SPECIALS = ((0, "[PAD]"), (1, "[CLS]"), (2, "[SEP]"), (3, "[UNK]"))
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
 MAX_LEN = 512
+HEAD_WORDS = 100_000        # words that encode_tokens broadcasts at most
+HEAD_BYTES = 4 << 20
 
 
 def extract_sections(df: DataFrame, text: str = "text", blank_brackets: bool = False) -> DataFrame:
@@ -56,13 +64,14 @@ def build_vocab(docs: DataFrame, text: str = "text", max_size: int | None = None
 
     The token counts are a partial+final hash aggregate.  With ``max_size`` the top (max_size - 4)
     is a TakeOrdered (per-task top-k, then merge); without it every token of at least
-    ``min_count`` occurrences gets an id, ranked by (n, token) in two levels.
+    ``min_count`` occurrences gets an id, ranked by ranges of (n, token), so the many
+    tokens of one count are split too.
     """
     counts = (docs.select(F.explode(words(text)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_count))
     if max_size is None:
-        ranked = ordered_row_number(counts.withColumn("__all", F.lit(0)).withColumn("__less", -F.col("n")), ["__all"], "__less", ["token"], "__r")
+        ranked = range_row_number(counts, [], [F.desc("n"), F.asc("token")], "__r")
         learned = ranked.select((F.col("__r") + (len(SPECIALS) - 1)).cast("int").alias("token_id"), "token", "n")
     else:
         top = counts.orderBy(F.desc("n"), "token").limit(max_size - len(SPECIALS))
@@ -72,35 +81,71 @@ def build_vocab(docs: DataFrame, text: str = "text", max_size: int | None = None
     return specials.unionByName(learned)
 
 
-def _ids_by_join(toks: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """Token ids by explode -> join -> regroup; the vocabulary is broadcast only if Spark finds it small."""
-    ex = toks.select(key, F.posexplode("__t").alias("pos", "token"))
-    v = vocab.where(F.col("token_id") > UNK).select("token", "token_id")
-    ids = (ex.join(v, "token", "left")
-           .groupBy(key)
-           .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK))
-                                                                  .alias("id")))),
-                            lambda s: s["id"]).alias("__ids")))
-    return toks.select(key).join(ids, key, "left")
-
-
-def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str = "note_id", text: str = "text",
-                  max_len: int = MAX_LEN) -> DataFrame:
+def frequent_words(vocab: DataFrame, max_words: int = HEAD_WORDS, max_bytes: int = HEAD_BYTES) -> list[str]:
+    """The words of the smallest ids, at most ``max_words`` and at most ``max_bytes`` of UTF-8, in id order from id 4 on."""
+    top = vocab.where(F.col("token_id").between(UNK + 1, UNK + max_words)).select("token_id", "token")
+    size = top.agg(F.sum(F.octet_length("token"))).first()[0] or 0
+    if size > max_bytes:                          # a few endless words: keep the part that fits
+        total = F.sum(F.octet_length("token")).over(Window.orderBy("token_id"))
+        top = top.withColumn("__b", total).where(F.col("__b") <= max_bytes).drop("__b")
+    return [r["token"] for r in top.orderBy("token_id").collect()]
+
+
+def _look_up_in_place(tokens: DataFrame, keys: Sequence[str], head: list[str]) -> DataFrame:
+    """(keys, __row, __ids, __rest): ids of the head's words in place, null elsewhere, and the other words with their positions."""
+    shared = tokens.sparkSession.sparkContext.broadcast(head)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, base, done = pa.array(shared.value, pa.string()), TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat, starts = lists.flatten(), lists.offsets
+            starts = pc.subtract(starts, starts[0])
+            found = pc.index_in(flat, value_set=known)
+            ids = pa.ListArray.from_arrays(starts, pc.add(found, pa.scalar(UNK + 1, pa.int32())))
+            missed = pc.is_null(found).to_numpy(zero_copy_only=False).nonzero()[0]
+            at = starts.to_numpy()
+            rest_starts = pa.array(missed.searchsorted(at), pa.int32())
+            place = missed - at[at.searchsorted(missed, side="right") - 1]
+            rest = pa.StructArray.from_arrays([pa.array(place, pa.int32()), flat.take(pa.array(missed))], ["pos", "token"])
+            row = pa.array(range(base + done, base + done + batch.num_rows), pa.int64())
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], row, ids, pa.ListArray.from_arrays(rest_starts, rest)],
+                                             [*keys, "__row", "__ids", "__rest"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*keys).schema)
+    return tokens.mapInArrow(look_up, f"{own}, __row long, __ids array<int>, __rest array<struct<pos:int,token:string>>")
+
+
+def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str | Sequence[str] | None = None, text: str = "text",
+                  max_len: int = MAX_LEN, head_words: int = HEAD_WORDS) -> DataFrame:
     """[CLS] tokens [SEP], cut to max_len including both, padded with 0; mask 1/0.
 
-    The cut happens in Spark before any id lookup, so at most max_len - 2 tokens
-    per note are looked up, by a join.
+    A split dictionary: the most frequent words, bounded in number and bytes, are broadcast and
+    looked up where the tokens are (Arrow, no exchange); only the other words of a note, by row and position, are joined with
+    the rest of the vocabulary.  Every row is encoded by itself, so equal or null keys don't meet.  A vocabulary
+    that the head covers whole needs no join.  The cut comes before any lookup, so at most max_len - 2 tokens of a note count.
     """
-    body = max_len - 2
-    toks = docs.select(key, F.slice(words(text), 1, body).alias("__t"))
-    ids = _ids_by_join(toks, vocab, key)
-    out = ids.withColumn("__ids", F.coalesce("__ids", F.array().cast("array<int>")))
+    keys, body = note_key(docs, key), max_len - 2
+    head = frequent_words(vocab, head_words)
+    tokens = docs.select(*keys, F.slice(F.coalesce(words(text), F.array().cast("array<string>")), 1, body).alias("__t"))
+    encoded = _look_up_in_place(tokens, keys, head)
+    tail = vocab.where(F.col("token_id") > UNK + len(head)).select("token", "token_id")
+    if not tail.isEmpty():
+        encoded = checkpointed(encoded, "encoded")
+        rare = encoded.select("__row", F.explode("__rest").alias("x")).select("__row", "x.pos", "x.token")
+        found = (rare.join(tail, "token").groupBy("__row")
+                 .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token_id"))).alias("__found")))
+        encoded = encoded.join(found, "__row", "left")
+        patched = F.transform("__ids", lambda i, pos: F.coalesce(i, F.element_at("__found", pos)))
+        encoded = encoded.withColumn("__ids", F.when(F.col("__found").isNull(), F.col("__ids")).otherwise(patched))
+    ids = F.transform("__ids", lambda i: F.coalesce(i, F.lit(UNK)))
     n = F.size("__ids") + 2
-    input_ids = F.concat(F.array(F.lit(CLS)), F.col("__ids"), F.array(F.lit(SEP)),
+    input_ids = F.concat(F.array(F.lit(CLS)), ids, F.array(F.lit(SEP)),
                          F.array_repeat(F.lit(PAD), F.lit(max_len) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
-    return out.select(key, input_ids.alias("input_ids"), mask.alias("attention_mask"),
-                      n.cast("int").alias("n_tokens"))
+    return encoded.select(*keys, input_ids.alias("input_ids"), mask.alias("attention_mask"),
+                          n.cast("int").alias("n_tokens"))
 
 
 def truncation_report(docs: DataFrame, group: str = "task", text: str = "text", max_len: int = MAX_LEN
@@ -115,21 +160,23 @@ def truncation_report(docs: DataFrame, group: str = "task", text: str = "text",
                  F.sum(F.greatest(F.col("__n") - body, F.lit(0))).cast("long").alias("tokens_lost")))
 
 
-def hash_features(docs: DataFrame, key: str = "note_id", text: str = "text", dim: int = 64) -> DataFrame:
-    """M1: hashed bag of words, L2-normalised; long form (key, bucket, weight).
+def hash_features(docs: DataFrame, key: str | Sequence[str] | None = None, text: str = "text", dim: int = 64) -> DataFrame:
+    """M1: hashed bag of words, L2-normalised; long form (keys, bucket, weight).
 
-    bucket = first 32 bits of md5(token) mod dim.  Counts are a partial
+    bucket = first 32 bits of md5(token) mod dim.  A note is all of ``key`` (null counts as a value).  Counts are a partial
     aggregate per (note, bucket) — at most `dim` rows per note leave the map side.
     """
+    keys = note_key(docs, key)
     bucket = (F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    counts = (docs.select(key, F.explode(words(text)).alias("token"))
-              .groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c")))
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))
+    counts = (docs.select(*keys, F.explode(words(text)).alias("token"))
+              .groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c")))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(*keys)))
+    return counts.select(*keys, "bucket", (F.col("c") / norm).alias("weight"))
 
 
-def dense_features(sparse: DataFrame, key: str = "note_id", dim: int = 64) -> DataFrame:
+def dense_features(sparse: DataFrame, key: str | Sequence[str] | None = None, dim: int = 64) -> DataFrame:
     """M1 dense form: array<double> of length dim from the long form."""
-    m = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("__m"))
+    keys = note_key(sparse, key)
+    m = sparse.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("__m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("__m", i), F.lit(0.0)))
-    return m.select(key, vec.alias("features"))
+    return m.select(*keys, vec.alias("features"))

@@ -101,17 +101,17 @@ def q_num_labels(spark, sf):
 
 _IDS_SQL = """
 SELECT n.note_id, n.task, coalesce(x.ids, '') AS label_ids, CAST(coalesce(x.k, 0) AS INTEGER) AS n_ids
-FROM notes_orders n
-LEFT JOIN (SELECT note_id, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY pos) AS ids, count(*) AS k
-           FROM (SELECT note_id, unnest(labels) AS label, generate_subscripts(labels, 1) AS pos
-                 FROM notes_orders) e
+FROM {notes} n
+LEFT JOIN (SELECT task, note_id, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY pos) AS ids, count(*) AS k
+           FROM (SELECT task, note_id, unnest(labels) AS label, generate_subscripts(labels, 1) AS pos
+                 FROM {notes}) e
            JOIN {dict} d ON e.label = d.label
-           GROUP BY note_id) x ON n.note_id = x.note_id"""
+           GROUP BY task, note_id) x ON n.note_id = x.note_id AND n.task IS NOT DISTINCT FROM x.task"""
 
 
-@register("labels_to_ids_strict", _IDS_SQL.format(dict="label_dict"), ("label_dict",))
+@register("labels_to_ids_strict", _IDS_SQL.format(dict="label_dict", notes="keyed_orders"), ("label_dict", "keyed_orders"))
 def q_labels_to_ids_strict(spark, sf):
-    n = T.notes_orders(spark, sf)
+    n = T.keyed(T.notes_orders(spark, sf))
     out = L.labels_to_ids(n, L.label_dictionary(n), strict=True, carry=["task"])
     return out.select("note_id", "task", _ids_str("label_ids").alias("label_ids"),
                       F.size("label_ids").cast("int").alias("n_ids"))
@@ -121,12 +121,12 @@ VIEWS["label_dict_open"] = (("label_dict", "code_list"), """
     SELECT label_id, label FROM label_dict WHERE label NOT IN (SELECT ccs FROM code_list)""")
 
 
-@register("labels_to_ids_lenient", _IDS_SQL.format(dict="label_dict_open"), ("label_dict_open",))
+@register("labels_to_ids_lenient", _IDS_SQL.format(dict="label_dict_open", notes="keyed_orders"), ("label_dict_open", "keyed_orders"))
 def q_labels_to_ids_lenient(spark, sf):
     """Dictionary without the held-out codes: their labels are dropped, not an error."""
-    n = T.notes_orders(spark, sf)
+    n = checkpointed(T.keyed(T.notes_orders(spark, sf)), "notes")
     d = L.label_dictionary(n).join(T.code_list(spark).withColumnRenamed("ccs", "label"), "label", "left_anti")
-    out = L.labels_to_ids(n, d, strict=False, carry=["task"])
+    out = L.labels_to_ids(n, d, strict=False)
     return out.select("note_id", "task", _ids_str("label_ids").alias("label_ids"),
                       F.size("label_ids").cast("int").alias("n_ids"))
 
@@ -143,27 +143,26 @@ LEFT JOIN (SELECT note_id, list(d.label_id) AS ids
            JOIN label_dict d ON e.label = d.label GROUP BY note_id) x ON n.note_id = x.note_id"""
 
 
-def _multi_hot_orders(spark, sf):
-    n = T.notes_orders(spark, sf)
+def _multi_hot(n):
     d = L.label_dictionary(n)
     return L.multi_hot(L.labels_to_ids(n, d, carry=["task"]), L.num_labels(d)), d
 
 
 @register("multi_hot", _MULTI_HOT_SQL, ("label_dict",))
 def q_multi_hot(spark, sf):
-    mh, _ = _multi_hot_orders(spark, sf)
+    mh, _ = _multi_hot(T.notes_orders(spark, sf))
     bits = F.array_join(F.transform("labels_ohe", lambda x: x.cast("int").cast("string")), "")
     n_hot = F.aggregate("labels_ohe", F.lit(0.0), lambda a, x: a + x).cast("int")
     return mh.select("note_id", "task", bits.alias("bits"), n_hot.alias("n_hot"))
 
 
 @register("ids_to_labels",
-          "SELECT note_id, array_to_string(list_sort(list_distinct(labels)), ',') AS decoded FROM notes_orders",
-          ("notes_orders",))
+          "SELECT note_id, task, array_to_string(list_sort(list_distinct(labels)), ',') AS decoded FROM keyed_orders",
+          ("keyed_orders",))
 def q_ids_to_labels(spark, sf):
-    mh, d = _multi_hot_orders(spark, sf)
+    mh, d = _multi_hot(T.keyed(T.notes_orders(spark, sf)))
     out = L.ids_to_labels(mh, d)
-    return out.select("note_id", F.array_join("decoded", ",").alias("decoded"))
+    return out.select("note_id", "task", F.array_join("decoded", ",").alias("decoded"))
 
 
 # ---- A6 -----------------------------------------------------------------------------------------
@@ -192,12 +191,11 @@ def q_scorable_labels(spark, sf):
 
 @register("labels_union", """
 SELECT DISTINCT label FROM (
-  SELECT unnest(labels) AS label FROM notes_orders WHERE task = 'AUTOMOBILE'
+  SELECT unnest(labels) AS label FROM notes_orders
   UNION ALL SELECT unnest(labels) AS label FROM notes_docs) WHERE label IS NOT NULL""",
           ("notes_orders", "notes_docs"))
 def q_labels_union(spark, sf):
-    a = T.notes_orders(spark, sf).where(F.col("task") == "AUTOMOBILE")
-    return L.labels_union(a, T.notes_docs(spark, sf))
+    return L.labels_union(T.notes_orders(spark, sf), T.notes_docs(spark, sf))
 
 
 # ---- P1-P6 --------------------------------------------------------------------------------------
@@ -224,17 +222,21 @@ def q_normalise_columns(spark, sf):
 
 
 @register("select_translation", """
-SELECT doc_id AS note_id, replace(text, 'the', 'THE') AS notes, text AS org_notes FROM documents""")
+SELECT doc_id AS note_id, replace(text, 'the', 'THE') AS notes, text AS org_notes, replace(text, 'la', 'LA') AS "Opus_el_en", 'x' AS selected
+FROM documents
+UNION ALL SELECT doc_id, replace(text, 'la', 'LA'), text, replace(text, 'the', 'THE'), 'y' FROM documents""")
 def q_select_translation(spark, sf):
+    """Each translation chosen once (selected x: the official one, y: the other); the one not chosen stays a column."""
     d = T.table(spark, sf, "documents")
     raw = d.select(F.col("doc_id").alias("note_id"), F.col("text").alias("notes"),
                    F.replace("text", F.lit("the"), F.lit("THE")).alias("official_translation"),
                    F.replace("text", F.lit("la"), F.lit("LA")).alias("Opus_el_en"))
-    return L.select_translation(raw, "official_translation")
+    official = L.select_translation(raw, "official_translation").withColumn("selected", F.lit("x"))
+    other = L.select_translation(raw, "Opus_el_en").withColumnRenamed("official_translation", "Opus_el_en").withColumn("selected", F.lit("y"))
+    return official.unionByName(other)
 
 
-@register("filter_tasks", _IDS_SQL.format(dict="label_dict").replace(
-    "FROM notes_orders n\n", "FROM notes_orders n\n") + "\nWHERE n.task LIKE '%AUTO%' OR n.task LIKE '%MACH%'",
+@register("filter_tasks", _IDS_SQL.format(dict="label_dict", notes="notes_orders") + "\nWHERE n.task LIKE '%AUTO%' OR n.task LIKE '%MACH%'",
           ("label_dict",))
 def q_filter_tasks(spark, sf):
     """The dictionary covers all tasks; the task filter comes after it (reference order)."""
@@ -283,11 +285,12 @@ def q_unused_labels(spark, sf):
 
 @register("split_support_by_label", """
 SELECT label, split, positives, round(positives / sum(positives) OVER (PARTITION BY label), 6) AS share
-FROM (SELECT label, split, count(DISTINCT note_id) AS positives FROM split_labels GROUP BY ALL)""",
+FROM (SELECT label, split, count(*) AS positives FROM split_labels GROUP BY ALL)""",
           ("split_labels",))
 def q_split_support_by_label(spark, sf):
-    s = notes_split(spark, sf)
-    ex = s.select("note_id", "split", F.explode("labels").alias("label"))
+    """The order notes as tasks that share ids: a count of ids alone would be too low."""
+    s = T.keyed(notes_split(spark, sf))
+    ex = s.select("task", "note_id", "split", F.explode("labels").alias("label"))
     return L.split_support_by_label(ex).withColumn("share", F.round("share", 6))
 
 

@@ -51,14 +51,17 @@ def _truth(spark, sf):
     """Positive (note, label) pairs from the note label lists, mapped to the fixed ids."""
     ids = F.create_map(*[x for i, lab in enumerate(T.PRED_LABELS) for x in (F.lit(lab), F.lit(i))])
     n = T.notes_docs(spark, sf)
-    return n.select("note_id", F.explode("labels").alias("label")).select(
-        "note_id", F.element_at(ids, F.col("label")).alias("label_id"))
+    return n.select("task", "note_id", F.explode("labels").alias("label")).select(
+        "task", "note_id", F.element_at(ids, F.col("label")).alias("label_id"))
 
 
-@register("align_predictions", "SELECT task, note_id, label_id, y_prob, y_true FROM preds", ("preds",))
+@register("align_predictions", """
+SELECT CASE WHEN note_id % 5 < 4 THEN task || '-' || CAST(note_id % 5 AS VARCHAR) END AS task, note_id // 5 AS note_id, label_id, y_prob, y_true
+FROM preds""", ("preds",))
 def q_align_predictions(spark, sf):
+    """Notes of tasks that share ids."""
     scores = T.preds(spark, sf).select("task", "note_id", "label_id", "y_prob")
-    return M.align_predictions(scores, _truth(spark, sf))
+    return M.align_predictions(T.keyed(scores), T.keyed(_truth(spark, sf)))
 
 
 @register("sigmoid", "SELECT note_id, label_id, round(1.0 / (1.0 + exp(-logit)), 6) AS p FROM preds", ("preds",))

@@ -21,6 +21,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                list_concat(CASE WHEN l.quality = 1 THEN ['quality'] ELSE []::VARCHAR[] END,
                            CASE WHEN l.toxic = 1 THEN ['toxic'] ELSE []::VARCHAR[] END) AS labels
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
+    "keyed_orders": (("notes_orders",), """
+        SELECT note_id // 5 AS note_id, subject_id, CASE WHEN note_id % 5 < 4 THEN task || '-' || CAST(note_id % 5 AS VARCHAR) END AS task,
+               labels FROM notes_orders"""),
+    "keyed_docs": (("notes_docs",), """
+        SELECT note_id // 5 AS note_id, subject_id, CASE WHEN note_id % 5 < 4 THEN task || '-' || CAST(note_id % 5 AS VARCHAR) END AS task,
+               text, labels FROM notes_docs"""),
     "preds": ((), """
         SELECT task, note_id, label_id, y_true,
                CAST(((note_id * 7919 + label_id * 104729) % 101) AS DOUBLE) / 100.0 AS y_prob,

@@ -10,6 +10,7 @@ from curata.operators import text as TX
 from curata.plans.corpus_queries import notes_split
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
+from curata.session import checkpointed
 from curata.sources import tables as T
 
 VOCAB_SIZE = None          # every word of the documents
@@ -38,7 +39,7 @@ VIEWS["vocab"] = ((), """
 
 
 def _sections(spark, sf):
-    return TX.extract_sections(T.section_notes(spark, sf))
+    return TX.extract_sections(T.spread(T.section_notes(spark, sf)))
 
 
 _SEC_COLS = [n for n, _ in X.SECTIONS]
@@ -133,26 +134,27 @@ def q_run_stamp(spark, sf):
 
 @register("build_vocab", "SELECT token_id, token, n FROM vocab", ("vocab",))
 def q_build_vocab(spark, sf):
-    return TX.build_vocab(T.table(spark, sf, "documents"), max_size=VOCAB_SIZE)
+    return TX.build_vocab(T.spread(T.table(spark, sf, "documents").select("text")), max_size=VOCAB_SIZE)
 
 
 @register("encode_tokens", """
-SELECT d.doc_id AS note_id,
+SELECT n.note_id, n.task,
        array_to_string(list_resize(list_concat([1], coalesce(x.ids, []::INTEGER[]), [2]), 512, 0), ' ') AS input_ids,
        CAST(len(coalesce(x.ids, []::INTEGER[])) + 2 AS INTEGER) AS n_tokens
-FROM documents d
-LEFT JOIN (SELECT t.doc_id, list(coalesce(v.token_id, 3) ORDER BY t.pos) AS ids
-           FROM (SELECT doc_id, unnest(tok) AS token, generate_subscripts(tok, 1) AS pos
-                 FROM (SELECT doc_id,
+FROM keyed_docs n
+LEFT JOIN (SELECT t.task, t.note_id, list(coalesce(v.token_id, 3) ORDER BY t.pos) AS ids
+           FROM (SELECT task, note_id, unnest(tok) AS token, generate_subscripts(tok, 1) AS pos
+                 FROM (SELECT task, note_id,
                               list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:510] AS tok
-                       FROM documents)) t
+                       FROM keyed_docs)) t
            LEFT JOIN (SELECT token, token_id FROM vocab WHERE token_id > 3) v ON t.token = v.token
-           GROUP BY t.doc_id) x ON d.doc_id = x.doc_id""", ("vocab",))
+           GROUP BY t.task, t.note_id) x ON n.note_id = x.note_id AND n.task IS NOT DISTINCT FROM x.task""", ("vocab", "keyed_docs"))
 def q_encode_tokens(spark, sf):
-    docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), "text")
-    vocab = TX.build_vocab(T.table(spark, sf, "documents"), max_size=VOCAB_SIZE)
-    enc = TX.encode_tokens(docs, vocab)
-    return enc.select("note_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
+    """Notes of tasks that share ids; the vocabulary holds every word, written once."""
+    docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), F.col("lang").alias("task"), "text")
+    vocab = checkpointed(TX.build_vocab(T.spread(docs.select("text")), max_size=VOCAB_SIZE), "vocab")
+    enc = TX.encode_tokens(T.keyed(T.spread(docs)), vocab)
+    return enc.select("note_id", "task", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
                       "n_tokens")
 
 
@@ -163,17 +165,18 @@ FROM (SELECT lang, len(list_filter(regexp_split_to_array(lower(text), '\\s+'), l
       FROM documents)
 GROUP BY lang""")
 def q_truncation_report(spark, sf):
-    d = T.table(spark, sf, "documents").withColumnRenamed("lang", "task")
-    return TX.truncation_report(d)
+    d = T.table(spark, sf, "documents").select(F.col("lang").alias("task"), "text")
+    return TX.truncation_report(T.spread(d))
 
 
 @register("hash_features", """
-SELECT note_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY note_id)), 6) AS weight
-FROM (SELECT doc_id AS note_id, CAST(('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket,
+SELECT note_id, task, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY task, note_id)), 6) AS weight
+FROM (SELECT note_id, task, CAST(('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket,
              count(*) AS c
-      FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS token FROM documents)
-      WHERE token <> '' GROUP BY ALL)""")
+      FROM (SELECT note_id, task, unnest(regexp_split_to_array(lower(text), '\\s+')) AS token FROM keyed_docs)
+      WHERE token <> '' GROUP BY ALL)""", ("keyed_docs",))
 def q_hash_features(spark, sf):
-    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), "text")
-    f = TX.hash_features(d)
-    return f.select("note_id", "bucket", F.round("weight", 6).alias("weight"))
+    """Notes of tasks that share ids."""
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), F.col("lang").alias("task"), "text")
+    f = TX.hash_features(T.keyed(T.spread(d)))
+    return f.select("note_id", "task", "bucket", F.round("weight", 6).alias("weight"))

@@ -71,6 +71,19 @@ def notes_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _doc_label_list(F.col("quality"), F.col("toxic")).alias("labels")))
 
 
+def keyed(notes: DataFrame) -> DataFrame:
+    """The same notes as tasks that number their notes on their own: five tasks share each id, one of them is null."""
+    part = F.col("note_id") % 5
+    return notes.withColumns({"task": F.when(part < 4, F.concat("task", F.lit("-"), part.cast("string"))),
+                              "note_id": F.floor(F.col("note_id") / 5).cast("long")})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores: a test table is one row group, so one task would do all work on its texts.
+    (On a large table the scan has splits enough; nothing in the library repartitions.)"""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction table: labelled documents x {quality 0, toxic 1}, scores with many ties."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -94,3 +94,46 @@ def test_rank_without_groups(spark):
     df = spark.createDataFrame([(f"k{i * 7 % 50:02d}", float(i)) for i in range(50)], "a string, b double")
     assert [r["rn"] for r in ordered_row_number(df, [], "a").orderBy("a").collect()] == list(range(1, 51))
     assert [r["rn"] for r in ordered_row_number(df, [], "b").orderBy("b").collect()] == list(range(1, 51))
+
+
+def test_equal_ids_of_tasks_stay_apart(spark):
+    """Two tasks and a null one use the same note ids; ids, texts and labels must not mix."""
+    from curata.operators import text as TX
+    rows = [("a", 1, "x y z", ["A", "B"]), ("b", 1, "y", ["B"]), (None, 1, "z z w", []), ("a", 2, None, ["A"])]
+    df = spark.createDataFrame(rows, "task string, note_id long, text string, labels array<string>").repartition(3)
+    vocab = TX.build_vocab(df)
+    ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+    assert ids == {"[PAD]": 0, "[CLS]": 1, "[SEP]": 2, "[UNK]": 3, "z": 4, "y": 5, "w": 6, "x": 7}
+    for head in (0, 1, 2, 100):                      # all rare, some rare, none rare
+        enc = {(r["task"], r["note_id"]): (r["input_ids"][:r["n_tokens"]], sum(r["attention_mask"])) for r in TX.encode_tokens(df, vocab, max_len=6, head_words=head).collect()}
+        assert enc == {("a", 1): ([1, 7, 5, 4, 2], 5), ("b", 1): ([1, 5, 2], 3), (None, 1): ([1, 4, 4, 6, 2], 5), ("a", 2): ([1, 2], 2)}
+    small = TX.build_vocab(df, min_count=2)
+    unk = {(r["task"], r["note_id"]): r["input_ids"][:r["n_tokens"]] for r in TX.encode_tokens(df, small, head_words=1).collect()}
+    assert unk[("a", 1)] == [1, 3, 5, 4, 2] and unk[(None, 1)] == [1, 4, 4, 3, 2]
+    assert TX.encode_tokens(df.limit(0), small).count() == 0
+    twice = TX.encode_tokens(df.unionByName(df), vocab, head_words=1)
+    assert twice.count() == 8 and twice.distinct().count() == 4
+    feats = {(r["task"], r["note_id"]): r["weight"] for r in TX.hash_features(df, dim=1).collect()}
+    assert feats == {("a", 1): 1.0, ("b", 1): 1.0, (None, 1): 1.0}
+    d = L.label_dictionary(df)
+    want = {("a", 1): [0, 1], ("b", 1): [1], (None, 1): [], ("a", 2): [0]}
+    for out in (L.labels_to_ids(df, d), L.labels_to_ids(df, d, carry=[])):
+        assert {(r["task"], r["note_id"]): r["label_ids"] for r in out.collect()} == want
+    names = L.ids_to_labels(L.multi_hot(L.labels_to_ids(df, d), 2), d)
+    assert {(r["task"], r["note_id"]): r["decoded"] for r in names.collect()} == {k: ["AB"[i] for i in v] for k, v in want.items()}
+    ex = df.select("task", "note_id", F.lit("train").alias("split"), F.explode("labels").alias("label"))
+    assert {r["label"]: r["positives"] for r in L.split_support_by_label(ex).collect()} == {"A": 2, "B": 2}
+    scores = df.select("task", "note_id", F.lit(1).alias("label_id"), F.lit(0.5).alias("y_prob"))
+    truth = df.where("task = 'b'").select("task", "note_id", F.lit(1).alias("label_id"))
+    assert {(r["task"], r["note_id"]): r["y_true"] for r in M.align_predictions(scores, truth).collect()} == {("a", 1): 0, ("b", 1): 1, (None, 1): 0, ("a", 2): 0}
+
+
+def test_range_ranks_split_ties(spark):
+    from curata.operators.ranking import range_row_number
+    rows = [(i % 3 if i % 7 else None, 1 if i % 10 else i, f"t{i * 37 % 5000:04d}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "g int, n int, t string").repartition(5)
+    got = range_row_number(df, ["g"], [F.desc("n"), F.asc("t")], ranges=64).collect()
+    for g in (None, 0, 1, 2):
+        own = sorted((r["rn"], -r["n"], r["t"]) for r in got if r["g"] == g)
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted((-n, t) for k, n, t in rows if k == g)
+    assert range_row_number(df.limit(0), [], [F.asc("t")]).count() == 0
