@@ -1,6 +1,6 @@
 """Splits, seeded order, batches, set operations and split statistics.
 
-W3-W4, D1-D3, U1-U4, J5, A8-A9, O1-O2, O4.  Row order is not a Spark notion:
+W3-W4, D1 (systematic; `stratify.iterative_split` is the iterative form), D2-D3, U1-U4, J5, A8-A9, O1-O2, O4.  Row order is not a Spark notion:
 every order-dependent operator takes an explicit key, and "random" order is a
 seeded md5 of that key (the same string hashes the same in DuckDB).  Ranks
 inside groups use the two-level form of ``curata.operators.ranking`` so that a

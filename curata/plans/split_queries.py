@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curata.operators import labels as L
 from curata.operators import splits as S
+from curata.operators import stratify as ST
 from curata.plans.corpus_queries import notes_split
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
@@ -41,6 +42,19 @@ def q_stratified_split(spark, sf):
     return notes_split(spark, sf).select("note_id", "task", "stratum", "split")
 
 
+@register("iterative_split", """
+SELECT task, label, split, positives, round(CAST(positives * share AS DOUBLE), 6) AS quota, n_notes, true AS met
+FROM (SELECT task, label, count(*) AS positives FROM (SELECT DISTINCT note_id, task, unnest(labels) AS label FROM notes_orders) GROUP BY ALL)
+JOIN (SELECT task, count(*) AS n_notes FROM notes_orders GROUP BY task) USING (task),
+  (VALUES ('train', 0.66), ('dev', 0.17), ('test', 0.17)) s(split, share)""", ("notes_orders",))
+def q_iterative_split(spark, sf):
+    """D1 over all order notes, those without labels too: every label's quota per split, and whether the notes it got are within one of
+    it (asked of labels with 6 notes or more); n_notes counts the notes that have a split."""
+    q = ST.label_quotas(ST.iterative_split(T.notes_orders(spark, sf)))
+    met = (F.abs(F.col("assigned") - F.col("quota")) <= 1) | (F.col("positives") < 6)
+    return q.select("task", "label", "split", "positives", F.round("quota", 6).alias("quota"), "n_notes", met.alias("met"))
+
+
 @register("pad_split_to_multiple", "SELECT note_id, task, split FROM padded_split", ("padded_split",))
 def q_pad_split_to_multiple(spark, sf):
     return padded(spark, sf).select("note_id", "task", "split")
