@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def headers_of(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[st
              .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")))
     found: dict[tuple[str, ...], list[str]] = {}
     for r in lines.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect():
-        found.setdefault(tuple(next(csv.reader([r["header"]]), ())), []).append(r["path"])
+        found.setdefault(tuple(next(csv.reader([r["header"]]), ())), []).append(unquote(r["path"]))
     return found
 
 
