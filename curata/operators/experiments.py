@@ -1,8 +1,7 @@
 """Trial logs, early stopping, result matrices and forgetting.
 
-Per-trial windows are bounded by the epoch limit of a trial (100 in the
-reference's configs); per-study aggregates are hash aggregates.  The result
-matrix stays long; the pivot is for display only.
+A trial's log is folded in one row, bounded by the epoch limit of a trial;
+per-study aggregates are hash aggregates.  The result matrix stays long; the pivot is for display only.
 """
 
 from __future__ import annotations
@@ -20,9 +19,47 @@ BATCH_SIZE = 8
 ACCUMULATION = 4
 
 
+def trial_outcomes(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), patience: int = PATIENCE) -> DataFrame:
+    """W1 and W2 in one pass: (keys, stop_epoch, best_epoch, best_value) of every trial (mode max).
+
+    One aggregation gathers a trial's epochs, at most its epoch limit (100 in the reference's configs), sorts them and folds them: a value
+    strictly above the best so far is the new best; training stops at the first epoch that lies ``patience`` or more after the
+    best one, else with the last epoch.  What comes after the stop doesn't count.
+
+    A value that isn't finite (NaN, infinite) stops the trial at its epoch, as a finiteness check does, and is never the best; an epoch without a
+    value (null) is skipped.  A trial without a finite value has no best.  Null keys are a trial of their own.  For logs without an epoch limit use
+    ``early_stop_long``.
+    """
+    k = list(keys)
+    epoch = F.when(F.col("value").isNotNull(), F.struct(F.col("epoch").cast("int").alias("epoch"), F.col("value").cast("double").alias("value")))
+    logs = metrics.groupBy(*k).agg(F.sort_array(F.collect_list(epoch)).alias("__log"), F.max("epoch").cast("int").alias("__last"))
+    none = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("int").alias("best_epoch"), F.lit(None).cast("int").alias("since"), F.lit(None).cast("int").alias("stop"))
+
+    def step(state: Column, x: Column) -> Column:
+        finite = ~F.isnan(x["value"]) & (F.abs(x["value"]) != float("inf"))
+        better = finite & (state["best"].isNull() | (x["value"] > state["best"]))
+        since = F.when(better | state["since"].isNull(), x["epoch"]).otherwise(state["since"])
+        over = ~finite | (x["epoch"] - since >= patience)
+        new = F.struct(F.when(better, x["value"]).otherwise(state["best"]).alias("best"), F.when(better, x["epoch"]).otherwise(state["best_epoch"]).alias("best_epoch"),
+                       since.alias("since"), F.when(over, x["epoch"]).alias("stop"))
+        return F.when(state["stop"].isNotNull(), state).otherwise(new)
+
+    folded = logs.withColumn("__s", F.aggregate("__log", none, step))
+    return folded.select(*k, F.coalesce("__s.stop", "__last").alias("stop_epoch"), F.col("__s.best_epoch").alias("best_epoch"), F.col("__s.best").alias("best_value"))
+
+
 def early_stop(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), patience: int = PATIENCE) -> DataFrame:
-    """First epoch whose metric has not strictly improved on the running best for
-    `patience` epochs (mode max); the last epoch if that never happens.
+    """The epoch at which each trial stops (``trial_outcomes``)."""
+    return trial_outcomes(metrics, keys, patience).select(*keys, "stop_epoch")
+
+
+def best_checkpoint(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), patience: int = PATIENCE) -> DataFrame:
+    """First epoch reaching the maximum up to the stop epoch; its value is the trial score (``trial_outcomes``)."""
+    return trial_outcomes(metrics, keys, patience)
+
+
+def early_stop_long(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), patience: int = PATIENCE) -> DataFrame:
+    """W1 for logs of any length (finite values, epochs 0, 1, 2, ...), spread over tasks.
 
     The running best (inclusive) is non-decreasing, and it changes exactly at the
     improving epochs; so each value of it is a plateau whose first epoch s is an
@@ -38,18 +75,6 @@ def early_stop(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), pat
     return plateaus.groupBy(*k).agg(F.coalesce(stop, F.max("__e")).cast("int").alias("stop_epoch"))
 
 
-def best_checkpoint(metrics: DataFrame, keys: Sequence[str] = ("study", "trial"), patience: int = PATIENCE
-                    ) -> DataFrame:
-    """First epoch reaching the maximum up to the stop epoch; its value is the trial score."""
-    k = list(keys)
-    stops = early_stop(metrics, k, patience)
-    upto = metrics.join(stops, k).where(F.col("epoch") <= F.col("stop_epoch"))
-    order = F.struct(F.col("value"), -F.col("epoch"))
-    return upto.groupBy(*k).agg(F.first("stop_epoch").alias("stop_epoch"),
-                                F.max_by("epoch", order).alias("best_epoch"),
-                                F.max("value").alias("best_value"))
-
-
 def study_summary(trials: DataFrame, param_names: Sequence[str] = ("learning_rate", "warmup_steps")) -> DataFrame:
     """Trials total, pruned, complete per study; the best complete trial (maximise,
     lowest trial number on ties) with its value and parameters."""
@@ -123,3 +148,10 @@ def eval_grid(test_notes: DataFrame, steps: DataFrame) -> DataFrame:
     return test_notes.withColumn("__s", arr).select("*", F.explode("__s").alias("__x")).select(
         F.col("__x.train_step").alias("train_step"), F.col("__x.trained_task").alias("trained_task"),
         *[c for c in test_notes.columns])
+
+
+def eval_grid_counts(test_notes: DataFrame, steps: DataFrame) -> DataFrame:
+    """J7 as counts: (train_step, trained_task, task, n_notes), from the notes of each task and the step list; no note is copied."""
+    arr = steps.agg(F.sort_array(F.collect_list(F.struct("train_step", "trained_task")))).scalar()
+    counts = test_notes.groupBy("task").agg(F.count(F.lit(1)).alias("n_notes")).withColumn("__s", arr)
+    return counts.select(F.explode("__s").alias("__x"), "task", "n_notes").select("__x.train_step", "__x.trained_task", "task", "n_notes")

@@ -132,6 +132,4 @@ def q_eval_grid(spark, sf):
         (F.row_number().over(Window.orderBy("task")) - 1).cast("int").alias("train_step"),
         F.col("task").alias("trained_task"))
     test = s.where(F.col("split") == "test").select("note_id", "task")
-    g = E.eval_grid(test, steps)
-    return (g.groupBy("train_step", "trained_task", F.col("task").alias("eval_task"))
-            .agg(F.count(F.lit(1)).alias("n_notes")))
+    return E.eval_grid_counts(test, steps).withColumnRenamed("task", "eval_task")

@@ -145,13 +145,14 @@ def q_rows_except(spark, sf):
 
 
 @register("split_leakage", """
-SELECT p.split_a, p.split_b,
-       (SELECT count(*) FROM (SELECT DISTINCT subject_id, split FROM notes_split) a
-        JOIN (SELECT DISTINCT subject_id, split FROM notes_split) b ON a.subject_id = b.subject_id
-        WHERE a.split = p.split_a AND b.split = p.split_b) AS shared_subjects
-FROM (VALUES ('dev', 'test'), ('dev', 'train'), ('test', 'train')) p(split_a, split_b)""", ("notes_split",))
+SELECT t.task, p.split_a, p.split_b,
+       (SELECT count(*) FROM (SELECT DISTINCT task, subject_id, split FROM notes_split) a
+        JOIN (SELECT DISTINCT task, subject_id, split FROM notes_split) b ON a.subject_id = b.subject_id AND a.task = b.task
+        WHERE a.split = p.split_a AND b.split = p.split_b AND a.task = t.task) AS shared_subjects
+FROM (SELECT DISTINCT task FROM notes_split) t, (VALUES ('dev', 'test'), ('dev', 'train'), ('test', 'train')) p(split_a, split_b)""", ("notes_split",))
 def q_split_leakage(spark, sf):
-    return S.split_leakage(notes_split(spark, sf))
+    """J5 between the splits of each task."""
+    return S.split_leakage(notes_split(spark, sf), groups=["task"])
 
 
 @register("rank_tasks_by_size", """

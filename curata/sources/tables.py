@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curata.operators.ranking import ordered_row_number
-
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -113,7 +111,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-epoch validation metric of a trial: events of one user and type in time order."""
     ev = table(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id", "value")
-    r = ordered_row_number(ev, ["event_type", "user_id"], "ts", ["event_id"], out="__r")
+    r = ev.withColumn("__r", F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")))
     return r.select(F.col("event_type").alias("study"),
                     F.col("user_id").alias("trial"),
                     (F.col("__r") - 1).cast("int").alias("epoch"),

@@ -48,6 +48,26 @@ def test_early_stop_and_best_epoch(spark):
         upto = vals[: stop + 1]
         assert got[t]["best_epoch"] == upto.index(max(upto))
     assert got[3]["stop_epoch"] == 5 and got[4]["best_epoch"] == 1
+    long = {r["trial"]: r["stop_epoch"] for r in E.early_stop_long(m).collect()}
+    assert long == {t: r["stop_epoch"] for t, r in got.items()}
+
+
+def test_values_that_are_not_finite_or_missing(spark):
+    nan, inf = float("nan"), float("inf")
+    series = {1: [0.1, nan, 0.9], 2: [nan, 0.5], 3: [0.2, inf], 4: [0.3, None, 0.2, 0.1, 0.1, 0.9], 5: [None, None], 6: [0.4, -inf, 0.5], None: [0.1, 0.2]}
+    rows = [("s", t, e, v) for t, vals in series.items() for e, v in enumerate(vals)]
+    got = {r["trial"]: tuple(r)[2:] for r in E.trial_outcomes(spark.createDataFrame(rows, "study string, trial long, epoch int, value double")).collect()}
+    # (stop, best epoch, best value): a value that is not finite stops its trial and is never the best
+    assert got[1] == (1, 0, 0.1) and got[2] == (0, None, None) and got[3] == (1, 0, 0.2) and got[6] == (1, 0, 0.4)
+    assert got[4] == (4, 0, 0.3)                                  # the epoch without a value is skipped, patience counts epochs
+    assert got[5] == (1, None, None) and got[None] == (1, 1, 0.2)
+
+
+def test_eval_grid_counts_equal_the_exploded_form(spark):
+    notes = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "note_id long, task string")
+    steps = spark.createDataFrame([(0, "a"), (1, "b")], "train_step int, trained_task string")
+    wide = E.eval_grid(notes, steps).groupBy("train_step", "trained_task", "task").count()
+    assert sorted(map(str, E.eval_grid_counts(notes, steps).collect())) == sorted(str(r).replace("count=", "n_notes=") for r in wide.collect())
 
 
 def test_study_summary_ties_lowest_trial(spark):
