@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions.numeric import sigmoid
-from curata.operators.head import (Head, fit_linear_head, fit_linear_heads, head_catalogue_lookup, head_from_rows,
-                                   score_linear_head)
+from curata.operators.catalogue import HeadCatalogue
+from curata.operators.experiments import PATIENCE, best_checkpoint, study_summary
+from curata.operators.head import Head, fit_linear_head, gradient_pass, head_from_rows, lr_at, score_linear_head
 from curata.operators.metrics import auroc_macro_weighted, auroc_micro
-from curata.session import checkpointed, path_exists
+from curata.session import checkpointed, shared_dir
+
+SNAPSHOT = "study string, trial bigint, epoch int, label_id int, weights array<double>, bias double"
 
 
 def prediction_cells(df: DataFrame, head: Head, features: str = "embedding", targets: str = "label_ids",
@@ -41,30 +44,25 @@ def evaluate(df: DataFrame, head: Head, features: str = "embedding", targets: st
 def continual_run(feats: DataFrame, sequence: Sequence[str], n_labels: int, dim: int, epochs: int, lr: float,
                   catalogue: str | None = None, experiment: str = "run", features: str = "embedding",
                   targets: str = "label_ids") -> DataFrame:
-    """M3: for each task in order, reuse a stored head (S10) or fit from the previous head
-    (M2); then evaluate on all tasks.  Output: (train_step, trained_task, seq_key,
+    """M3: for each task in order, reuse a stored head of the ``catalogue`` (a folder, S10) or fit from the previous head
+    (M2) and publish it; then evaluate on all tasks.  Output: (train_step, trained_task, seq_key,
     eval_task, auroc_macro, auroc_micro) — the long form of the result matrix."""
     spark = feats.sparkSession
     feats = checkpointed(feats.select("note_id", "task", "split", features, targets))
     test = feats.where(F.col("split") == "test")
     head = Head.zeros(n_labels, dim)
+    heads = HeadCatalogue(spark, catalogue) if catalogue is not None else None
     out = []
     for i, task in enumerate(sequence):
         seq_key = "_".join(sequence[: i + 1])
-        stored = None
-        if catalogue is not None and path_exists(spark, catalogue):
-            rows = head_catalogue_lookup(spark.read.parquet(catalogue), experiment, i, seq_key).collect()  # <= L rows
-            if rows:
-                stored = head_from_rows(rows, n_labels, dim)
-        if stored is not None:
-            head = stored
-        else:
+        known = heads.lookup(experiment, i, seq_key) if heads else None
+        if known is None:
             train = feats.where((F.col("task") == task) & (F.col("split") == "train"))
             head = fit_linear_head(train, head, lr, epochs, features=features, targets=targets)
-            if catalogue is not None:
-                (head.to_frame(spark, experiment=experiment, step=i, seq_key=seq_key, version=0, promoted=False,
-                               trial=-1, learning_rate=float(lr))
-                 .write.mode("append").parquet(catalogue))
+            if heads and not heads.publish(head.to_frame(spark), experiment, i, seq_key, learning_rate=float(lr)):
+                known = heads.lookup(experiment, i, seq_key)         # another run was first: go on with its head
+        if known is not None:
+            head = head_from_rows(heads.rows([known]).collect(), n_labels, dim)      # <= L rows
         ev = evaluate(test, head, features, targets)
         out.append(ev.select(F.lit(i).alias("train_step"), F.lit(task).alias("trained_task"),
                              F.lit(seq_key).alias("seq_key"), "eval_task", "auroc_macro", "auroc_micro"))
@@ -76,53 +74,71 @@ def continual_run(feats: DataFrame, sequence: Sequence[str], n_labels: int, dim:
 
 def trial_grid(train: DataFrame, dev: DataFrame, grid: Sequence[tuple[float, int]], n_labels: int, dim: int,
                epochs: int, init: Head | None = None, study: str = "study", features: str = "embedding",
-               targets: str = "label_ids") -> tuple[DataFrame, DataFrame, list[Head]]:
+               targets: str = "label_ids", patience: int = PATIENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M4: every (learning rate, warm-up) trial trained in the same passes over `train`.
 
-    After each epoch all K heads are scored on `dev` in one job (the K heads are
-    stacked into one K*L head) and their macro AUROC per trial is logged.
-    Returns (epoch_metrics, trials, heads).
+    After each epoch the heads are scored on `dev` in one job (stacked into one head of K*L
+    labels), their macro AUROC per trial is logged and the heads are written as snapshots of the epoch.  A trial whose AUROC has not
+    improved for ``patience`` epochs, or is missing, stops and leaves the stacked passes.
+    Returns (epoch_metrics, trials, snapshots); snapshots: (study, trial, epoch, label_id, weights, bias).
     """
     spark = train.sparkSession
     train = checkpointed(train.select(features, targets))
     dev = checkpointed(dev.select("note_id", "task", features, targets))
     init = init or Head.zeros(n_labels, dim)
-    k = len(grid)
+    store = shared_dir(spark, "snapshots")
+    w, b = np.stack([init.weights] * len(grid)).astype(np.float64), np.stack([init.bias] * len(grid)).astype(np.float64)
     log: list[tuple] = []
-
-    def on_epoch(e: int, heads: list[Head]) -> None:
-        stacked = Head(np.concatenate([h.weights for h in heads]), np.concatenate([h.bias for h in heads]))
+    best, since = [-np.inf] * len(grid), [0] * len(grid)
+    active = list(range(len(grid)))
+    for e in range(epochs):
+        if not active:
+            break
+        g, gb, n = gradient_pass(train, w[active], b[active], features, targets)
+        if not n:
+            break
+        for at, t in enumerate(active):
+            size = lr_at(e, grid[t][0], grid[t][1], epochs) / (n * n_labels)
+            w[t] -= size * g[at]
+            b[t] -= size * gb[at]
+        rows = [(study, t, e, i, w[t, i].tolist(), float(b[t, i])) for t in active for i in range(n_labels)]       # K x L rows
+        spark.createDataFrame(rows, SNAPSHOT).coalesce(1).write.parquet(f"{store}/at={e}")
+        stacked = Head(np.concatenate(w[active]), np.concatenate(b[active]))
         s = score_linear_head(dev, stacked, features, keep=[targets])
-        cells = s.select((F.col("label_id") / n_labels).cast("int").alias("trial"), "note_id",
-                         (F.col("label_id") % n_labels).alias("label_id"),
-                         F.array_contains(targets, (F.col("label_id") % n_labels).cast("int")).cast("int")
-                         .alias("y_true"), sigmoid("logit").alias("y_prob"))
-        per = auroc_macro_weighted(cells, group=("trial",)).collect()   # K rows
-        for r in per:
-            log.append((study, int(r["trial"]), e, float(r["auroc_macro"])))
-
-    heads = fit_linear_heads(train, [init] * k, [g[0] for g in grid], [g[1] for g in grid], epochs,
-                             features, targets, on_epoch)
+        label = F.col("label_id") % n_labels
+        cells = s.select((F.col("label_id") / n_labels).cast("int").alias("at"), "note_id", label.alias("label_id"),
+                         F.array_contains(targets, label.cast("int")).cast("int").alias("y_true"), sigmoid("logit").alias("y_prob"))
+        found = {r["at"]: r["auroc_macro"] for r in auroc_macro_weighted(cells, group=("at",)).collect()}           # K rows
+        values = [found.get(at) for at in range(len(active))]
+        log += [(study, t, e, None if v is None else float(v)) for t, v in zip(active, values)]
+        for t, v in zip(list(active), values):
+            if v is not None and v > best[t]:
+                best[t], since[t] = v, e
+            elif v is None or e - since[t] >= patience:
+                active.remove(t)
     metrics = spark.createDataFrame(log, "study string, trial bigint, epoch int, value double")
     trials = spark.createDataFrame(
         [(study, t, "COMPLETE", {"learning_rate": float(grid[t][0]), "warmup_steps": float(grid[t][1])})
-         for t in range(k)], "study string, trial bigint, state string, params map<string,double>")
-    return metrics, trials, heads
+         for t in range(len(grid))], "study string, trial bigint, state string, params map<string,double>")
+    snapshots = spark.read.schema(SNAPSHOT).parquet(*[f"{store}/at={e}" for e in sorted({r[2] for r in log})]) if log else spark.createDataFrame([], SNAPSHOT)
+    return metrics, trials, snapshots
 
 
-def select_best_head(best: DataFrame, heads: list[Head], catalogue: str, experiment: str, step: int,
-                     seq_key: str) -> DataFrame:
-    """M5: the best trial's head (from A19/W2) is appended to the catalogue, promoted.
+def select_best_head(metrics: DataFrame, trials: DataFrame, snapshots: DataFrame, catalogue: str, experiment: str, step: int,
+                     seq_key: str, patience: int = PATIENCE) -> DataFrame:
+    """M5: the best trial's head of its best epoch (W2, A19), by a join with the snapshots, is published as promoted.
 
-    `best` has one row (trial, learning_rate); a missing best trial is an error.
+    Returns the promoted head with the trial's learning rate and epoch.  No trial with a value is an error; a head
+    that was promoted before under the same name stays.
     """
-    rows = best.select("trial", "learning_rate").limit(1).collect()
-    if not rows:
-        raise ValueError("no best trial to promote")
-    t, lr = int(rows[0]["trial"]), float(rows[0]["learning_rate"])
-    spark = best.sparkSession
-    frame = heads[t].to_frame(spark, experiment=experiment, step=step, seq_key=seq_key, version=1,
-                              promoted=True, trial=t, learning_rate=lr)
-    frame.write.mode("append").parquet(catalogue)
-    return spark.read.parquet(catalogue).where(
-        F.col("promoted") & (F.col("experiment") == experiment) & (F.col("step") == step) & (F.col("seq_key") == seq_key))
+    outcome = best_checkpoint(metrics, patience=patience).select("study", "trial", "best_epoch", F.col("best_value").alias("value"))
+    scored = trials.join(outcome, ["study", "trial"]).where(F.col("value").isNotNull())
+    best = study_summary(scored).select("study", F.col("best_trial").alias("trial"), F.col("best_learning_rate").alias("learning_rate"))
+    chosen = best.join(outcome, ["study", "trial"]).select("study", "trial", F.col("best_epoch").alias("epoch"), "learning_rate")
+    rows = chosen.collect()                           # one per study
+    if len(rows) != 1:
+        raise ValueError(f"{len(rows)} best trials to promote, not one")
+    head = snapshots.join(chosen, ["study", "trial", "epoch"])
+    heads = HeadCatalogue(metrics.sparkSession, catalogue)
+    heads.publish(head, experiment, step, seq_key, version=1, promoted=True, trial=rows[0]["trial"], epoch=rows[0]["epoch"], learning_rate=rows[0]["learning_rate"])
+    return heads.rows([heads.lookup(experiment, step, seq_key)])

@@ -80,8 +80,8 @@ def score_linear_head(df: DataFrame, head: Head, features: str = "embedding", ke
 GRAD_CHUNK = 1024      # doubles per row of a partial gradient
 
 
-def _grad_pass(df: DataFrame, heads: np.ndarray, biases: np.ndarray, features: str, targets: str
-               ) -> tuple[np.ndarray, np.ndarray, int]:
+def gradient_pass(df: DataFrame, heads: np.ndarray, biases: np.ndarray, features: str, targets: str
+                  ) -> tuple[np.ndarray, np.ndarray, int]:
     """Summed BCE gradient of K heads at once: (K, L, D), (K, L) and the row count.
 
     heads: (K, L, D); biases: (K, L).  `targets` is array<int> of positive label ids.
@@ -160,7 +160,7 @@ def fit_linear_heads(df: DataFrame, inits: Sequence[Head], lrs: Sequence[float],
     b = np.stack([h.bias for h in inits]).astype(np.float64)
     n_labels = w.shape[1]
     for e in range(epochs):
-        g, gb, n = _grad_pass(df, w, b, features, targets)
+        g, gb, n = gradient_pass(df, w, b, features, targets)
         if n == 0:
             break
         scale = 1.0 / (n * n_labels)
@@ -200,16 +200,6 @@ def score_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.mapInPandas(run, st)
 
 
-def head_catalogue_lookup(heads: DataFrame, experiment: str, step: int, seq_key: str) -> DataFrame:
-    """The stored head of (experiment, step, seq_key) — equality, not substring —
-    a promoted one before others, then the lowest version."""
-    hit = heads.where((F.col("experiment") == experiment) & (F.col("step") == step)
-                      & (F.col("seq_key") == seq_key))
-    hit = hit.withColumn("__later", ~F.coalesce("promoted", F.lit(False)))
-    first = hit.agg(F.min(F.struct("__later", "version")).alias("__f")).select("__f.*")
-    return hit.join(first, ["__later", "version"]).drop("__later")
-
-
 def head_from_rows(rows: list, n_labels: int, dim: int) -> Head:
     """Rebuild a Head from collected (label_id, weights, bias) rows (bounded: L rows)."""
     h = Head.zeros(n_labels, dim)

@@ -7,14 +7,18 @@ runs and trial grids are iterative and checked by row counts plus pytest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.operators import continual as C
 from curata.operators import experiments as E
 from curata.operators import head as Hd
 from curata.operators import splits as S
+from curata.operators.catalogue import HeadCatalogue
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
 from curata.session import checkpointed, shared_dir
@@ -98,48 +102,47 @@ def q_continual_run(spark, sf):
     return C.continual_run(v, seq, n_labels, dim, EPOCHS, LR)
 
 
+TASKS = ("t0", "t1", "t2")
+
+
 def _trials(spark, sf):
-    v = vector_notes(spark, sf)
+    """The trial grid of every task: (task, metrics, trials, snapshots)."""
+    v = checkpointed(vector_notes(spark, sf), "vector-notes")
     n_labels, dim = _shape(v)
-    train = v.where((F.col("task") == "t0") & (F.col("split") == "train"))
-    dev = v.where((F.col("task") == "t0") & (F.col("split") == "dev"))
-    metrics, trials, heads = C.trial_grid(train, dev, GRID, n_labels, dim, EPOCHS, study="t0")
-    return metrics, trials, heads
+    for t in TASKS:
+        own = v.where(F.col("task") == t)
+        yield (t, *C.trial_grid(own.where(F.col("split") == "train"), own.where(F.col("split") == "dev"), GRID, n_labels, dim, EPOCHS, study=t))
 
 
 @register("trial_grid")
 def q_trial_grid(spark, sf):
-    """M4 then W1/W2 per trial: the best epoch and its score."""
-    metrics, trials, _ = _trials(spark, sf)
-    best = E.best_checkpoint(metrics, patience=E.PATIENCE)
-    return best.join(trials.select("study", "trial", F.element_at("params", F.lit("learning_rate"))
-                                   .alias("learning_rate")), ["study", "trial"])
+    """M4 then W1/W2 per task and trial: the best epoch and its score."""
+    out = []
+    for _, metrics, trials, _ in _trials(spark, sf):
+        best = E.best_checkpoint(metrics, patience=E.PATIENCE)
+        out.append(best.join(trials.select("study", "trial", F.element_at("params", F.lit("learning_rate")).alias("learning_rate")), ["study", "trial"]))
+    return reduce(DataFrame.unionByName, out)
 
 
 @register("select_best_head")
 def q_select_best_head(spark, sf):
-    metrics, trials, heads = _trials(spark, sf)
-    best = E.best_checkpoint(metrics)
-    scored = trials.join(best.select("study", "trial", F.col("best_value").alias("value")), ["study", "trial"])
-    summary = E.study_summary(scored).select(F.col("best_trial").alias("trial"),
-                                             F.col("best_learning_rate").alias("learning_rate"))
+    """M5 for every task: the promoted weights are those of the best trial's best epoch."""
     cat = shared_dir(spark, "heads")
-    return C.select_best_head(summary, heads, cat, "grid", 0, "t0").select(
-        "experiment", "step", "seq_key", "trial", "learning_rate", "label_id", "bias")
+    out = [C.select_best_head(metrics, trials, snapshots, cat, "grid", i, t) for i, (t, metrics, trials, snapshots) in enumerate(_trials(spark, sf))]
+    return reduce(DataFrame.unionByName, out).select("experiment", "step", "seq_key", "trial", "epoch", "learning_rate", "label_id", "bias")
 
 
 @register("head_catalogue")
 def q_head_catalogue(spark, sf):
-    """A second run of the same sequence finds every step in the catalogue."""
-    v = vector_notes(spark, sf)
+    """A second run of the whole sequence finds the head of every step in the catalogue."""
+    v = checkpointed(vector_notes(spark, sf), "vector-notes")
     n_labels, dim = _shape(v)
     cat = shared_dir(spark, "heads")
-    seq = ["t0", "t1"]
-    C.continual_run(v, seq, n_labels, dim, 2, LR, catalogue=cat, experiment="cat").collect()
-    again = C.continual_run(v, seq, n_labels, dim, 2, LR, catalogue=cat, experiment="cat")
-    found = Hd.head_catalogue_lookup(spark.read.parquet(cat), "cat", 1, "t0_t1")
-    return found.select("experiment", "step", "seq_key", "version", "label_id", "bias").join(
-        again.where(F.col("train_step") == 1).select("seq_key", "eval_task", "auroc_macro"), "seq_key")
+    C.continual_run(v, TASKS, n_labels, dim, 2, LR, catalogue=cat, experiment="cat").collect()
+    again = C.continual_run(v, TASKS, n_labels, dim, 2, LR, catalogue=cat, experiment="cat")
+    heads = HeadCatalogue(spark, cat)
+    found = heads.rows([heads.lookup("cat", i, "_".join(TASKS[: i + 1])) for i in range(len(TASKS))])
+    return found.select("experiment", "step", "seq_key", "version", "label_id", "bias").join(again.select("seq_key", "eval_task", "auroc_macro"), "seq_key")
 
 
 @register("score_with", """

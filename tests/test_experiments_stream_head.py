@@ -1,5 +1,6 @@
 """Early stopping against the callback loop, the growing dictionary stream, and the head's gradient pass."""
 
+import os
 import random
 
 import numpy as np
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from curata.operators import experiments as E
 from curata.operators import head as Hd
-from curata.session import shared_dir
+from curata.operators.catalogue import HeadCatalogue
+from curata.session import checkpointed, shared_dir
 from curata.sources import tables as T
 from curata.streaming import labels as SL
 
@@ -144,7 +146,53 @@ def test_continual_run_reuses_catalogue_and_matches_by_equality(spark, sf):
     assert len(first) == 6 and first.keys() == again.keys()   # every step found in the catalogue
     for k, val in first.items():                               # same heads; sums may differ in the last bit
         assert again[k] == pytest.approx(val, abs=1e-12)
-    heads = spark.read.parquet(cat)
-    assert heads.select("step", "seq_key").distinct().count() == 2
-    assert Hd.head_catalogue_lookup(heads, "run", 1, "t0").count() == 0          # no substring match
-    assert Hd.head_catalogue_lookup(heads, "run", 1, "t0_t1").count() == n_labels
+    heads = HeadCatalogue(spark, cat)
+    assert [(m["step"], m["seq_key"]) for m in heads.manifests()] == [(0, "t0"), (1, "t0_t1")]
+    assert heads.lookup("run", 1, "t0") is None                                   # no substring match
+    assert heads.rows([heads.lookup("run", 1, "t0_t1")]).count() == n_labels
+
+
+def test_catalogue_versions_are_whole(spark):
+    """A writer that died before its manifest, and two writers of one version."""
+    root = shared_dir(spark, "t-cat")
+    cat = HeadCatalogue(spark, root)
+    head = lambda v: spark.createDataFrame([(i, [v], v) for i in range(3)], "label_id int, weights array<double>, bias double")
+    assert cat.manifests() == [] and cat.lookup("e", 0, "k") is None and cat.heads().count() == 0
+    head(9.0).write.parquet(f"{root}/data/half")                                  # interrupted: data without a manifest
+    assert cat.heads().count() == 0
+    assert cat.publish(head(1.0), "e", 0, "k") and not cat.publish(head(2.0), "e", 0, "k")
+    manifest = next(p for p in os.listdir(f"{root.removeprefix('file:')}/manifests") if p.endswith(".json"))
+    draft = f"{root}/late.json"
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.write(cat._fs, cat._path(draft), bytearray(b"{}"))
+    assert not cat._rename_new(draft, f"{root}/manifests/{manifest}")             # the second of two that checked at once
+    assert {r["bias"] for r in cat.heads().collect()} == {1.0} and cat.heads().count() == 3
+    assert cat.publish(head(3.0), "e", 0, "k", version=2, promoted=True) and cat.publish(head(4.0), "e", 0, "k", version=1, promoted=True)
+    assert cat.publish(head(5.0), "e", 0, "k_l") and cat.publish(head(6.0), "f", 0, "k")
+    assert cat.lookup("e", 0, "k")["version"] == 1 and {r["bias"] for r in cat.rows([cat.lookup("e", 0, "k")]).collect()} == {4.0}
+    assert cat.heads().count() == 15
+
+
+def test_promoted_weights_are_those_of_the_best_epoch(spark, sf):
+    from curata.operators import continual as C
+    from curata.plans.head_queries import _shape, vector_notes
+    v = checkpointed(vector_notes(spark, sf).where("task = 't0'"))
+    n_labels, dim = _shape(v)
+    train, dev = v.where("split = 'train'"), v.where("split = 'dev'")
+    grid, epochs = [(0.5, 0), (60.0, 0), (3.0, 2)], 9
+    metrics, trials, snapshots = C.trial_grid(train, dev, grid, n_labels, dim, epochs, study="t0", patience=2)
+    log = {}
+    for r in metrics.orderBy("epoch").collect():
+        log.setdefault(r["trial"], []).append(r["value"])
+    for t, values in log.items():                                                  # each trial ends where the callback would stop it
+        assert callback_stop(values, 2) == len(values) - 1, (t, values)
+    assert any(len(values) < epochs for values in log.values())
+    promoted = C.select_best_head(metrics, trials, snapshots, shared_dir(spark, "t-promote"), "e", 0, "t0", patience=2).collect()
+    t, e = max(((t, e) for t, values in log.items() for e in range(len(values))), key=lambda x: (log[x[0]][x[1]], -x[0], -x[1]))
+    assert {(r["trial"], r["epoch"], r["learning_rate"]) for r in promoted} == {(t, e, grid[t][0])} and len(promoted) == n_labels
+    w, b = np.zeros((1, n_labels, dim)), np.zeros((1, n_labels))                   # the same trial alone, up to its best epoch
+    for k in range(e + 1):
+        g, gb, n = Hd.gradient_pass(train, w, b, "embedding", "label_ids")
+        size = Hd.lr_at(k, *grid[t], epochs) / (n * n_labels)
+        w, b = w - size * g, b - size * gb
+    for r in promoted:
+        assert np.abs(np.array(r["weights"]) - w[0, r["label_id"]]).max() < 1e-9 and abs(r["bias"] - b[0, r["label_id"]]) < 1e-9

@@ -82,14 +82,6 @@ def test_half_written_dictionary_version_is_written_again(spark):
     assert sorted(tuple(r) for r in SL.latest_dictionary(spark, store).collect()) == [(0, "A"), (1, "B")]
 
 
-def test_stored_heads_prefer_the_promoted_one(spark):
-    from curata.operators.head import head_catalogue_lookup
-    rows = [("e", 0, "k", 0, False, 0), ("e", 0, "k", 1, True, 0), ("e", 0, "k", 2, True, 0), ("f", 0, "k", 0, True, 0), ("f", 1, "k", 0, None, 0)]
-    heads = spark.createDataFrame(rows, "experiment string, step int, seq_key string, version int, promoted boolean, label_id int")
-    assert [r["version"] for r in head_catalogue_lookup(heads, "e", 0, "k").collect()] == [1]
-    assert [r["version"] for r in head_catalogue_lookup(heads, "f", 1, "k").collect()] == [0]
-
-
 def test_rank_without_groups(spark):
     df = spark.createDataFrame([(f"k{i * 7 % 50:02d}", float(i)) for i in range(50)], "a string, b double")
     assert [r["rn"] for r in ordered_row_number(df, [], "a").orderBy("a").collect()] == list(range(1, 51))
