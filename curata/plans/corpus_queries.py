@@ -325,13 +325,13 @@ FROM (SELECT e.label, min(t.pos) AS p
             FROM (SELECT DISTINCT task FROM notes_orders)) t ON e.task = t.task
       GROUP BY e.label)""", ("notes_orders",))
 def q_grow_label_dictionary_stream(spark, sf):
-    """Stream form: the order notes of each task arrive as one file, tasks in name order;
-    one micro-batch per file.  New labels of a batch get the next ids, so the final
+    """Stream form: the order notes of each task arrive as several files, tasks in name order; one
+    micro-batch per arrival, a base after every second one.  New labels of a batch get the next ids, so the final
     dictionary orders labels by (first task they appear in, label)."""
     src, store, ck = shared_dir(spark, "st-src"), shared_dir(spark, "st-dict"), shared_dir(spark, "st-ck")
     n = checkpointed(T.notes_orders(spark, sf).select("note_id", "task", "labels"), "st-notes")
     tasks = sorted(r[0] for r in n.select("task").distinct().collect())      # a handful of task names
-    for i, t in enumerate(tasks):                                              # arrival order of the files
-        n.where(F.col("task") == t).coalesce(1).write.mode("append").parquet(f"{src}/{i:05d}")
-    run_dictionary_stream(spark, f"{src}/*", "note_id long, task string, labels array<string>", store, ck)
+    for i, t in enumerate(tasks):                                              # arrivals
+        n.where(F.col("task") == t).repartition(4).write.parquet(f"{src}/{i:05d}")
+        run_dictionary_stream(spark, f"{src}/*", "note_id long, task string, labels array<string>", store, ck, compact=2)
     return latest_dictionary(spark, store)

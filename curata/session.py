@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}       # of local sessions without the setting (Spark refuses to set it later), by application
 
 
 def get_spark(master: str | None = None, app: str = "curata",
@@ -76,8 +77,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that driver and executors share (master {master!r})")
-        root = tempfile.mkdtemp(prefix="curata-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="curata-ckpt-")
+        root = _LOCAL_ROOTS[app]
     if jsc is not None and not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -89,6 +92,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder; none when it doesn't exist."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

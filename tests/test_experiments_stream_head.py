@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curata.operators import experiments as E
 from curata.operators import head as Hd
 from curata.operators.catalogue import HeadCatalogue
-from curata.session import checkpointed, shared_dir
+from curata.session import checkpointed, folders_in, shared_dir
 from curata.sources import tables as T
 from curata.streaming import labels as SL
 
@@ -112,6 +112,28 @@ def test_dictionary_stream_equals_batch_and_replay(spark):
     assert sorted(tuple(r) for r in batch.collect()) == got
 
 
+def test_dictionary_deltas_bases_and_replays(spark):
+    """Every batch writes its new labels only; replays and a half-written base change nothing."""
+    rnd = random.Random(2)
+    store = shared_dir(spark, "t-deltas")
+    write = SL.dictionary_batch_writer(store, compact=3)
+    batches = [[[f"L{rnd.randint(0, 40):02d}" for _ in range(rnd.randint(0, 4))] for _ in range(6)] for _ in range(11)]
+    ids, known = {}, []
+    for i, notes in enumerate(batches):
+        df = spark.createDataFrame([(k, x) for k, x in enumerate(notes)], "note_id long, labels array<string>").repartition(3)
+        write(df, i)
+        new = sorted({x for own in notes for x in own} - ids.keys())
+        assert spark.read.schema(SL.DICT_SCHEMA).parquet(f"{store}/delta/{i}").count() == len(new)
+        ids.update({x: len(ids) + k for k, x in enumerate(new)})
+        known.append(df)
+        for again in {i, max(0, i - 1)}:                                # replays
+            write(known[again], again)
+        if i == 4:                                                      # a base that was cut off
+            spark.createDataFrame([(99, "no")], SL.DICT_SCHEMA).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{store}/base/5")
+        assert {r["label"]: r["label_id"] for r in SL.latest_dictionary(spark, store).collect()} == ids
+    assert folders_in(spark, f"{store}/base") == ["5", "8"] and "0" not in folders_in(spark, f"{store}/delta")
+
+
 def test_gradient_pass_equals_numpy(spark, sf):
     v = T.vectors(spark, sf).select("embedding", F.array("label").alias("label_ids"))
     pdf = v.toPandas()

@@ -75,8 +75,8 @@ def test_half_written_dictionary_version_is_written_again(spark):
     from curata.session import path_exists, shared_dir
     from curata.streaming import labels as SL
     store = shared_dir(spark, "t-half")
-    spark.createDataFrame([], SL.DICT_SCHEMA).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{store}/version=0")
-    assert path_exists(spark, f"{store}/version=0") and not path_exists(spark, f"{store}/version=0/_SUCCESS")
+    spark.createDataFrame([], SL.DICT_SCHEMA).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{store}/delta/0")
+    assert path_exists(spark, f"{store}/delta/0") and not path_exists(spark, f"{store}/delta/0/_SUCCESS")
     batch = spark.createDataFrame([(1, ["B", "A"])], "note_id long, labels array<string>")
     SL.dictionary_batch_writer(store)(batch, 0)
     assert sorted(tuple(r) for r in SL.latest_dictionary(spark, store).collect()) == [(0, "A"), (1, "B")]
