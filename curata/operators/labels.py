@@ -124,19 +124,23 @@ def ids_to_labels(df: DataFrame, dictionary: DataFrame, key: str | Sequence[str]
 
 
 def scorable_labels(cells: DataFrame, group: Sequence[str] = ("task",),
-                    label: str = "label_id", y: str = "y_true") -> DataFrame:
+                    label: str = "label_id", y: str = "y_true", selected: Sequence[int] | None = None) -> DataFrame:
     """Labels with both classes present: 0 < positives < rows.
 
     Output (group..., label, positives, n, position) where position is the
-    0-based index of the label among the scorable labels of its group.  The
-    position window runs over scorable labels only (bounded by the label set).
+    0-based index of the label among the scorable labels of its group.  With ``selected`` (label ids) also `chosen`: whether the label is
+    one of them; the positions of chosen rows are the intersection's places in the scored matrix.
     """
     g = list(group)
-    agg = (cells.groupBy(*g, label)
-           .agg(F.sum(y).cast("long").alias("positives"), F.count(F.lit(1)).alias("n"))
-           .where((F.col("positives") > 0) & (F.col("positives") < F.col("n"))))
+    agg = cells.groupBy(*g, label).agg(F.sum(y).cast("long").alias("positives"), F.count(F.lit(1)).alias("n"))
+    return _positions(agg, g, label, selected)
+
+
+def _positions(counts: DataFrame, g: list[str], label: str, selected: Sequence[int] | None) -> DataFrame:
+    """The scorable labels with their positions; the window runs over them only (bounded by the label set)."""
     pos = (F.row_number().over(Window.partitionBy(*g).orderBy(label)) - 1).cast("int")
-    return agg.withColumn("position", pos)
+    out = counts.where((F.col("positives") > 0) & (F.col("positives") < F.col("n"))).withColumn("position", pos)
+    return out if selected is None else out.withColumn("chosen", F.col(label).isin(list(selected)))
 
 
 def unused_labels(note_label_groups: DataFrame, dictionary: DataFrame, groups: Sequence[str],
@@ -194,17 +198,13 @@ def split_support_by_label(note_label_split: DataFrame, label: str = "label") ->
 
 
 def scorable_from_sparse(positives: DataFrame, sizes: DataFrame, group: Sequence[str] = ("task",),
-                         label: str = "label_id") -> DataFrame:
-    """A6 on sparse labels: positives per (group, label) against rows per group.
+                         label: str = "label_id", selected: Sequence[int] | None = None) -> DataFrame:
+    """A6 on sparse labels: positives per (group, label) against rows per group (null groups count).
 
     `positives` has (group..., label, positives); `sizes` has (group..., n).
-    The zero cells are never materialised.
+    The zero cells are never materialised.  ``selected`` as in ``scorable_labels``.
     """
-    g = list(group)
-    agg = (positives.join(sizes, g)
-           .where((F.col("positives") > 0) & (F.col("positives") < F.col("n"))))
-    pos = (F.row_number().over(Window.partitionBy(*g).orderBy(label)) - 1).cast("int")
-    return agg.withColumn("position", pos)
+    return _positions(join_null_safe(positives, sizes, list(group)), list(group), label, selected)
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from curata.functions.numeric import bce_with_logits, threshold
 from curata.operators.ranking import join_null_safe, two_level_prefix_sum, with_order_bucket
@@ -113,13 +114,15 @@ def area_from_histogram(hist: DataFrame, keys: Sequence[str], score: str = "y_pr
     negatives strictly below each score = bucketed prefix sum (see ranking);
     area = sum(pos * (neg_below + neg_here / 2)) / (P * N).
     """
-    k = list(keys)
-    cum = two_level_prefix_sum(with_order_bucket(hist, k, score), k, F.col("__order_bucket"), [F.col(score)], "neg", "neg_below")
-    return (cum.groupBy(*k)
-            .agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-                  / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auroc"),
-                 F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-            .where((F.col("positives") > 0) & (F.col("negatives") > 0)))
+    return _areas(hist, list(keys), score).where(F.col("auroc").isNotNull())
+
+
+def _areas(hist: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """(keys, auroc, positives, negatives); a null auroc where a class is missing."""
+    cum = two_level_prefix_sum(with_order_bucket(hist, keys, score), keys, F.col("__order_bucket"), [F.col(score)], "neg", "neg_below")
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    return cum.groupBy(*keys).agg(F.when(pairs > 0, F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / F.nullif(pairs, F.lit(0.0))).alias("auroc"),
+                                  F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
 def _roc_area(cells: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
@@ -144,28 +147,55 @@ def auroc_micro(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob
     return _roc_area(cells, list(group), score).select(*group, F.col("auroc").alias("auroc_micro"))
 
 
-def label_report(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob",
-                 logit: str = "logit") -> DataFrame:
-    """Per label AUROC, support and kept flag, with the group's macro and micro AUROC over the
-    labels with both classes, and its loss.
+def report_areas(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob", selected: Sequence[int] | None = None) -> DataFrame:
+    """The areas of a report from one read of the cells: (group, area, label_id, auroc, positives, negatives).
 
-    One per-label score histogram feeds the per-label areas, the support, and
-    (summed over labels) the micro area, so the cells are aggregated once for
-    all three; the loss needs the logits and reads the cells again.
+    ``area``: `label` (one row per label; null auroc where a class is missing), `all` (micro, over the labels with both classes) and, with
+    ``selected``, `chosen` (micro over the selected ones of them).  The score histogram of the labels is taken once; its rows are
+    given to every area that they belong to, summed, and one prefix sum serves all areas.
     """
     g = list(group)
     hist = score_histogram(cells, [*g, "label_id"], score)
-    support = hist.groupBy(*g, "label_id").agg(F.sum("pos").alias("support"),
-                                               (F.sum("pos") + F.sum("neg")).alias("n"))
-    per = area_from_histogram(hist, [*g, "label_id"], score).select(*g, "label_id", "auroc")
-    macro = per.groupBy(*g).agg(F.avg("auroc").alias("auroc_macro"))
-    both = support.where((F.col("support") > 0) & (F.col("support") < F.col("n"))).select(*g, "label_id")
-    pooled = join_null_safe(hist, both, [*g, "label_id"]).groupBy(*g, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    micro = area_from_histogram(pooled, g, score).select(*g, F.col("auroc").alias("auroc_micro"))
+    totals = hist.groupBy(*g, "label_id").agg(((F.sum("pos") > 0) & (F.sum("neg") > 0)).alias("__kept"))
+    flagged = join_null_safe(hist, totals, [*g, "label_id"])
+    one = lambda area, label: F.struct(F.lit(area).alias("area"), label.alias("label_id"))
+    nobody = F.lit(None).cast(cells.schema["label_id"].dataType)
+    into = [one("label", F.col("label_id")), F.when(F.col("__kept"), one("all", nobody))]
+    if selected is not None:
+        into.append(F.when(F.col("__kept") & F.col("label_id").isin(list(selected)), one("chosen", nobody)))
+    each = flagged.select(*g, score, "pos", "neg", F.explode(F.array_compact(F.array(*into))).alias("x")).select(*g, "x.area", "x.label_id", score, "pos", "neg")
+    keys = [*g, "area", "label_id"]
+    pooled = each.groupBy(*keys, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _areas(pooled, keys, score)
+
+
+def label_report(cells: DataFrame, group: Sequence[str] = G, score: str = "y_prob",
+                 logit: str = "logit", selected: Sequence[int] | None = None) -> DataFrame:
+    """Per label AUROC, support and kept flag, with the group's macro, weighted and micro AUROC over the
+    labels with both classes, and its loss; with ``selected`` also macro and micro over the selected ones of them, whether a
+    label is one, and its position among the kept labels (A6).
+
+    The cells are read twice: once for the histogram behind all areas and supports, once for the loss (it needs the logits).
+    What is the same for all labels of a group is taken by windows over its labels.
+    """
+    g = list(group)
+    areas = report_areas(cells, g, score, selected)
+    of_group = Window.partitionBy(*g)
+    is_label, kept = F.col("area") == "label", F.col("auroc").isNotNull()
+    mean = lambda x, on: F.avg(F.when(is_label & on, x)).over(of_group)
+    weights = F.sum(F.when(is_label & kept, F.col("positives"))).over(of_group)
+    chosen = F.col("label_id").isin(list(selected)) if selected is not None else F.lit(False)
+    rows = (areas.withColumn("auroc_macro", mean(F.col("auroc"), kept))
+            .withColumn("auroc_weighted", F.sum(F.when(is_label & kept, F.col("auroc") * F.col("positives"))).over(of_group) / weights)
+            .withColumn("auroc_micro", F.max(F.when(F.col("area") == "all", F.col("auroc"))).over(of_group)))
+    extra = []
+    if selected is not None:
+        place = F.row_number().over(Window.partitionBy(*g, is_label & kept).orderBy("label_id")) - 1
+        rows = rows.withColumns({"chosen": chosen & kept, "position": F.when(kept & chosen, place).cast("int"), "chosen_macro": mean(F.col("auroc"), kept & chosen),
+                                 "chosen_micro": F.max(F.when(F.col("area") == "chosen", F.col("auroc"))).over(of_group)})
+        extra = ["chosen", "position", "chosen_macro", "chosen_micro"]
+    rows = rows.where(is_label)
     loss = bce_loss(cells, g, logit).select(*g, F.col("loss_batch_mean").alias("loss"))
-    out = join_null_safe(support, per, [*g, "label_id"], "left")
-    for one in (macro, micro, loss):
-        out = join_null_safe(out, one, g, "left")
-    return (out.select(*g, "label_id", "auroc", "support",
-                    ((F.col("support") > 0) & (F.col("support") < F.col("n"))).alias("kept"),
-                    "auroc_macro", "auroc_micro", "loss"))
+    out = join_null_safe(rows, loss, g, "left")
+    return out.select(*g, "label_id", "auroc", F.col("positives").alias("support"), F.col("auroc").isNotNull().alias("kept"),
+                      "auroc_macro", "auroc_weighted", "auroc_micro", "loss", *extra)

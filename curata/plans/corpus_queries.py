@@ -169,7 +169,7 @@ def q_ids_to_labels(spark, sf):
 
 @register("scorable_labels", """
 SELECT p.task, p.label_id, p.label, p.positives, s.n,
-       CAST(row_number() OVER (PARTITION BY p.task ORDER BY p.label_id) - 1 AS INTEGER) AS position
+       CAST(row_number() OVER (PARTITION BY p.task ORDER BY p.label_id) - 1 AS INTEGER) AS position, p.label_id IN (2, 3, 5, 7, 11, 400) AS chosen
 FROM (SELECT n.task, d.label_id, d.label, count(DISTINCT n.note_id) AS positives
       FROM (SELECT note_id, task, unnest(labels) AS label FROM notes_orders) n
       JOIN label_dict d ON n.label = d.label GROUP BY 1, 2, 3) p
@@ -183,8 +183,17 @@ def q_scorable_labels(spark, sf):
             .join(d, "label").select("task", "label_id"))
     pos = long.groupBy("task", "label_id").agg(F.count(F.lit(1)).alias("positives"))
     sizes = n.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    sc = L.scorable_from_sparse(pos, sizes)
-    return sc.join(d, "label_id").select("task", "label_id", "label", "positives", "n", "position")
+    sc = L.scorable_from_sparse(pos, sizes, selected=[2, 3, 5, 7, 11, 400])
+    return sc.join(d, "label_id").select("task", "label_id", "label", "positives", "n", "position", "chosen")
+
+
+@register("scorable_cells", """
+SELECT task, label_id, sum(y_true) AS positives, count(*) AS n,
+       CAST(row_number() OVER (PARTITION BY task ORDER BY label_id) - 1 AS INTEGER) AS position, label_id IN (1, 5) AS chosen
+FROM preds GROUP BY task, label_id HAVING sum(y_true) > 0 AND sum(y_true) < count(*)""", ("preds",))
+def q_scorable_cells(spark, sf):
+    """A6 on prediction cells, with chosen labels (one of them doesn't occur)."""
+    return L.scorable_labels(T.preds(spark, sf), selected=[1, 5])
 
 
 # ---- U5 -----------------------------------------------------------------------------------------

@@ -141,20 +141,27 @@ def q_auroc_micro(spark, sf):
     return M.auroc_micro(T.preds(spark, sf)).select("task", r6("auroc_micro").alias("auroc_micro"))
 
 
-@register("label_report", """
+_MICRO_SQL = """(SELECT a.task, sum(CASE WHEN a.y_prob > b.y_prob THEN 1.0 WHEN a.y_prob = b.y_prob THEN 0.5 ELSE 0.0 END) / count(*) AS area
+           FROM (SELECT c.* FROM cells c JOIN roc_label k ON c.task = k.task AND c.label_id = k.label_id WHERE y_true = 1 {only}) a
+           JOIN (SELECT c.* FROM cells c JOIN roc_label k ON c.task = k.task AND c.label_id = k.label_id WHERE y_true = 0 {only}) b ON a.task = b.task
+           GROUP BY a.task)"""
+
+
+@register("label_report", f"""
 SELECT s.task, s.label_id, round(r.auroc, 6) AS auroc, s.support, s.support > 0 AND s.support < s.n AS kept,
-       round(m.auroc_macro, 6) AS auroc_macro, round(mi.auroc_micro, 6) AS auroc_micro,
-       round(l.loss_batch_mean, 6) AS loss
+       round(m.auroc_macro, 6) AS auroc_macro, round(m.auroc_weighted, 6) AS auroc_weighted, round(mi.area, 6) AS auroc_micro,
+       round(l.loss_batch_mean, 6) AS loss, s.label_id = 1 AND r.auroc IS NOT NULL AS chosen,
+       CASE WHEN s.label_id = 1 AND r.auroc IS NOT NULL THEN CAST(r.place AS INTEGER) END AS position,
+       round(m.chosen_macro, 6) AS chosen_macro, round(ch.area, 6) AS chosen_micro
 FROM (SELECT task, label_id, CAST(sum(y_true) AS BIGINT) AS support, count(*) AS n FROM cells GROUP BY ALL) s
-LEFT JOIN roc_label r ON s.task = r.task AND s.label_id = r.label_id
-LEFT JOIN (SELECT task, avg(auroc) AS auroc_macro FROM roc_label GROUP BY task) m ON s.task = m.task
-LEFT JOIN (SELECT a.task, sum(CASE WHEN a.y_prob > b.y_prob THEN 1.0 WHEN a.y_prob = b.y_prob THEN 0.5 ELSE 0.0 END) / count(*) AS auroc_micro
-           FROM (SELECT c.* FROM cells c JOIN roc_label k ON c.task = k.task AND c.label_id = k.label_id WHERE y_true = 1) a
-           JOIN (SELECT c.* FROM cells c JOIN roc_label k ON c.task = k.task AND c.label_id = k.label_id WHERE y_true = 0) b ON a.task = b.task
-           GROUP BY a.task) mi ON s.task = mi.task
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY task ORDER BY label_id) - 1 AS place FROM roc_label) r ON s.task = r.task AND s.label_id = r.label_id
+LEFT JOIN (SELECT task, avg(auroc) AS auroc_macro, sum(auroc * positives) / sum(positives) AS auroc_weighted, avg(auroc) FILTER (WHERE label_id = 1) AS chosen_macro
+           FROM roc_label GROUP BY task) m ON s.task = m.task
+LEFT JOIN {_MICRO_SQL.format(only="")} mi ON s.task = mi.task
+LEFT JOIN {_MICRO_SQL.format(only="AND k.label_id IN (1, 5)")} ch ON s.task = ch.task
 LEFT JOIN loss_task l ON s.task = l.task""", ("roc_label", "loss_task"))
 def q_label_report(spark, sf):
-    out = M.label_report(T.preds(spark, sf))
-    return out.select("task", "label_id", r6("auroc").alias("auroc"), "support", "kept",
-                      r6("auroc_macro").alias("auroc_macro"), r6("auroc_micro").alias("auroc_micro"),
-                      r6("loss").alias("loss"))
+    """A17 with the chosen labels 1 and 5 (5 doesn't occur)."""
+    out = M.label_report(T.preds(spark, sf), selected=[1, 5])
+    return out.select("task", "label_id", "support", "kept", "chosen", "position",
+                      *[r6(c).alias(c) for c in ("auroc", "auroc_macro", "auroc_weighted", "auroc_micro", "loss", "chosen_macro", "chosen_micro")])

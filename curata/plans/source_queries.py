@@ -32,6 +32,18 @@ def q_read_notes_csv(spark, sf):
                     F.array_join("labels", ",").alias("labels"))
 
 
+@register("read_notes_csv_blocks", """
+SELECT note_id, task, text, array_to_string(labels, ',') AS labels, n FROM notes_docs, (SELECT count(*) AS n FROM documents)""", ("notes_docs",))
+def q_read_notes_csv_blocks(spark, sf):
+    """S1 by blocks: the documents in one CSV folder, each file cut at record ends; n: row numbers of all files."""
+    path = shared_dir(spark, "notes-csv")
+    FS.write_notes_csv(T.notes_docs(spark, sf).select("note_id", "task", F.col("text").alias("TEXT"), "labels"), path)
+    n = checkpointed(FS.read_notes_csv(spark, path, by_blocks=True), "notes")
+    rows = n.groupBy("file_name").agg(F.countDistinct("row_idx").alias("k")).agg(F.sum("k")).scalar()
+    return n.select(F.col("note_id").cast("long").alias("note_id"), "task", "text",
+                    F.array_join("labels", ",").alias("labels"), rows.alias("n"))
+
+
 @register("scan_task_dir", """
 SELECT note_id, lower(coalesce(task, 'none')) || '_fold_1' AS task, CASE WHEN note_id % 10 < 7 THEN 'train' WHEN note_id % 10 < 9 THEN 'dev' ELSE 'test' END AS split,
        text, array_to_string(labels, ',') AS labels FROM notes_docs""", ("notes_docs",))

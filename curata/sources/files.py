@@ -1,8 +1,8 @@
 """File sources and sinks.
 
 Notes arrive as CSV files, one per (task, split), with quoted multi-line text
-and a Python list literal of labels per row.  A multi-line CSV file cannot be
-split, so one task reads one file: ingest once into partitioned Parquet
+and a Python list literal of labels per row.  Spark reads a multi-line CSV file in one
+task; ``csv_blocks`` reads a large one in many.  Ingest once into partitioned Parquet
 (``write_splits``) and run everything else on Parquet.  No schema is
 inferred; file names become columns through ``_metadata`` (one read of the
 whole directory, never a driver loop over files).
@@ -25,14 +25,14 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"
 TEXT_SOURCES = ("text", "TEXT", "notes")
 
 
-def headers_of(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Header -> the files that have it (the driver gets the list of files, as any scan does)."""
+def headers_of(spark: SparkSession, paths: str | Sequence[str], encoded: bool = False) -> dict[tuple[str, ...], list[str]]:
+    """Header -> the files that have it (the driver gets the list of files, as any scan does); ``encoded``: as file metadata names them."""
     lines = (spark.read.text(paths if isinstance(paths, str) else list(paths))
              .where("_metadata.file_block_start = 0")
              .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")))
     found: dict[tuple[str, ...], list[str]] = {}
     for r in lines.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect():
-        found.setdefault(tuple(next(csv.reader([r["header"]]), ())), []).append(unquote(r["path"]))
+        found.setdefault(tuple(next(csv.reader([r["header"]]), ())), []).append(r["path"] if encoded else unquote(r["path"]))
     return found
 
 
@@ -73,18 +73,25 @@ def with_row_index(df: DataFrame, by: str = "file_name") -> DataFrame:
             .drop("__mid", "__first"))
 
 
-def read_notes_csv(spark: SparkSession, paths: str | Sequence[str], labels_element: str = "string") -> DataFrame:
+def read_notes_csv(spark: SparkSession, paths: str | Sequence[str], labels_element: str = "string", by_blocks: bool = False) -> DataFrame:
     """Note CSVs -> (file_name, row_idx, text, labels array, other columns).
 
     Text column unified from `text` / `TEXT` / `notes`; labels parsed from the
     list literal (malformed -> null, never evaluated as code; `rejected_notes` lists those
     rows).  Files may order and name their columns differently; a row is known by
-    the path of its file and its index there.
+    the path of its file and its index there.  ``by_blocks``: large plain files are cut at record ends and read by
+    many tasks (see ``csv_blocks``); else one task reads a file.
     """
-    df = normalise_columns(_csv(spark, paths))
+    if by_blocks:
+        from curata.sources.csv_blocks import read_csv_by_blocks
+
+        raw = read_csv_by_blocks(spark, paths)
+    else:
+        raw = with_row_index(_csv(spark, paths), "__path")
+    df = normalise_columns(raw)
     if "labels" in df.columns:
         df = df.withColumn("labels", parse_label_list("labels", labels_element))
-    return with_row_index(df, "__path").drop("__path")
+    return df.drop("__path")
 
 
 def rejected_notes(spark: SparkSession, paths: str | Sequence[str], labels_element: str = "string") -> DataFrame:
