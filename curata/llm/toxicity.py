@@ -21,17 +21,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.session import checkpointed
 
-_TOKENS, _TF, _IN = "__tokens", "__tf", "__features"
+_TOKENS, _IN = "__tokens", "__features"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -68,9 +69,8 @@ class ToxicityChain:
             words = set(_WORD.findall(text.lower())) if text else set()
             found = sorted((words & wanted) | {"^" + w[:4] for w in words if len(w) > 4 and w[:4] in starts})
             out: list[float] = []
-            for _, intercept, weights, before in models:
-                z = intercept + sum(weights[t] for t in found if t in weights) + sum(a * b for a, b in zip(before, out))
-                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
+            for model in models:
+                out.append(_probability(model, found, out))
             return out
 
         @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
@@ -88,15 +88,46 @@ def _p(name: str) -> str:
     return f"p_{name}"
 
 
-def _scored(model, df: DataFrame, earlier: list[str], out: str) -> DataFrame:
-    with_input = VectorAssembler(inputCols=[_TF, *earlier], outputCol=_IN).transform(df)
-    return model.transform(with_input).withColumn(out, vector_to_array("__probability")[1]).drop(_IN, "__raw", "__probability", "__said")
+def _features(rows: DataFrame, words: list[str], earlier: list[str]) -> DataFrame:
+    """Label columns and the feature vector: 1 for each of ``words`` that a row has, then its earlier probabilities.
 
+    The vectors are made by hand: Spark's own vectorisers name every feature in the column's metadata, which every
+    plan, job and file of a fit would carry along."""
+    place, size = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)}), len(words)
 
-def _fit(df: DataFrame, earlier: list[str], label: str, penalty: float):
-    lr = LogisticRegression(featuresCol=_IN, labelCol=label, probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__said",
-                            maxIter=25, regParam=penalty, elasticNetParam=1.0, standardization=False, family="binomial")
-    return lr.fit(VectorAssembler(inputCols=[_TF, *earlier], outputCol=_IN).transform(df))
+    @F.udf(VectorUDT())
+    def vector(tokens: list[str], given: list[float]):
+        own = sorted(i for t in tokens if (i := place.value.get(t)) is not None)
+        return Vectors.sparse(size + len(given), own + list(range(size, size + len(given))), [1.0] * len(own) + given)
+
+    before = F.array(*[F.col(c) for c in earlier]) if earlier else F.array().cast("array<double>")
+    kept = [c for c in rows.columns if c.startswith("__") and c not in (_TOKENS, "__id", "__fold")]
+    return rows.select(*kept, vector(_TOKENS, before).alias(_IN))
+
+
+def _fit(rows: DataFrame, words: list[str], earlier: list[str], name: str, penalty: float, max_iter: int) -> tuple[str, float, dict[str, float], list[float]]:
+    """The model of one category, as a chain holds it."""
+    table = checkpointed(_features(rows, words, earlier), "toxicvectors")
+    lr = LogisticRegression(featuresCol=_IN, labelCol=f"__{name}", maxIter=max_iter, regParam=penalty, elasticNetParam=1.0, standardization=False, family="binomial")
+    fitted = lr.fit(table)
+    given = fitted.coefficients.toArray()
+    return name, float(fitted.intercept), {w: float(x) for w, x in zip(words, given) if x}, [float(x) for x in given[len(words):]]
+
+
+def _probability(model: tuple[str, float, dict[str, float], list[float]], tokens: Iterable[str], before: list[float]) -> float:
+    _, intercept, weights, of_before = model
+    z = intercept + sum(weights[t] for t in tokens if t in weights) + sum(a * b for a, b in zip(of_before, before))
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+
+
+def _scored(rows: DataFrame, model: tuple, earlier: list[str], out: str) -> DataFrame:
+    """The rows with the model's probability."""
+    @F.pandas_udf("double")
+    def score(tokens: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([_probability(model, t, list(b)) for t, b in zip(tokens, before)], dtype=float)
+
+    before = F.array(*[F.col(c) for c in earlier]) if earlier else F.array().cast("array<double>")
+    return rows.withColumn(out, score(_TOKENS, before))
 
 
 def _base_rate(rows: DataFrame, label: str) -> float:
@@ -120,34 +151,34 @@ def _telling_tokens(rows: DataFrame, labels: list[str], n: int, min_docs: int, m
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = 6_000,
-                min_docs: int = 6, folds: int = 3, penalty: float = 5e-4, vocabulary_size: int = 1 << 12) -> ToxicityChain:
-    """Fit the chain; ``labels`` has (id, one 0/1 column per category, in chain order)."""
+                min_docs: int = 6, folds: int = 3, penalty: float = 5e-4, vocabulary_size: int = 1 << 15, max_iter: int = 25) -> ToxicityChain:
+    """Fit the chain; ``labels`` has (id, one 0/1 column per category, in chain order).
+
+    Folds are dealt by a hash of the text, so copies share one, and a fold's model chooses its tokens
+    from the other folds alone."""
     known = (labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*(F.max(F.col(c).cast("double")).alias(f"__{c}") for c in categories))
              .dropna().orderBy(F.xxhash64("__id"), "__id").limit(train_docs))
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known), "__id")      # at most train_docs rows
-            .withColumn(_TOKENS, tokens_column(F.col("__text"))).withColumn("__fold", F.pmod(F.xxhash64("__id"), F.lit(folds))).drop("__text"))
+            .withColumn(_TOKENS, tokens_column(F.col("__text"))).withColumn("__fold", F.pmod(F.xxhash64("__text"), F.lit(folds))).drop("__text"))
     rows = checkpointed(rows, "toxicwords")
-    n = rows.count()
+    sizes = {r[0]: r[1] for r in rows.groupBy("__fold").count().collect()}
+    n = sum(sizes.values())
     if not n or not rows.where(F.size(_TOKENS) > 0).head(1):
         return ToxicityChain([(c, -700.0 if not n else _base_rate(rows, f"__{c}"), {}, []) for c in categories])
-    words = _telling_tokens(rows, [f"__{c}" for c in categories], n, min(min_docs, n), vocabulary_size)
-    vocabulary = CountVectorizerModel.from_vocabulary(words, inputCol=_TOKENS, outputCol=_TF)
-    table = checkpointed(vocabulary.transform(rows).drop(_TOKENS), "toxicvectors")
-    sizes = {r[0]: r[1] for r in table.groupBy("__fold").count().collect()}
+    own = [f"__{c}" for c in categories]
+    telling = lambda part, size: _telling_tokens(part, own, size, min(min_docs, size), vocabulary_size)
+    words = telling(rows, n)
+    rest = {f: (rows.where(F.col("__fold") != f), n - k) if k < n else (rows, n) for f, k in sizes.items()}
+    rest_words = {f: telling(*part) for f, part in rest.items()} if len(categories) > 1 else {}
     models, earlier = [], []
     for i, c in enumerate(categories):
-        fitted = _fit(table, earlier, f"__{c}", penalty)
-        given = fitted.coefficients.toArray()
-        models.append((c, float(fitted.intercept), {w: float(x) for w, x in zip(words, given) if x}, [float(x) for x in given[len(words):]]))
+        models.append(_fit(rows, words, earlier, c, penalty, max_iter))
         if i + 1 < len(categories):      # out-of-fold probabilities for the models after it
             parts = []
-            for fold, own in sizes.items():
-                rest = table.where(F.col("__fold") != fold) if own < n else table
-                parts.append(_scored(_fit(rest, earlier, f"__{c}", penalty), table.where(F.col("__fold") == fold), earlier, _p(c)))
-            table = parts[0]
-            for p in parts[1:]:
-                table = table.unionByName(p)
-            table = checkpointed(table, "toxicvectors")
+            for f in sizes:
+                others = rows.where(F.col("__fold") != f) if sizes[f] < n else rows
+                parts.append(_scored(rows.where(F.col("__fold") == f), _fit(others, rest_words[f], earlier, c, penalty, max_iter), earlier, _p(c)))
+            rows = checkpointed(reduce(DataFrame.unionByName, parts), "toxicwords")
             earlier.append(_p(c))
     return ToxicityChain(models)
 

@@ -40,6 +40,74 @@ def test_chain_learns_from_earlier_categories(spark):
     assert [m[0] for m in chain.models] == ["low_quality", "toxic"] and [len(m[3]) for m in chain.models] == [0, 1] and chain.models[1][3][0] != 0
 
 
+def plain_fit(x, y, penalty):
+    """L1 logistic regression by accelerated proximal steps; the intercept isn't penalised."""
+    import numpy as np
+
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    w = v = np.zeros(x1.shape[1])
+    step, t = 4 * len(x) / np.linalg.norm(x1, 2) ** 2, 1.0
+    for _ in range(20_000):
+        grad = x1.T @ (1 / (1 + np.exp(-x1 @ v)) - y) / len(x)
+        new = v - step * grad
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * penalty, 0)
+        t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        v = new + (old - 1) / t * (new - w)
+        w = new
+    return w
+
+
+def test_chain_equals_a_plain_one(spark):
+    """Token choice per fold, out-of-fold probabilities and both models, computed again without Spark."""
+    import numpy as np
+
+    rows, labels = toxic_corpus(150, seed=4)
+    rows += [(500 + i, t) for i, t in rows[:40]]                       # copies share a fold
+    labels += [(500 + i, q, x) for i, q, x in labels[:40]]
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    penalty, min_docs, most = 0.01, 4, 60
+    chain = toxicity.toxicity_chain(docs, given, penalty=penalty, min_docs=min_docs, vocabulary_size=most, max_iter=600)
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.expr("pmod(xxhash64(text), 3)").alias("f")).collect()}
+    tokens = {i: set(toxicity.tokens_of(t)) for i, t in rows}
+    y = {i: (float(1 - q), float(x)) for i, q, x in labels}
+
+    def telling(ids):
+        n, counts = len(ids), {}
+        for i in ids:
+            for t in tokens[i]:
+                c = counts.setdefault(t, [0, 0, 0])
+                c[0] += 1
+                c[1] += y[i][0]
+                c[2] += y[i][1]
+        total = [sum(y[i][k] for i in ids) for k in (0, 1)]
+
+        def chi(c, k):
+            a, b, d = c[0], c[1 + k], total[k]
+            under = a * (n - a) * d * (n - d)
+            return (b * (n - a - d + b) - (a - b) * (d - b)) ** 2 * n / under if under else 0.0
+
+        scored = sorted((-max(chi(c, 0), chi(c, 1)), t) for t, c in counts.items() if c[0] >= min_docs)
+        return [t for _, t in scored[:most]]
+
+    matrix = lambda ids, words, more: np.hstack([np.array([[float(t in tokens[i]) for t in words] for i in ids]), more])
+    ids = [i for i, _ in rows]
+    out = {}
+    for f in set(fold.values()):
+        rest, here = [i for i in ids if fold[i] != f], [i for i in ids if fold[i] == f]
+        words = telling(rest)
+        w = plain_fit(matrix(rest, words, np.zeros((len(rest), 0))), np.array([y[i][0] for i in rest]), penalty)
+        p = 1 / (1 + np.exp(-(matrix(here, words, np.zeros((len(here), 0))) @ w[:-1] + w[-1])))
+        out.update(zip(here, p))
+    words = telling(ids)
+    first = plain_fit(matrix(ids, words, np.zeros((len(ids), 0))), np.array([y[i][0] for i in ids]), penalty)
+    second = plain_fit(matrix(ids, words, np.array([[out[i]] for i in ids])), np.array([y[i][1] for i in ids]), penalty)
+    p_low = 1 / (1 + np.exp(-(matrix(ids, words, np.zeros((len(ids), 0))) @ first[:-1] + first[-1])))
+    p_toxic = 1 / (1 + np.exp(-(matrix(ids, words, p_low[:, None]) @ second[:-1] + second[-1])))
+    found = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in chain.score(docs).collect()}
+    assert max(abs(found[i][0] - p) for i, p in zip(ids, p_low)) < 5e-3
+    assert max(abs(found[i][1] - p) for i, p in zip(ids, p_toxic)) < 5e-3
+
+
 def test_chain_without_labels_or_with_one_class(spark):
     rows, labels = toxic_corpus(40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
