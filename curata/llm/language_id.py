@@ -1,6 +1,6 @@
 """Language identification by unigram piece models, summed over all segmentations.
 
-The pieces are those of a fixed public vocabulary (at most ``MAX_PIECE`` characters each); per language a
+The pieces are those of a fixed public vocabulary; per language a
 probability for every piece is learned by EM from labelled texts.  A word's probability in a
 language is the sum over all ways to cut it into pieces (forward algorithm); a text's score is
 the sum of the logarithms over its words, and the prediction the language with the highest
@@ -11,9 +11,10 @@ bounded, documented sample; whole texts).  Words are counted by Spark; one EM st
 expected counts are summed by (language, piece), so the driver holds languages x pieces
 numbers.  Prediction scores each distinct word of a batch once, for all languages together.
 
-Words are lower-cased parts between white space with a word-start mark; a word of more than
-``MAX_WORD`` characters is scored in parts of that size.  A character that is no piece has one small
-probability in every language.  Defined results: null texts and texts without a letter are
+Words are lower-cased parts between white space with a word-start mark, of any length: the forward sums are
+rescaled as they run, and only as many of them are kept as the longest piece has characters.  A character that is no piece
+has one small probability in every language.  The score is the posterior of an average word of the text (the mean of its words'
+logarithms), so it doesn't run to 1 with the text's length.  Defined results: null texts and texts without a letter are
 ``und`` with score 0, and so is everything if no labelled text is given; repeated rows
 are predicted each; an empty table gives no rows; lang, source and id are never inputs of a prediction.
 """
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 
 from curata.session import checkpointed
 
-MAX_PIECE = 8
-MAX_WORD = 48
+RESCALE = 16                # characters between two rescalings of the sums
 MARK = "▁"              # start of a word in the vocabulary
 UNKNOWN = 1e-7              # probability of a character that is no piece
 MEMO = 200_000              # words that a task remembers
@@ -37,26 +37,21 @@ _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def load_pieces(path: str) -> list[str]:
-    """The ordinary pieces of a vocabulary file, at most MAX_PIECE characters each."""
+    """The ordinary pieces of a vocabulary file, lower-cased."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
-    return sorted({model.id_to_piece(i).lower() for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(model.id_to_piece(i)) <= MAX_PIECE})
+    return sorted({model.id_to_piece(i).lower() for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))})
 
 
 def words_of(text: str) -> Iterator[str]:
-    """Marked, lower-cased words; long ones in parts."""
-    for w in text.lower().split():
-        w = MARK + w
-        if len(w) <= MAX_WORD:
-            yield w
-        else:
-            yield from (w[i:i + MAX_WORD] for i in range(0, len(w), MAX_WORD))
+    """Marked, lower-cased words."""
+    return (MARK + w for w in text.lower().split())
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(words), -1)
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(words), -1)
 
 
 class Pieces:
@@ -65,9 +60,11 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(hashes)
-        self.n, self.hashes, self.ids = len(pieces), hashes[order], order
-        self.seen = np.zeros(1 << 20, bool)
+        self.n, self.hashes, self.ids, self.longest = len(pieces), hashes[order], order, max(map(len, pieces), default=1)
+        self.seen, self.begins = np.zeros((2, 1 << 20), bool)       # filters: pieces, and what longer pieces begin with
         self.seen[(self.hashes * _MIX) >> np.uint64(44)] = True
+        starts = np.array([self._hash(x) for x in {p[:k] for p in pieces for k in range(1, len(p))}], np.uint64)
+        self.begins[(starts * _MIX) >> np.uint64(44)] = True
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -76,49 +73,92 @@ class Pieces:
             h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
         return h
 
-    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, length, piece of each word there; n: none, n + 1: an unknown character) in order of start."""
+    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, length, places of the words with a piece there, their pieces; n: an unknown character) in order of start."""
         codes = _codes(words) + np.uint64(1)
         size = codes.shape[1]
+        every = np.arange(len(words))
         for i in range(size):
-            h = np.zeros(len(words), np.uint64)
-            for length in range(1, min(MAX_PIECE, size - i) + 1):
-                h = h * _BASE + codes[:, i + length - 1]
-                piece = np.full(len(words), self.n, np.int64)
-                may = np.flatnonzero(self.seen[(h * _MIX) >> np.uint64(44)])
-                if len(may):
-                    at = np.minimum(np.searchsorted(self.hashes, h[may]), self.n - 1)
-                    same = self.hashes[at] == h[may]
-                    piece[may[same]] = self.ids[at[same]]
-                if length == 1:
-                    piece[piece == self.n] = self.n + 1
-                yield i, length, piece
+            live, h = every, np.zeros(len(words), np.uint64)
+            for length in range(1, min(self.longest, size - i) + 1):
+                h = h * _BASE + codes[live, i + length - 1]
+                bits = (h * _MIX) >> np.uint64(44)
+                may = np.flatnonzero(self.seen[bits])
+                at = np.minimum(np.searchsorted(self.hashes, h[may]), max(self.n - 1, 0))
+                same = self.hashes[at] == h[may] if self.n else np.zeros(0, bool)
+                hit, piece = live[may[same]], self.ids[at[same]]
+                if length == 1 and len(hit) < len(words):
+                    known = np.full(len(words), self.n, np.int64)
+                    known[hit] = piece
+                    hit, piece = every, known
+                if len(hit):
+                    yield i, length, hit, piece
+                on = self.begins[bits]
+                if not on.all():
+                    live, h = live[on], h[on]
+                if not len(live):
+                    break
 
 
 def forward(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """log P(word) in every language for words of equal length; ``prob`` has rows for "none" (0) and "unknown" at its end."""
-    size = len(words[0])
-    alpha = np.zeros((size + 1, len(words), prob.shape[1]))
+    """log P(word) in every language for words of equal length; ``prob`` has a row for unknown characters at its end.
+
+    A ring of sums holds the places that pieces can still reach; all sums of a word and language share one scale."""
+    size, ring = len(words[0]), pieces.longest + 1
+    alpha = np.zeros((ring, len(words), prob.shape[1]))
     alpha[0] = 1
-    for i, length, piece in pieces.spans(words):
-        if (hit := np.flatnonzero(piece != pieces.n)).size:
-            alpha[i + length, hit] += alpha[i, hit] * prob[piece[hit]]
-    return np.log(np.maximum(alpha[size], 1e-300))
+    scale = np.zeros((len(words), prob.shape[1]))
+    here = 0
+    for i, length, hit, piece in pieces.spans(words):
+        if i != here:
+            alpha[here % ring] = 0
+            here = i
+            if i % RESCALE == 0:
+                top = alpha.max(axis=0)
+                alpha /= top
+                scale += np.log(top)
+        if len(hit) == len(words):
+            alpha[(i + length) % ring] += alpha[i % ring] * prob[piece]
+        else:
+            alpha[(i + length) % ring, hit] += alpha[i % ring, hit] * prob[piece]
+    return np.log(alpha[size % ring]) + scale
+
+
+def _sums(spans: list, size: int, n: int, prob: np.ndarray, longest: int, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all cuts before (or ``back``: after) every place of each word, and the logarithm of the scale that each is kept in."""
+    sums, scale = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+    sums[size if back else 0] = 1
+    here = size if back else 0
+    for i, length, hit, piece in reversed(spans) if back else spans:
+        # `here` is the place the sums have moved on to; rescale what can still be reached
+        if i != here:
+            here = i
+            if i % RESCALE == 0:
+                reach = slice(i + 1, i + longest + 1) if back else slice(i, i + longest)
+                top = sums[reach].max(axis=0)
+                sums[reach] /= top
+                scale[reach] += np.log(top)
+                if back:
+                    scale[:i + 1] = scale[i + 1]
+                else:
+                    scale[i:] = scale[i]
+        if back:
+            sums[i, hit] += prob[piece] * sums[i + length, hit]
+        else:
+            sums[i + length, hit] += sums[i, hit] * prob[piece]
+    return sums, scale
 
 
 def expected(words: list[str], weight: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected piece counts over all segmentations of weighted words of equal length (one language)."""
     size, spans = len(words[0]), list(pieces.spans(words))
-    alpha, beta = np.zeros((2, size + 1, len(words)))
-    alpha[0], beta[size] = 1, 1
-    for i, length, piece in spans:
-        alpha[i + length] += alpha[i] * prob[piece]
-    for i, length, piece in reversed(spans):
-        beta[i] += prob[piece] * beta[i + length]
-    total = np.maximum(alpha[size], 1e-300)
-    out = np.zeros(pieces.n + 2)
-    for i, length, piece in spans:
-        out += np.bincount(piece, weight * alpha[i] * prob[piece] * beta[i + length] / total, minlength=pieces.n + 2)
+    alpha, before = _sums(spans, size, len(words), prob, pieces.longest, False)
+    beta, behind = _sums(spans, size, len(words), prob, pieces.longest, True)
+    total = np.log(alpha[size]) + before[size]
+    out = np.zeros(pieces.n + 1)
+    for i, length, hit, piece in spans:
+        part = alpha[i, hit] * prob[piece] * beta[i + length, hit] * np.exp(before[i, hit] + behind[i + length, hit] - total[hit])
+        out += np.bincount(piece, weight[hit] * part, minlength=pieces.n + 1)
     return out[:pieces.n]
 
 
@@ -132,20 +172,25 @@ def by_length(words) -> Iterator[list[str]]:
             yield group[i:i + 8192]
 
 
-def with_ends(prob: np.ndarray) -> np.ndarray:
-    """Rows for "no piece" (0) and "unknown character" added."""
-    return np.concatenate([prob, np.zeros((1, prob.shape[1])), np.full((1, prob.shape[1]), UNKNOWN)])
+def with_unknown(prob: np.ndarray) -> np.ndarray:
+    """A row for unknown characters added."""
+    return np.concatenate([prob, np.full((1, prob.shape[1]), UNKNOWN)])
 
 
 def training_sample(docs: DataFrame, train_docs: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, text): at most ``train_docs`` labelled texts of each language, by a hash of the id."""
+    """(lang, text): at most ``train_docs`` labelled texts of each language, by a hash of id and text; rows repeated whole count once.
+
+    The counts of the languages (one row each) say which hashes can be among the first, so no more than about 2 * train_docs hashes of a
+    language are ordered, without texts; the texts are fetched for the chosen ones alone."""
     known = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .withColumn("key", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))))
-    # the counts say which keys can be among the first: only about 2 * train_docs texts of a language are ordered
     often = known.groupBy("lang").agg(F.count("*").alias("n"))
-    few = known.join(often, "lang").where(F.col("key") < F.lit(float(2 * train_docs + 100) * (1 << 40)) / F.col("n"))
-    by_lang = Window.partitionBy("lang").orderBy("key", "id", "text")
-    return few.withColumn("place", F.row_number().over(by_lang)).where(F.col("place") <= train_docs).select("lang", "text")
+    few = (known.select("lang", "id", "key").join(F.broadcast(often), "lang")
+           .where(F.col("key") < F.lit(float(2 * train_docs + 100) * (1 << 40)) / F.col("n")).select("lang", "key", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name")).distinct())
+    by_lang = Window.partitionBy("lang").orderBy("key", "name")
+    chosen = few.withColumn("place", F.row_number().over(by_lang)).where(F.col("place") <= train_docs).drop("place")      # train_docs a language
+    rows = known.withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    return rows.join(F.broadcast(chosen), ["lang", "key", "name"]).dropDuplicates(["lang", "key", "name"]).select("lang", "text")
 
 
 def train(sample: DataFrame, vocabulary: list[str], steps: int = 3) -> tuple[list[str], np.ndarray]:
@@ -164,7 +209,7 @@ def train(sample: DataFrame, vocabulary: list[str], steps: int = 3) -> tuple[lis
     prob = np.full((n, len(langs)), 1 / max(n, 1))
     shared_words = spark.sparkContext.broadcast(vocabulary)
     for _ in range(steps if langs else 0):
-        shared = spark.sparkContext.broadcast(with_ends(prob))
+        shared = spark.sparkContext.broadcast(with_unknown(prob))
 
         def step(batches, shared=shared):
             pieces = Pieces(shared_words.value)
@@ -188,7 +233,7 @@ def train(sample: DataFrame, vocabulary: list[str], steps: int = 3) -> tuple[lis
 
 def predict_column(text: Column, langs: list[str], prob: np.ndarray, vocabulary: list[str], spark) -> Column:
     """struct<lang_pred, score> of each text."""
-    shared = spark.sparkContext.broadcast((vocabulary, with_ends(prob)))
+    shared = spark.sparkContext.broadcast((vocabulary, with_unknown(prob)))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -213,7 +258,7 @@ def predict_column(text: Column, langs: list[str], prob: np.ndarray, vocabulary:
                         continue
                     total = np.fromiter(c.values(), float, len(c)) @ table[np.fromiter(map(place.__getitem__, c), np.int64, len(c))]
                     best = int(total.argmax())
-                    out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
+                    out.append((langs[best], float(1 / np.exp((total - total[best]) / c.total()).sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return predict(text)

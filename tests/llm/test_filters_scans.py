@@ -1,5 +1,6 @@
 """URL filter, language identification, secret scan and decontamination against plain versions."""
 
+import math
 import random
 import re
 
@@ -45,20 +46,93 @@ def test_urls(spark):
 
 # ---- languages ---------------------------------------------------------------------------------
 
+def plain_word(word, pieces, prob, lang):
+    """log P(word) by plain sums over all cuts, and the expected count of every piece, in exact fractions."""
+    from fractions import Fraction
+
+    p = {w: Fraction(float(prob[k, lang])) for k, w in enumerate(pieces)}
+    unknown = Fraction(language_id.UNKNOWN)
+    longest = max(map(len, pieces))
+    ends = lambda i: [(j, p[word[i:j]] if word[i:j] in p else unknown if j == i + 1 else 0) for j in range(i + 1, min(len(word), i + longest) + 1)]
+    fore, back = [Fraction(0)] * (len(word) + 1), [Fraction(0)] * (len(word) + 1)
+    fore[0] = back[-1] = Fraction(1)
+    for i in range(len(word)):
+        for j, x in ends(i):
+            fore[j] += fore[i] * x
+    for i in reversed(range(len(word))):
+        back[i] = sum(x * back[j] for j, x in ends(i))
+    counts = [0.0] * len(pieces)
+    for i in range(len(word)):
+        for j, x in ends(i):
+            if word[i:j] in p:
+                counts[pieces.index(word[i:j])] += float(fore[i] * x * back[j] / fore[-1])
+    log = lambda f: math.log(f.numerator) - math.log(f.denominator)
+    return log(fore[-1]), counts
+
+
 def test_forward_sums_all_cuts():
+    """Short words, words of 200 characters, a piece of 16, and unknown characters only: nothing is cut off or underflows."""
     import numpy as np
 
-    pieces = sorted(["▁", "a", "b", "ab", "▁a", "ba"])
-    rnd = np.random.default_rng(5)
-    prob = language_id.with_ends(rnd.random((len(pieces), 2)) / 9)
-
-    def plain(word, lang):
-        if not word:
-            return 1.0
-        return sum((prob[pieces.index(word[:n]), lang] if word[:n] in pieces else language_id.UNKNOWN if n == 1 else 0.0) * plain(word[n:], lang) for n in range(1, len(word) + 1))
+    long_piece = "abbaabbaabbaabba"
+    pieces = sorted(["▁", "a", "b", "ab", "▁a", "ba", long_piece])
+    rnd, rng = np.random.default_rng(5), random.Random(3)
+    prob = language_id.with_unknown(rnd.random((len(pieces), 2)) / 9)
+    known = language_id.Pieces(pieces)
+    assert known.longest == 16
+    for words in (["▁abab", "▁baab", "▁azab"], ["▁" + "".join(rng.choice("abz") for _ in range(199)) for _ in range(3)],
+                  ["▁" + "ab" * 50 + long_piece * 6 + "zab"], ["z" * 90, "abz" * 30]):
+        found = language_id.forward(words, known, prob)
+        for k in (0, 1):
+            weight = np.arange(1.0, len(words) + 1)
+            plain = [plain_word(w, pieces, prob, k) for w in words]
+            assert np.allclose(found[:, k], [x for x, _ in plain], rtol=1e-9)
+            assert np.allclose(language_id.expected(words, weight, known, prob[:, k]), weight @ np.array([c for _, c in plain]), rtol=1e-7, atol=1e-12)
+
+
+def test_the_public_vocabulary_is_used_whole():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    every = {m.id_to_piece(i).lower() for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    assert set(language_id.load_pieces(path)) == every and max(map(len, every)) > 8
+
+
+def test_training_and_prediction_equal_plain_ones(spark):
+    """EM over all cuts and the predictions, computed again word by word."""
+    import numpy as np
 
-    words = ["▁abab", "▁baab", "▁azab"]
-    assert np.allclose(language_id.forward(words, language_id.Pieces(pieces), prob), np.log([[plain(w, k) for k in (0, 1)] for w in words]))
+    rng = random.Random(6)
+    pieces = sorted(["▁", "a", "b", "c", "ab", "bc", "▁a", "▁b", "cab"])
+    texts = [(lang, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 70 if k == 0 else 6))) for _ in range(12))) for lang, letters in (("x", "aab"), ("y", "bbc")) for k in range(4)]
+    langs, prob = language_id.train(spark.createDataFrame(texts, "lang string, text string"), pieces)
+    want = np.full((len(pieces), 2), 1 / len(pieces))
+    for _ in range(3):
+        counts = np.full(want.shape, 0.1)
+        for lang, text in texts:
+            k = "xy".index(lang)
+            for w in text.split():
+                counts[:, k] += plain_word("▁" + w, pieces, language_id.with_unknown(want), k)[1]
+        want = counts / counts.sum(axis=0)
+    assert langs == ["x", "y"] and np.allclose(prob, want, rtol=1e-6)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(90, "Cab d"), (91, "ab")], "doc_id long, text string")
+    for r in docs.select("text", language_id.predict_column(F.col("text"), langs, prob, pieces, spark).alias("p")).collect():
+        words = r.text.lower().split()
+        total = [sum(plain_word("▁" + w, pieces, language_id.with_unknown(prob), k)[0] for w in words) for k in (0, 1)]
+        mean = [t / len(words) for t in total]
+        assert r.p.lang_pred == langs[total.index(max(total))] and r.p.score == pytest.approx(1 / sum(math.exp(m - max(mean)) for m in mean), rel=1e-6)
+
+
+def test_training_sample_is_bounded_and_whole(spark):
+    rows = [(i, f"text {i}", "x" if i % 3 else "y") for i in range(900)] + [(5, "text 5", "x"), (None, "no id", "x"), (7, None, "x"), (8, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit(1))
+    got = language_id.training_sample(df, 50).collect()
+    assert sorted((r.lang for r in got)) == ["x"] * 50 + ["y"] * 50 and len({(r.lang, r.text) for r in got}) == 100
+    assert sorted(r.text for r in language_id.training_sample(df, 50).collect()) == sorted(r.text for r in language_id.training_sample(df.repartition(7), 50).collect())
+    whole = language_id.training_sample(df, 10_000).collect()
+    assert len(whole) == 901
 
 
 def test_language_accuracy(spark):
