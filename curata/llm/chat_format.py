@@ -11,8 +11,8 @@ can be undone.  The loss mask covers the (escaped) text of assistant turns: code
 spans, end exclusive.
 
 Work is dealt by (conversation, chunk of 256 places), so a conversation that holds a large
-part of all rows is sorted, rendered and read back in many tasks; only the finished
-strings of its chunks meet.
+part of all rows is sorted, rendered and read back in many tasks; ``digests`` then hashes its chunks in a
+stream, ``assembled`` joins them to one string (which must fit in a row).
 
 Defined results: null text and null role are empty; a null target sorts first; several ``message`` events
 at one target are turns each, ordered by (seq, op, role, text) - repeated rows are repeated
@@ -22,11 +22,13 @@ conversation of its own; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.llm.common import sha256_hex
-
 CHUNK = 256
 OPEN, ROLE_END, CLOSE = "<s>[ROLE]", "[/ROLE]", "</s>"
 TURN = "struct<role:string,text:string>"
@@ -57,9 +59,11 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render_chunks(messages: DataFrame) -> DataFrame:
-    """(conv_id, chunk, formatted, loss): messages of 256 places each in order, with the loss spans inside the chunk."""
+    """(conv_id, chunk, formatted, loss): messages of 256 places each in order, with the loss spans inside the chunk.
+
+    Messages without a place form the first chunk (null)."""
     head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(ROLE_END))
-    turns = messages.select("conv_id", F.floor(F.coalesce("target", F.lit(0)) / CHUNK).alias("chunk"), "target", "ordinal", "role",
+    turns = messages.select("conv_id", F.floor(F.col("target") / CHUNK).alias("chunk"), "target", "ordinal", "role",
                             F.concat(head, escaped(F.col("text")), F.lit(CLOSE)).alias("shown"), F.length(head).alias("from"), F.length(escaped(F.col("text"))).alias("n"))
     grouped = turns.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("target", "ordinal", "role", "shown", "from", "n"))).alias("turns"))
     # running start of each turn in the chunk, then the spans of the assistant's
@@ -100,13 +104,46 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
 
 def digests(chunks: DataFrame) -> DataFrame:
-    """What the formatted chunks say when read back, per conversation."""
+    """What the formatted chunks say when read back, per conversation.
+
+    A conversation's chunks are read one after the other by one task, which feeds running hashes and keeps no text."""
     per_chunk = chunks.select(
-        "conv_id", "chunk", F.size(read_back(F.col("formatted"))).alias("n"),
+        "conv_id", "chunk", F.size(read_back(F.col("formatted"))).cast("long").alias("n"),
         F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
-        loss_text(F.col("formatted"), F.col("loss")).alias("under"), F.length("formatted").alias("chars"))
-    whole = per_chunk.groupBy("conv_id").agg(
-        F.sum("n").cast("long").alias("n_turns"), F.sort_array(F.collect_list(F.struct("chunk", "turns", "under"))).alias("parts"), F.sum("chars").cast("long").alias("formatted_chars"))
-    joined = lambda field: F.array_join(F.transform("parts", lambda p: p[field]), "")
-    return whole.select("conv_id", "n_turns", sha256_hex(joined("turns")).alias("turns_sha256"), F.length(joined("under")).cast("long").alias("loss_chars"),
-                        sha256_hex(joined("under")).alias("loss_sha256"), "formatted_chars")
+        loss_text(F.col("formatted"), F.col("loss")).alias("under"), F.length("formatted").cast("long").alias("chars"))
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    id_type = chunks.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, done, state, at = None, [], None, None       # state: turns, hash of turns, characters under the mask, their hash, characters
+
+        def close() -> None:
+            done.append((at, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+
+        def drain() -> pa.RecordBatch:
+            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names)
+            done.clear()
+            return batch
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for conv, n, turns, under, length, chars in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or conv != at:
+                    if state:
+                        close()
+                    at, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[0] += n
+                state[1].update(turns.encode())
+                state[2] += length
+                state[3].update(under.encode())
+                state[4] += chars
+            if done:
+                yield drain()
+        if state:
+            close()
+            yield drain()
+
+    dealt = per_chunk.repartition("conv_id").sortWithinPartitions("conv_id", F.col("chunk").asc_nulls_first())
+    return dealt.select("conv_id", "n", "turns", "under", F.length("under").cast("long").alias("under_chars"), "chars").mapInArrow(
+        run, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

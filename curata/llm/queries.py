@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from curata.llm import (byte_bpe, chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, prefix_trie, secret_scan,
                         token_alignment, toxicity, url_filter, vector_search)
@@ -88,7 +89,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("target"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
+    # the log of these turns: assistant texts are streamed in two parts, user texts edited into place, others regenerated
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    k = 2 * F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(role, text))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda seq, op, part: F.struct(seq.alias("seq"), F.lit(op).alias("op"), part.alias("text"))
+    streamed = F.array(event(F.col("k"), "message", F.substring(text, F.lit(1), half)), event(F.col("k") + 1, "delta", F.substring(text, half + 1, F.length(text))))
+    replaced = lambda op: F.array(event(F.col("k"), "message", F.lit("draft")), event(F.col("k") + 1, op, text))
+    log = F.when(role == "assistant", streamed).when(role == "user", replaced("edit")).otherwise(replaced("regenerate"))
+    events = rows.withColumn("k", k).select("conv_id", F.col("turn").alias("target"), "role", F.explode(log).alias("e")).select("conv_id", "target", "e.seq", "e.op", "role", "e.text")
     return chat_format.digests(chat_format.render_chunks(chat_format.fold_events(events)))
 
 

@@ -44,6 +44,21 @@ def test_chat_events_fold(spark):
     assert chat_format.format_conversations(df.limit(0)).collect() == []
 
 
+def test_chat_digests_of_turns_without_a_number_and_of_many_chunks(spark):
+    """Null places come first, also before negative ones; chunks of one conversation are hashed in their order."""
+    rnd = random.Random(5)
+    rows = [("c", t, rnd.choice(["user", "assistant"]), f"t{t}<") for t in rnd.sample(range(-700, 700), 1200)] + [("c", None, "assistant", "first"), (None, 3, "assistant", "é"), (None, -1, None, None)]
+    events = spark.createDataFrame([(c, 0, t, "message", r, x) for c, t, r, x in rows], "conv_id string, seq int, target int, op string, role string, text string").repartition(5)
+    found = {r.conv_id: r for r in chat_format.digests(chat_format.render_chunks(chat_format.fold_events(events))).collect()}
+    for conv in ("c", None):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))
+        turns = "".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in own)
+        under = "".join(x or "" for _, _, r, x in own if r == "assistant")
+        r = found[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest())
+    assert len(found) == 2
+
+
 def test_top_k_is_what_all_pairs_say(spark):
     rnd = random.Random(3)
     rows = [(i, [rnd.choice([-1.5, -0.25, 0.1, 0.5, 1.0]) for _ in range(4)], "x") for i in range(900)]
