@@ -157,14 +157,11 @@ def distinct_text_count(df: DataFrame, groups: Sequence[str] = ("task",)) -> Dat
 def dedup_text(df: DataFrame, key: str = "note_id", groups: Sequence[str] = ("task",)) -> DataFrame:
     """One row per distinct text, the smallest key kept (deterministic keep-first).
 
-    The smallest key per hash of the text is a hash aggregate over fixed-width columns; the
-    texts are read once more and only the kept rows leave the semi join.  Rows that repeat a
-    kept key and text stay once.
+    One read and one exchange: rows are grouped by a hash of the text, each task sends a text once per group; equal
+    hashes mean equal texts, so any text of a group is the group's.
     """
     g, h = list(groups), F.sha2("text", 256)
-    first = df.groupBy(*g, h.alias("__h")).agg(F.min(key).alias(key))
-    rows = df.select(*g, "text", key).withColumn("__h", h)
-    return join_null_safe(rows, first, [*g, "__h", key]).drop("__h").dropDuplicates([*g, key, "text"])
+    return df.groupBy(*g, h.alias("__h")).agg(F.any_value("text").alias("text"), F.min(key).alias(key)).drop("__h")
 
 
 def union_splits(*frames: DataFrame) -> DataFrame:

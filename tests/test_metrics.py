@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from curata.operators import metrics as M
 
@@ -111,3 +112,32 @@ def test_same_result_for_1_and_16_partitions(spark):
     a = M.auroc_per_label(cells_df(spark, rows).repartition(1)).orderBy("label_id").collect()
     b = M.auroc_per_label(cells_df(spark, rows).repartition(16)).orderBy("label_id").collect()
     assert [r["auroc"] for r in a] == pytest.approx([r["auroc"] for r in b])
+
+
+def test_report_with_chosen_labels_equals_pair_counts(spark):
+    """Areas by counting pairs of cells, for all kept labels and for the chosen ones; a label without both classes and one that never occurs."""
+    rnd = random.Random(12)
+    rows = [(t, i, k, int(rnd.random() < (0.0 if k == 2 else 0.3)), rnd.choice([0.1, 0.25, 0.5, 0.5001, 0.9])) for t in (None, "a") for i in range(40) for k in range(6)]
+    cells = spark.createDataFrame(rows, "task string, note_id int, label_id int, y_true int, y_prob double").withColumn("logit", F.col("y_prob"))
+    selected = [4, 1, 2, 77]
+
+    def area(own):
+        pos, neg = [p for *_, y, p in own if y], [p for *_, y, p in own if not y]
+        return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+    found = {(r["task"], r["label_id"]): r for r in M.label_report(cells, selected=selected).collect()}
+    assert len(found) == 12
+    for t in (None, "a"):
+        per = {k: area([r for r in rows if r[0] == t and r[2] == k]) for k in range(6)}
+        kept = [k for k in range(6) if per[k] is not None]
+        chosen = [k for k in kept if k in selected]
+        support = {k: sum(r[3] for r in rows if r[0] == t and r[2] == k) for k in range(6)}
+        for k in range(6):
+            r = found[t, k]
+            assert r["kept"] == (k in kept) and r["support"] == support[k] and r["auroc"] == (pytest.approx(per[k]) if k in kept else None)
+            assert r["chosen"] == (k in chosen) and r["position"] == (kept.index(k) if k in chosen else None)
+            assert r["auroc_macro"] == pytest.approx(sum(per[x] for x in kept) / len(kept))
+            assert r["auroc_weighted"] == pytest.approx(sum(per[x] * support[x] for x in kept) / sum(support[x] for x in kept))
+            assert r["auroc_micro"] == pytest.approx(area([x for x in rows if x[0] == t and x[2] in kept]))
+            assert r["chosen_macro"] == pytest.approx(sum(per[x] for x in chosen) / len(chosen))
+            assert r["chosen_micro"] == pytest.approx(area([x for x in rows if x[0] == t and x[2] in chosen]))
