@@ -1,21 +1,22 @@
 """Benchmark decontamination by q-gram counting in diagonal bands and banded alignment.
 
-Texts and benchmark items are compared as bytes in a plain form: ASCII letters lower-case,
-every other ASCII character but digits a blank, blanks collapsed.  An item is cut into
-windows of ``WINDOW`` bytes, half overlapping (a shorter item is one window).  A document
+Texts and benchmark items are compared as characters in a plain form: lower-case,
+every ASCII character but letters and digits a blank, blanks collapsed.  An item is cut into
+windows of ``WINDOW`` characters, one every ``STEP`` characters (a shorter item is one window), so any verbatim
+quote of ``WINDOW + STEP - 1`` characters holds a whole window.  A document
 contains a window when some part of it is within the edit budget k (8 % of the window).
 
 q-gram lemma: such a part shares at least ``length - q + 1 - k * q`` q-grams with the window,
-all within a band of k diagonals on either side.  The document's q-grams (eight bytes, read as
-one integer) are looked up in the index of the windows; hits are first thinned to stretches that
+all within a band of k diagonals on either side.  The document's q-grams (eight characters, as a 64-bit
+hash; equal hashes only add candidates, which are verified) are looked up in the index of the windows; hits are first thinned to stretches that
 are dense enough for any window, then counted per window and pair of neighbouring bands; bands
 that reach the bound are verified by a banded alignment of the window.
 
 The index goes to the tasks with the function.  Its size is bounded: items are taken in parts of
-at most ``PART_BYTES`` bytes, each part being one more column over the same documents.
+at most ``PART_CHARS`` characters, each part being one more column over the same documents.
 
 Defined results: null and empty texts contain nothing; items without id or text (or
-with nothing left in plain form) take no part; items shorter than q bytes must occur as
+with nothing left in plain form) take no part; items shorter than q characters must occur as
 whole words; budgets shrink where the bound would fall below one; repeated documents
 are judged each, equal items all count; documents are read whole; empty tables give no rows.
 """
@@ -31,47 +32,58 @@ from pyspark.sql import functions as F
 
 Q = 8
 WINDOW = 96
+STEP = 16
 BUDGET = 0.08
-PART_BYTES = 8 << 20
-GAP = 160                      # zero bytes between documents; more than a window and its band
+PART_CHARS = 1 << 20
+GAP = 160                      # zeros between documents; more than a window and its band
 SLICE = 1 << 20                # positions looked up at a time
 HITS = "array<struct<item_id:long,edits:int,windows:int>>"
 
-_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+_BASE = 0x100000001B3
+_PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
-def plain(text: str | None) -> bytes:
-    return b" ".join(text.encode("utf-8", "replace").translate(_PLAIN).split()) if text else b""
+def plain(text: str | None) -> str:
+    return " ".join(text.lower().translate(_PLAIN).split()) if text else ""
+
+
+def chars(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position as one integer, as a view of the bytes."""
+    """A 64-bit hash of the eight characters from each position on."""
     n = max(0, len(data) - Q + 1)
-    return np.ndarray(shape=(n,), dtype="<u8", buffer=data.data if n else b"", strides=(1,)) if n else np.zeros(0, "<u8")
+    h = np.zeros(n, np.uint64)
+    for i in range(Q):
+        h *= np.uint64(_BASE)
+        h += data[i:i + n]
+    return h
 
 
 def _slot(g: np.ndarray, bits: int) -> np.ndarray:
-    return (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return ((g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 class Index:
     """q-grams of all windows of some items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, bytes, int, int]] = []       # item, bytes, budget, least shared q-grams
-        self.short: list[tuple[int, bytes]] = []
+        self.windows: list[tuple[int, np.ndarray, int, int]] = []       # item, characters, budget, least shared q-grams
+        self.short: list[tuple[int, str]] = []
         for item_id, text in items:
             p = plain(text)
             if 0 < len(p) < Q:
-                self.short.append((item_id, b" " + p + b" "))
+                self.short.append((item_id, f" {p} "))
                 continue
-            starts = [0] if len(p) <= WINDOW else [*range(0, len(p) - WINDOW, WINDOW // 2), len(p) - WINDOW]
+            starts = [0] if len(p) <= WINDOW else [*range(0, len(p) - WINDOW, STEP), len(p) - WINDOW]
             for s in starts if p else ():
-                w = p[s:s + WINDOW]
+                w = chars(p[s:s + WINDOW])
                 k = min(int(BUDGET * len(w)), (len(w) - Q) // Q)
                 self.windows.append((item_id, w, k, len(w) - Q + 1 - k * Q))
-        parts = [grams(np.frombuffer(w, np.uint8)) for _, w, _, _ in self.windows]
-        gram = np.concatenate(parts) if parts else np.zeros(0, "<u8")
+        parts = [grams(w) for _, w, _, _ in self.windows]
+        gram = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         own = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int64)
         at = np.concatenate([np.arange(len(p)) for p in parts]).astype(np.int64) if parts else own
         order = np.argsort(gram, kind="stable")
@@ -88,10 +100,9 @@ class Index:
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose q-gram some window has, and the number of that q-gram; thinned to dense stretches."""
-        g = grams(data)
         found = []
-        for s in range(0, len(g), SLICE):
-            part = g[s:s + SLICE]
+        for s in range(0, max(0, len(data) - Q + 1), SLICE):
+            part = grams(data[s:s + SLICE + Q - 1])
             may = np.flatnonzero(self.seen[_slot(part, self.bits)])
             where = np.searchsorted(self.gram, part[may])
             sure = self.gram[np.minimum(where, len(self.gram) - 1)] == part[may]
@@ -135,15 +146,16 @@ class Index:
         return out
 
 
-def aligned(window: bytes, data: np.ndarray, low: int, high: int, k: int) -> int | None:
+def aligned(window: np.ndarray, data: np.ndarray, low: int, high: int, k: int) -> int | None:
     """Fewest edits (at most k) that turn the window into a part of ``data`` that starts on diagonals low..high."""
     w, first = high - low + 2 * k + 1, low - k
     n = len(window)
-    cells = np.zeros(n + w, np.uint8)
+    cells = np.zeros(n + w, np.uint32)
     a, b = max(0, first), min(len(data), first + n + w)
     if b > a:
         cells[a - first:b - first] = data[a:b]
-    if bytes(cells).find(window) >= 0:
+    where = np.flatnonzero(cells[:w + 1] == window[0])
+    if any(np.array_equal(cells[i:i + n], window) for i in where):
         return 0
     step = np.arange(w)
     row = np.zeros(w, np.int64)
@@ -160,7 +172,7 @@ def find_items(texts: list[str | None], index: Index) -> list[list[tuple[int, in
     """Per text the items it contains: (item, fewest edits, windows found)."""
     docs = [plain(t) for t in texts]
     starts = np.cumsum([0] + [len(d) + GAP for d in docs])
-    data = np.frombuffer(bytes(GAP).join([*docs, b""]), np.uint8) if docs else np.zeros(0, np.uint8)
+    data = chars(("\0" * GAP).join([*docs, ""]))
     found: list[dict[int, dict[int, int]]] = [{} for _ in docs]
     for own, band in index.candidates(data):
         item, window, k, _ = index.windows[own]
@@ -174,7 +186,7 @@ def find_items(texts: list[str | None], index: Index) -> list[list[tuple[int, in
                 best[own] = min(edits, best.get(own, edits))
     for doc, text in enumerate(docs):
         for item, word in index.short:
-            if word in b" " + text + b" ":
+            if word in f" {text} ":
                 found[doc].setdefault(item, {})[-1] = 0
     return [sorted((item, min(ws.values()), len(ws)) for item, ws in f.items()) for f in found]
 
@@ -196,11 +208,11 @@ def leak_column(text: Column, benchmark: DataFrame, id_col: str = "item_id", tex
     """array<struct<item_id, edits, windows>> of the benchmark items found in each text."""
     spark = benchmark.sparkSession
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, math.ceil(2 * size / PART_BYTES))
+    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = max(1, math.ceil(2 * size / PART_CHARS))
 
     def column(part: int) -> Column:
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()       # about PART_BYTES / 2 bytes
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()       # about PART_CHARS / 2 characters
         shared = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in own]))
 
         @F.pandas_udf(HITS)

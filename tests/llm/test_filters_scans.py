@@ -202,7 +202,7 @@ def edits(window, text):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_decontamination(spark, seed):
     rnd = random.Random(seed)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8)))
+    word = lambda: "".join(rnd.choice("abcdéÉ漢字") for _ in range(rnd.randrange(2, 8)))
     items = [(i, " ".join(word() for _ in range(rnd.choice([2, 8, 30])))) for i in range(8)] + [(50, None), (None, "text without an id is no item at all"), (51, "...")]
 
     def copied(t):
@@ -222,9 +222,23 @@ def test_decontamination(spark, seed):
     for i, t in rows:
         p = decontaminate.plain(t)
         for item, window, k, _ in index.windows:
-            if (e := edits(window, p)) <= k:
+            if (e := edits("".join(map(chr, window)), p)) <= k:
                 expected[i, item] = min(e, expected.get((i, item), e))
-        expected |= {(i, item): 0 for item, w in index.short if w in b" " + p + b" "}
+        expected |= {(i, item): 0 for item, w in index.short if w in f" {p} "}
     assert found == expected
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == sorted(i for i, _ in rows if not any(d == i for d, _ in expected))
     assert decontaminate.find_leaks(docs.limit(0), bench.limit(0)).collect() == [] == decontaminate.find_leaks(docs, bench.limit(0)).collect()
+
+
+def test_every_quote_of_a_window_and_a_step_is_found(spark):
+    """Verbatim parts of a long item from any offset; one changed Chinese character costs one edit."""
+    rnd = random.Random(4)
+    item = " ".join("".join(rnd.choice("abcdefgh漢字文é") for _ in range(rnd.randrange(2, 8))) for _ in range(120))
+    size = decontaminate.WINDOW + decontaminate.STEP - 1
+    quotes = {k: item[k:k + size] for k in range(0, len(item) - size, 7)}
+    docs = spark.createDataFrame([(k, "些 before " + q.upper() + " after") for k, q in quotes.items()], "doc_id long, text string")
+    found = {r.doc_id: r.edits for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert found == {k: 0 for k in quotes}
+    changed = [(0, item[:40] + "々" + item[41:96])]
+    again = decontaminate.find_leaks(spark.createDataFrame(changed, "doc_id long, text string"), spark.createDataFrame([(1, item[:96])], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.edits) for r in again] == [(0, 1)]
