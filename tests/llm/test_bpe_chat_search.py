@@ -29,6 +29,14 @@ def test_bpe_is_what_tiktoken_says(spark):
     assert bpe_digests(docs.limit(0)).collect() == []
 
 
+def test_higher_order_folds_say_the_same(spark):
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [None, "", " ", "Hello, world! <|endoftext|>", "naïve ñandú 漢字\u3000x 😀", "ab" * 40, "\n\n  \t x", "it's  we'll\u2028 9 12"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    key = lambda r: (r.doc_id, list(r.ids))
+    assert sorted(map(key, byte_bpe.encode_by_words(docs, ranks, public_tokenizers.PATTERN).collect())) == sorted(map(key, byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).collect()))
+
+
 def test_chat_events_fold(spark):
     events = [
         ("c", 1, 0, "message", "user", "hi <s>[x]&"), ("c", 2, 1, "message", "assistant", "He"), ("c", 3, 1, "delta", None, "llo"), ("c", 4, 1, "regenerate", None, "Bye"),
