@@ -24,8 +24,8 @@ from curata.session import checkpointed
 SPECIALS = ((0, "[PAD]"), (1, "[CLS]"), (2, "[SEP]"), (3, "[UNK]"))
 PAD, CLS, SEP, UNK = 0, 1, 2, 3
 MAX_LEN = 512
-HEAD_WORDS = 100_000        # words that encode_tokens broadcasts at most
-HEAD_BYTES = 4 << 20
+HEAD_WORDS = 500_000        # words that encode_tokens broadcasts at most
+HEAD_BYTES = 16 << 20
 
 
 def extract_sections(df: DataFrame, text: str = "text", blank_brackets: bool = False) -> DataFrame:
@@ -81,22 +81,23 @@ def build_vocab(docs: DataFrame, text: str = "text", max_size: int | None = None
     return specials.unionByName(learned)
 
 
-def frequent_words(vocab: DataFrame, max_words: int = HEAD_WORDS, max_bytes: int = HEAD_BYTES) -> list[str]:
+def frequent_words(vocab: DataFrame, max_words: int = HEAD_WORDS, max_bytes: int = HEAD_BYTES) -> pa.Array:
     """The words of the smallest ids, at most ``max_words`` and at most ``max_bytes`` of UTF-8, in id order from id 4 on."""
     top = vocab.where(F.col("token_id").between(UNK + 1, UNK + max_words)).select("token_id", "token")
     size = top.agg(F.sum(F.octet_length("token"))).first()[0] or 0
-    if size > max_bytes:                          # a few endless words: keep the part that fits
+    if size > max_bytes:                          # long words: keep the part that fits
         total = F.sum(F.octet_length("token")).over(Window.orderBy("token_id"))
         top = top.withColumn("__b", total).where(F.col("__b") <= max_bytes).drop("__b")
-    return [r["token"] for r in top.orderBy("token_id").collect()]
+    words = top.toArrow()
+    return words.sort_by("token_id")["token"].combine_chunks().cast(pa.string())
 
 
-def _look_up_in_place(tokens: DataFrame, keys: Sequence[str], head: list[str]) -> DataFrame:
+def _look_up_in_place(tokens: DataFrame, keys: Sequence[str], head: pa.Array) -> DataFrame:
     """(keys, __row, __ids, __rest): ids of the head's words in place, null elsewhere, and the other words with their positions."""
     shared = tokens.sparkSession.sparkContext.broadcast(head)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, done = pa.array(shared.value, pa.string()), TaskContext.get().partitionId() << 33, 0
+        known, base, done = shared.value, TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             flat, starts = lists.flatten(), lists.offsets
