@@ -14,8 +14,10 @@ Runs made of letters in the case pattern of words are the null group (ordinary t
 digits only are numbers and play no part.  A run of digits and letters or of mixed case is reported when its randomness is high against the null
 runs of at most its length: per length band, its empirical p-value must pass
 Benjamini-Hochberg at ``fdr``, and the uniform hypothesis must not be rejected at ``alpha``.
+Only runs that could be reported are tested: one that overlaps a base span is none, and the rate is over the others.
 The counts behind this cover all documents (a histogram of lengths and randomness,
-built by Spark; the driver gets bands x bins rows).
+built by Spark; the driver gets bands x bins rows).  The battery's reach: runs under 16 characters and base64 text cut by other
+characters are not tested.
 
 Defined results: null and empty texts have no span; texts are read whole; positions
 are code points, end exclusive; repeated rows are scanned each; an empty table gives no rows
@@ -116,15 +118,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """The runs that may be reported: not like words, clear of the base spans."""
+    return ((s, e, run) for s, e, run in runs_of(text) if not _WORDLIKE.match(run) and not any(s < b and a < e for a, _, b in base))
+
+
 def all_spans(text: str | None, limits: list[int]) -> list[dict]:
     """Base spans and the runs whose randomness reaches the limit of their band; in order of start and kind."""
     if not text:
         return []
     found = base_spans(text)
-    taken = [(s, e) for s, _, e in found]
-    for s, e, run in runs_of(text):
-        if limits and not _WORDLIKE.match(run) and not any(s < b and a < e for a, b in taken) and level(randomness(run)) >= limits[band(e - s)]:
-            found.append((s, 3, e))
+    found += [(s, 3, e) for s, e, run in (candidates(text, found) if limits else ()) if level(randomness(run)) >= limits[band(e - s)]]
     return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(found)]
 
 
@@ -135,8 +139,11 @@ def random_limits(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, al
         for pdf in batches:
             seen: dict[tuple, int] = {}
             for text in pdf["t"]:
-                for s, e, run in runs_of(text) if text else ():
-                    key = (band(e - s), level(randomness(run)), bool(_WORDLIKE.match(run)))
+                runs = list(runs_of(text)) if text else []
+                words = [(s, e, run) for s, e, run in runs if _WORDLIKE.match(run)]
+                own = candidates(text, base_spans(text)) if len(words) < len(runs) else ()
+                for word, (s, e, run) in [(True, x) for x in words] + [(False, x) for x in own]:
+                    key = (band(e - s), level(randomness(run)), word)
                     seen[key] = seen.get(key, 0) + 1
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["band", "level", "word", "n"])
 

@@ -182,6 +182,63 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(docs.limit(0)).collect() == []
 
 
+def plain_battery(run):
+    """The three tests once more, from their textbook forms."""
+    name = next((n for n, a in secret_scan.ALPHABETS.items() if set(run) <= set(a)), None)
+    if name is None:
+        return 0.0
+    alphabet, n = secret_scan.ALPHABETS[name], len(run)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    expected = n / len(alphabet)
+    chi = sum((run.count(c) - expected) ** 2 / expected for c in alphabet)
+    df = len(alphabet) - 1
+    p1 = tail((chi - df) / math.sqrt(2 * df * (n - 1) / n))
+    side = ["+" if alphabet.index(c) >= len(alphabet) / 2 else "-" for c in run]
+    a, b = side.count("+"), side.count("-")
+    if a and b:
+        mu = 2 * a * b / n + 1
+        var = (2 * a * b * (2 * a * b - n)) / (n * n * (n - 1))
+        p2 = 2 * tail(abs(len(re.findall(r"\++|-+", "".join(side))) - mu) / math.sqrt(var)) if var > 0 else 1.0
+    else:
+        p2 = 0.5 ** (n - 1)
+    x = [alphabet.index(c) - sum(map(alphabet.index, run)) / n for c in run]
+    p3 = 2 * tail(abs(sum(u * v for u, v in zip(x, x[1:])) / sum(u * u for u in x) + 1 / n) * math.sqrt(n)) if any(x) else 0.0
+    return min(1.0, 3 * min(p1, p2, p3))
+
+
+def test_battery_and_limits_equal_plain_ones(spark):
+    rng = random.Random(8)
+    runs = ["".join(rng.choice(a) for _ in range(rng.choice([16, 20, 32, 64]))) for a in secret_scan.ALPHABETS.values() for _ in range(20)]
+    runs += ["a" * 20, "ab" * 12, "abcdefghijklmnopqrstuvwxyz", "A1" * 16, "0" * 15 + "f", "x_/" * 8]
+    for run in runs:
+        assert secret_scan.randomness(run) == pytest.approx(plain_battery(run), rel=1e-9, abs=1e-300), run
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(16, 30)))
+    key = lambda n: "".join(rng.choice(secret_scan.ALPHABETS["base62"]) for _ in range(n))
+    texts = [" ".join([word() for _ in range(12)] + [key(rng.choice([20, 32]))] * (i % 3 == 0) + ["password=" + key(32)] * (i % 4 == 0) + ["12345678901234567890"]) for i in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None), (901, "")], "doc_id long, text string").repartition(4)
+    table = {}
+    for t in texts:
+        base = plain_spans(t)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", t):
+            is_word = bool(re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+", m[0]))
+            if m[0].isdigit() or not is_word and any(m.start() < e and s < m.end() for _, s, e in base):
+                continue
+            b = max(k for k, least in enumerate((16, 20, 24, 32, 48, 64)) if len(m[0]) >= least)
+            p = plain_battery(m[0])
+            v = 0 if p <= 1e-20 else min(199, int((math.log10(p) + 20) / 20 * 200))
+            table[b, v, is_word] = table.get((b, v, is_word), 0) + 1
+    want = []
+    for b in range(6):
+        null = [p for (a, v, w), n in table.items() if w and a <= b for p in [v] * n]
+        own = [p for (a, v, w), n in table.items() if not w and a == b for p in [v] * n]
+        passing = [v for v in range(170, 200) if own and (1 + sum(x >= v for x in null)) / (1 + len(null)) <= 0.05 * sum(x >= v for x in own) / len(own)]
+        want.append(min(passing, default=200))
+    assert secret_scan.random_limits(docs) == want and min(want) < 200
+    spans = {r.doc_id: [s for s in r.spans if s.kind == "random"] for r in secret_scan.scan_secrets(docs).collect()}
+    planted = [i for i in range(150) if i % 3 == 0]
+    assert sum(bool(spans[i]) for i in planted) >= 0.85 * len(planted) and not any(spans[i] for i in spans if i not in planted)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a password=hunter22 b", 21), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars int")
     assert sorted(map(tuple, secret_scan.without_secrets(docs).collect())) == [(1, "a [SECRET] b", 12), (2, None, None), (3, "clean", 5)]
