@@ -67,7 +67,10 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 
 @register("op4_url_filter")
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of a page: those of the document with its number; toxic or low quality is bad."""
+    """Labels of a page: those of the document with its number; toxic or low quality is bad.
+
+    Pages and documents are unrelated in these tables, so the labels tell nothing about urls and no rule is expected to
+    beat the classes' shares by much: the query measures the machinery, tests with labels that depend on urls its rules."""
     labels = read_table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), labels, URL_RULES)

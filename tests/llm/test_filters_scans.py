@@ -44,6 +44,60 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), labels.limit(0), URL_RULES).collect() == []
 
 
+def plain_rules(rows, min_support, min_confidence, min_count, min_lift):
+    """{(tokens, verdict): (confidence, lift, support)} by counting every token combination of every url."""
+    from itertools import combinations
+
+    n, both, alone, where = len(rows), {}, {}, {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, []).append(i)
+    first = {}
+    for t in sorted(where):
+        first.setdefault(tuple(where[t]), t)
+    for tokens, bad in rows:
+        tokens = [t for t in tokens if first[tuple(where[t])] == t]
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), k):
+                alone[c] = alone.get(c, 0) + 1
+                both[c, bad] = both.get((c, bad), 0) + 1
+    share = {bad: sum(b == bad for _, b in rows) / n for bad in (True, False)}
+    enough = max(min_support, min_count / n)
+    conf = {(c, bad): k / alone[c] for (c, bad), k in both.items() if k / n >= enough}
+    out = {}
+    for (c, bad), x in conf.items():
+        parts = [conf[p, bad] for k in range(1, len(c)) for p in combinations(c, k)]
+        if x >= min_confidence and x / share[bad] >= min_lift and all(p < x for p in parts):
+            out[c, "block" if bad else "allow"] = (x, x / share[bad], both[c, bad] / n)
+    return out
+
+
+def test_mined_rules_equal_counted_ones_and_block(spark):
+    """Block rules win where labels depend on urls; rules no better than their class's share are not kept."""
+    rng = random.Random(2)
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['casino', 'news', 'shop'])}.com/{rng.choice(['x', 'y'])}/{rng.choice(['p', 'q'])}" for _ in range(400)]
+    bad = [("casino" in u and rng.random() < 0.9) or ("shop" in u and "/y/" in u and rng.random() < 0.95) or rng.random() < 0.05 for u in urls]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    labelled = pages.select("page_id", url_filter.url_tokens(F.col("url"), host, path).alias("tokens")).join(spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "page_id long, bad boolean"), "page_id")
+    found = {(tuple(r.tokens), r.verdict): (r.confidence, r.lift, r.support) for r in url_filter.mine_rules(labelled.select("tokens", "bad"), 0.02, 0.7, 10, 1.1).collect()}
+    want = plain_rules([(r.tokens, r.bad) for r in labelled.collect()], 0.02, 0.7, 10, 1.1)
+    assert found.keys() == want.keys() and {v for _, v in found} == {"block", "allow"}
+    assert all(found[k] == pytest.approx(want[k]) for k in want)
+    assert any(v == "block" and any("casino.com" in t for t in c) for c, v in found) and any(v == "block" and "path0=y" in c for c, v in found)
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad[:300])], "page_id long, bad boolean")
+    judged = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, labels, [], min_support=0.02).collect()}
+    truth = {i: "block" if "casino" in u or ("shop" in u and "/y/" in u) else "allow" for i, u in enumerate(urls)}
+    assert sum(judged[i] == truth[i] for i in range(300, 400)) >= 95
+    one_class = spark.createDataFrame([(i, False) for i in range(300)], "page_id long, bad boolean")
+    assert {r.verdict for r in url_filter.judge_urls(pages, one_class, []).collect()} == {"allow"}
+    copies = spark.createDataFrame([(i, "http://h.com/" + "/".join(f"s{k}" for k in range(60)) if i < 200 else f"http://g.com/{i}") for i in range(300)], "page_id long, url string")
+    says = {r.page_id: r.verdict for r in url_filter.judge_urls(copies, spark.createDataFrame([(i, i < 100) for i in range(0, 300, 2) if i < 100 or i >= 200], "page_id long, bad boolean"), []).collect()}
+    assert all(says[i] == ("block" if i < 200 else "allow") for i in range(300))      # one url's many copies: its 63 tokens are one item
+    long = spark.createDataFrame([(1, "http://h.com/" + "/".join(f"s{i}" for i in range(3000)) + "?" + "&".join(f"k{i}=v" for i in range(2000)))], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge_urls(long, labels, []).collect()] == ["allow"]
+
+
 # ---- languages ---------------------------------------------------------------------------------
 
 def plain_word(word, pieces, prob, lang):
