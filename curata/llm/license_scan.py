@@ -148,21 +148,21 @@ def header_licenses(files: DataFrame, templates: list[tuple[str, str]], threshol
     index = checkpointed(index, "licenseindex")          # one row per template and word
     idf = checkpointed(idf, "licenseidf")
     other = idf.where(F.col("word").isNull()).first()["idf"]
-    units = units_of(files)
-    # equal units are judged once
-    words = units.select("text").distinct().select("text", F.explode(words_of(F.col("text"))).alias("word")).groupBy("text", "word").agg(F.count("*").alias("tf"))
-    weighed = words.join(F.broadcast(idf.where(F.col("word").isNotNull())), "word", "left").select("text", "word", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w"))
-    norm = weighed.groupBy("text").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = weighed.join(F.broadcast(index), "word").groupBy("text", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    best = (dots.join(norm, "text").select("text", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-            .groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("b")).select("text", "b.license", (-F.col("b.score")).alias("score")))
-    return units.join(best, "text").select("row", "line", "unit", "license", "score")
+    units = checkpointed(units_of(files).withColumn("key", F.sha2("text", 256)), "licenseunits")       # texts and parts of texts with an anchor
+    # equal units are judged once; from here on a unit is its hash
+    words = units.select("key", "text").dropDuplicates(["key"]).select("key", F.explode(words_of(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
+    weighed = words.join(F.broadcast(idf.where(F.col("word").isNotNull())), "word", "left").select("key", "word", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w"))
+    norm = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    dots = weighed.join(F.broadcast(index), "word").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    best = (dots.join(norm, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+            .groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("b")).select("key", "b.license", (-F.col("b.score")).alias("score")))
+    return units.select("row", "line", "unit", "key").join(best, "key").select("row", "line", "unit", "license", "score")
 
 
 def units_of(files: DataFrame) -> DataFrame:
     """(row, line, unit, text): the lines with an anchor, the paragraphs of several lines that hold one, and the whole texts of
     several paragraphs; ``line`` is where a unit starts.  Files are (row, text), each row once."""
-    anchored = files.where(F.col("text").rlike(ANCHORS)).dropDuplicates(["row"])
+    anchored = checkpointed(files.where(F.col("text").rlike(ANCHORS)).dropDuplicates(["row"]), "licensetexts")
     lines = anchored.select("row", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     blank = ~F.col("text").rlike(r"[A-Za-z0-9]")
     block = lines.withColumn("block", F.count_if(blank).over(Window.partitionBy("row").orderBy("line"))).where(~blank)      # the lines of one text
