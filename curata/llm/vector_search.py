@@ -1,7 +1,7 @@
 """Exact top-k search by inner product over one KD-tree per shard.
 
-The candidates are dealt into shards of about ``shard_rows`` rows by a hash of the id.
-Each shard becomes one KD-tree: every node is split at the median of its widest
+The candidates are dealt into shards of about ``shard_rows`` rows by a hash of their place in the scan, so many rows of one
+id are spread too.  Each shard becomes one KD-tree: every node is split at the median of its widest
 dimension and keeps the tight bounding box of its points and their smallest id.  For a
 query q the best inner product inside a box is at most ``max(q,0).hi + min(q,0).lo``;
 a tree is walked best bound first and a node is skipped once its bound cannot beat the
@@ -9,7 +9,8 @@ kth result known so far.
 
 Queries are packed into blocks of ``block_rows``.  In a first round each block visits one
 shard only; the kth (score, id) found there goes with the block to all shards in the
-second round, and is tightened from shard to shard inside a task.
+second round.  The small blocks go to the trees: a tree meets ``CHUNK`` blocks at a time in one task, so it is copied once
+for that many blocks, and not at all while there are no more of them.
 
 Defined results
 - null vectors, vectors with a null or non-finite component, and rows without an id take no part;
@@ -17,6 +18,7 @@ Defined results
 - a query row that occurs twice gives its results twice;
 - vectors are compared only with vectors of the same length (length 0: every score is 0);
 - equal scores go to the smaller id; fewer than k candidates give fewer rows;
+- scores beyond the range of a long count as its ends;
 - empty tables give no rows; other columns are ignored, whatever their names.
 """
 
@@ -24,7 +26,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ from curata.session import checkpointed
 
 _TREE = "dim int, shard long, ids binary, points binary, lo binary, hi binary, nodes binary"
 _BLOCK = "dim int, block long, qids binary, qvecs binary"
+CHUNK = 16          # query blocks that a tree meets in one task
 _FOUND = "dim int, block long, pos int, query_id long, vec_id long, score long"
 
 
@@ -73,6 +75,11 @@ def _exact(values: int, dim: int):
     return np.float64 if values * max(dim, 1) < 2**53 else np.int64 if values * max(dim, 1) < 2**63 else object
 
 
+def _in_range(scores: np.ndarray) -> np.ndarray:
+    """Python numbers beyond a long become its ends."""
+    return np.clip(scores, -(2**63), 2**63 - 1) if scores.dtype == object else scores
+
+
 def _largest(a: np.ndarray) -> int:
     return max(abs(int(a.min())), abs(int(a.max()))) if a.size else 0
 
@@ -100,7 +107,7 @@ def search_tree(tree: tuple, qids: np.ndarray, queries: np.ndarray, best: list[T
     kind = _exact(_largest(points) * _largest(queries), points.shape[1])
     points, q = points.astype(kind), queries.astype(kind)
     zero = np.zeros_like(q)
-    bounds = np.maximum(q, zero) @ hi.astype(kind).T + np.minimum(q, zero) @ lo.astype(kind).T
+    bounds = _in_range(np.maximum(q, zero) @ hi.astype(kind).T + np.minimum(q, zero) @ lo.astype(kind).T)
     for row, own in enumerate(qids):
         top, bound = best[row], bounds[row]
         heap = [(-bound[0], 0)]
@@ -115,13 +122,14 @@ def search_tree(tree: tuple, qids: np.ndarray, queries: np.ndarray, best: list[T
                 heapq.heappush(heap, (-bound[left], int(left)))
                 heapq.heappush(heap, (-bound[right], int(right)))
                 continue
-            scores, members = points[start:end] @ q[row], ids[start:end]
+            scores, members = _in_range(points[start:end] @ q[row]), ids[start:end]
             keep = members != own
             if top.bound is not None:
                 keep &= scores >= top.bound[0]
             scores, members = scores[keep], members[keep]
             if len(scores) > top.k:      # enough to sort those that can be among the k best
-                part = np.lexsort((members, -scores.astype(np.float64 if kind is not object else object)))[: top.k]
+                whole = scores.astype(np.int64) if kind is np.float64 else scores       # sums below 2^53 are whole numbers
+                part = np.lexsort((members, -whole))[: top.k] if kind is not object else sorted(range(len(whole)), key=lambda i: (-whole[i], members[i]))[: top.k]
                 scores, members = scores[part], members[part]
             if len(scores):
                 top.add(scores, members)
@@ -151,43 +159,42 @@ def kd_topk(candidates: DataFrame, queries: DataFrame, k: int = 10, shard_rows:
         box = [np.frombuffer(x, dtype=np.int64).reshape(len(nodes), dim) for x in (r.lo, r.hi)]
         return ids, np.frombuffer(r.points, dtype=small).reshape(len(ids), dim).astype(np.int64), *box, nodes
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows(key, qids, best):
-            out = [(*key, p, int(qids[p]), i, max(-(2**63), min(2**63 - 1, -s))) for p, b in enumerate(best) for s, i in b.found]
-            return pd.DataFrame(out, columns=["dim", "block", "pos", "query_id", "vec_id", "score"])
-
-        key, qids, best = None, None, []
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if key != (r.dim, r.block):
-                    if key is not None:
-                        yield rows(key, qids, best)
-                    key, qids = (r.dim, r.block), np.frombuffer(r.qids, dtype=np.int64)
-                    q = np.frombuffer(r.qvecs, dtype=np.int64).reshape(len(qids), r.dim)
-                    known = {p: (s, i) for p, s, i in zip(*([] if x is None else x for x in (r.kpos, r.kscore, r.kid)))}
-                    best = [TopK(k, known.get(p)) for p in range(len(qids))]
-                search_tree(tree_of(r), qids, q, best)
-        if key is not None:
-            yield rows(key, qids, best)
+    def search(blocks: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t in trees.itertuples(index=False):
+            tree = tree_of(t)
+            for r in blocks.itertuples(index=False):
+                qids = np.frombuffer(r.qids, dtype=np.int64)
+                q = np.frombuffer(r.qvecs, dtype=np.int64).reshape(len(qids), r.dim)
+                known = {p: (s, i) for p, s, i in zip(*([] if x is None else x for x in (r.kpos, r.kscore, r.kid)))}
+                best = [TopK(k, known.get(p)) for p in range(len(qids))]
+                search_tree(tree, qids, q, best)
+                out += [(r.dim, r.block, p, int(qids[p]), i, -s) for p, b in enumerate(best) for s, i in b.found]
+        return pd.DataFrame(out, columns=["dim", "block", "pos", "query_id", "vec_id", "score"])
+
+    def meet(blocks: DataFrame, trees: DataFrame) -> DataFrame:
+        keys = ["dim", "shard", "chunk"]
+        return blocks.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(search, _FOUND)
 
     with_dim = [c.withColumn("dim", F.size("vec")) for c in (candidates, queries)]
     n, m = candidates.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(m / block_rows))
     trees = checkpointed(
-        with_dim[0].withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("dim", "shard").applyInPandas(build, _TREE), "kdtrees")
+        with_dim[0].withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy("dim", "shard").applyInPandas(build, _TREE), "kdtrees")
     packed = checkpointed(
         with_dim[1].withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").applyInPandas(pack, _BLOCK), "kdqueries")
 
-    first = (packed.withColumn("shard", F.pmod("block", F.lit(shards)))
-             .withColumns({c: F.lit(None).cast(t) for c, t in (("kpos", "array<int>"), ("kscore", "array<long>"), ("kid", "array<long>"))})
-             .join(trees, ["dim", "shard"]).mapInPandas(search, _FOUND))
+    # first round: every block and one shard, the block's number modulo the shards
+    nothing_known = {c: F.lit(None).cast(t) for c, t in (("kpos", "array<int>"), ("kscore", "array<long>"), ("kid", "array<long>"))}
+    one = packed.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("chunk", F.lit(0)).withColumns(nothing_known)
+    first = meet(one, trees.where(F.col("shard") < blocks).withColumn("chunk", F.lit(0)))
     by_query = Window.partitionBy("dim", "block", "pos").orderBy(F.desc("score"), "vec_id")
     bounds = (first.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") == k)
               .groupBy("dim", "block").agg(F.collect_list(F.struct("pos", "score", "vec_id")).alias("x"))
               .select("dim", "block", F.col("x.pos").alias("kpos"), F.col("x.score").alias("kscore"), F.col("x.vec_id").alias("kid")))
-    # one row per (query block, shard): the stated queries against all rows, in blocks
-    pairs = (trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-             .join(packed.join(bounds, ["dim", "block"], "left"), ["dim", "block"])
-             .repartition(max(1, math.ceil(shards * blocks / 4)), "block", "shard"))
-    found = pairs.mapInPandas(search, _FOUND).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    # the stated queries against all rows, in blocks: every block goes to every shard, every tree to the chunks of blocks
+    chunks = max(1, math.ceil(blocks / CHUNK))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    sent = packed.join(bounds, ["dim", "block"], "left").withColumn("chunk", F.floor(F.col("block") / CHUNK)).withColumn("shard", to_all(shards))
+    found = meet(sent, trees.withColumn("chunk", to_all(chunks))).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

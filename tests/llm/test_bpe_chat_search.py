@@ -84,5 +84,22 @@ def test_top_k_is_what_all_pairs_say(spark):
     assert vector_search.kd_topk(v.limit(0), v.limit(0)).collect() == []
 
 
+def test_top_k_of_large_scores_and_of_a_much_repeated_id(spark):
+    """Sums beyond 2^53 keep their order; copies of one id are dealt over shards; blocks in several chunks."""
+    rng = random.Random(9)
+    rows = [(i, [rng.randint(2**28, 2**28 + 40), rng.randint(2**28, 2**28 + 3)]) for i in range(300)] + [(7, [2**28, 2**28 + 1])] * 500
+    v = spark.createDataFrame(rows, "id long, vec array<long>")
+    found = vector_search.kd_topk(v, v.where("id % 10 = 0"), 3, shard_rows=64, leaf_rows=8, block_rows=1).collect()
+    want = []
+    for q, a in rows:
+        if q % 10 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)[:3]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, found)) == sorted(want)
+    huge = spark.createDataFrame([(i, [2**40 + i, 2**40]) for i in range(20)], "id long, vec array<long>")
+    got = vector_search.kd_topk(huge, huge.where("id = 0"), 3, shard_rows=5).orderBy("rank").collect()
+    assert {r.score for r in got} == {2**63 - 1} and [r.vec_id for r in got] == [1, 2, 3]      # beyond a long: equal, so by id
+
+
 def test_chat_query_rows(spark):
     assert QUERIES["op5_chat_format"](spark, SF).where("conv_id = -1").first().n_turns == 2
