@@ -140,20 +140,20 @@ def _java(pattern: str) -> str:
 def rank_table(ranks: dict[bytes, int]) -> Column:
     """The rank map as a literal: array by hash of the piece of arrays of (hex of the piece, rank).
 
-    (A literal map is searched entry by entry, 50,000 for each lookup.)"""
+    (A literal map is searched entry by entry, 50,000 for each lookup.)  Parsed once, when the plan is made."""
+    import json
     import zlib
 
     rows: list[list[str]] = [[] for _ in range(_BUCKETS)]
     for piece, rank in ranks.items():
         rows[zlib.crc32(piece.hex().upper().encode()) % _BUCKETS].append(f"{piece.hex().upper()}:{rank}")
-    table = F.split(F.lit(";".join(",".join(r) for r in rows)), ";")
-    return F.transform(table, lambda r: F.split(r, ","))
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<string>>")
 
 
 def fold_column(word: Column, ranks: Column) -> Column:
     """array<int>: the ids of one match, its byte pieces (as hex) merged by rank in a fold.
 
-    ``ranks``: a column that holds ``rank_table``."""
+    ``ranks``: ``rank_table``."""
     none = F.lit(1 << 30)
 
     def rank(piece: Column) -> Column:
@@ -182,7 +182,6 @@ def encode_by_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = checkpointed(rows, "bpe-rows")
     matches = rows.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(_java(pattern)), F.lit(0))).alias("place", "word"))
-    words = matches.select("word").distinct().withColumn("table", rank_table(ranks))
-    folded = checkpointed(words.select("word", fold_column(F.col("word"), F.col("table")).alias("ids")), "bpe-words")
+    folded = checkpointed(matches.select("word").distinct().select("word", fold_column(F.col("word"), rank_table(ranks)).alias("ids")), "bpe-words")
     found = matches.join(folded, "word").groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias("ids"))
     return rows.select("row", "doc_id").join(found, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
