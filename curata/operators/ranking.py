@@ -149,6 +149,13 @@ def ordered_row_number(df: DataFrame, groups: Sequence[str], key: str, tiebreak:
     return two_level_row_number(d, groups, F.col("__order_bucket"), order, out).drop("__order_bucket")
 
 
+def dealt_by_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[Column], at: str, ranges: int = RANGES) -> DataFrame:
+    """The rows in ranges of (groups, order), sorted there and written once; ``at`` grows along that order, by one from row to
+    row of a range, whose number is in the bits from 33 on."""
+    dealt = df.repartitionByRange(ranges, *[F.col(c) for c in groups], *order).sortWithinPartitions(*[F.col(c) for c in groups], *order)
+    return checkpointed(dealt.withColumn(at, F.monotonically_increasing_id()), "ranges")
+
+
 def range_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str = "rn", ranges: int = RANGES) -> DataFrame:
     """row_number() over (partition by groups order by order...), by ranges of the composite key (groups, order).
 
@@ -157,9 +164,7 @@ def range_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Colum
     group of any size, and any number of rows that tie in the first columns of ``order``, is spread over ranges.
     """
     g, at, run = list(groups), "__at", "__range"
-    dealt = df.repartitionByRange(ranges, *[F.col(c) for c in g], *order).sortWithinPartitions(*[F.col(c) for c in g], *order)
-    # the id grows by one from row to row of a range, whose number is in the upper bits
-    rows = checkpointed(dealt.withColumn(at, F.monotonically_increasing_id()), "ranges").withColumn(run, F.shiftright(at, 33))
+    rows = dealt_by_ranges(df, g, order, at, ranges).withColumn(run, F.shiftright(at, 33))
     counts = rows.groupBy(*g, run).agg(F.min(at).alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*g).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*g, run, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))

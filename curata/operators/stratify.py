@@ -9,22 +9,23 @@ refreshed by an aggregation over what was assigned.  Tasks take their turns side
 largest label set has labels, and one for the notes without labels, which level the sizes of the splits.
 
 The driver holds the quota table: labels x splits, bounded by the label sets, never by the notes.  The
-notes lie in one folder per round, each read once.  The notes of one task in one round are ordered by one task of Spark while
-they are at most ``SMALL``; more are ranked by ranges of the same order over many tasks.
+notes lie in one folder per round.  The notes of one task in one round are ordered by one task of Spark while
+they are at most ``SMALL``; more are dealt by ranges of the same order over many tasks, all large tasks of a round together: the driver
+gets the rows of each range and says at which row of which range a split ends.  No round needs Python on the executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curata.operators.keys import note_key
-from curata.operators.ranking import join_null_safe, range_row_number, seeded_hash
+from curata.operators.ranking import RANGES, dealt_by_ranges, join_null_safe, seeded_hash
 from curata.operators.splits import DEFAULT_SEED, SPLIT_SHARES, SPLITS
 from curata.session import checkpointed, shared_dir
 
@@ -57,51 +58,55 @@ class Quotas:
         self.unmet[label, split] -= n
 
 
-def pulls(labels: pd.Series, label: int, pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each note the pull of its other labels to train, and to dev rather than test."""
-    own = [x[x != label] for x in labels]
-    sums = np.array([pull[x].sum(axis=0) if len(x) else np.zeros(3) for x in own]).reshape(-1, 3)
-    return np.round(sums[:, 0], 7), np.round(sums[:, 1] - sums[:, 2], 7)
+def _pulled(labels: Column, *pulls: Column) -> Column:
+    """The sum of the labels' pulls, first by first as NumPy adds them; rounded like the pulls of one task."""
+    def summed(pull: Column) -> Column:
+        return F.aggregate(labels, F.lit(0.0), lambda total, x: total + F.get(pull, x))
 
+    total = summed(pulls[0]) if len(pulls) == 1 else summed(pulls[0]) - summed(pulls[1])
+    return F.rint(total * 1e7) / 1e7 + F.lit(0.0)
 
-def assign(notes: pd.DataFrame, turn: tuple[int, list[int], np.ndarray]) -> np.ndarray:
-    """The split number of each note of one turn; ties by the seeded hash."""
-    label, sizes, pull = turn
-    train, dev = pulls(notes["__labels"], label, pull)
-    h = notes["__h"].to_numpy()
-    order = np.lexsort((h, -train))
-    rest = order[sizes[0]:]
-    rest = rest[np.lexsort((h[rest], -dev[rest]))]
-    out = np.zeros(len(notes), np.int32)
-    out[rest[:sizes[1]]], out[rest[sizes[1]:]] = 1, 2
-    return out
 
+def _plan(rows: DataFrame, g: Sequence[str], turns: dict[tuple, tuple[int, list[int], np.ndarray]], small: bool) -> DataFrame:
+    """The notes of some tasks with what their turn says: the pull of a note's other labels to train, and to dev rather than
+    test, and how many notes go to train (``__first``) and dev (``__second``)."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*g).schema) + ", "
+    table = [(*task, label, sizes[0], sizes[1], *(pull[:, k].tolist() for k in range(3))) for task, (label, sizes, pull) in turns.items()]
+    said = rows.sparkSession.createDataFrame(table, f"{kinds if g else ''}__label int, __first long, __second long, __train array<double>, __dev array<double>, __test array<double>")
+    others = F.filter("__labels", lambda x: x != F.col("__label"))
+    return join_null_safe(rows, F.broadcast(said), g).withColumn("__others", others).select(
+        *rows.columns, *(["__first", "__second"] if small else []), _pulled(F.col("__others"), F.col("__train")).alias("__p"),
+        _pulled(F.col("__others"), F.col("__dev"), F.col("__test")).alias("__q"))
 
-def _in_one_task(turns: dict[tuple, tuple], kept: list[str]):
-    """The assignment of the notes of one task as a grouped function; -1 for tasks that have no turn here."""
 
-    def own_turn(task: tuple, notes: pd.DataFrame) -> pd.DataFrame:
-        turn = turns.get(tuple(None if pd.isna(v) else v for v in task))
-        return notes[kept].assign(__split=assign(notes, turn) if turn else -1)
+def _in_one_task(rows: DataFrame, g: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """The split number of each note: the strongest pulls to train first, of the rest those to dev; ties by the seeded hash."""
+    first = Window.partitionBy(*g).orderBy(F.desc("__p"), "__h")
+    second = Window.partitionBy(*g, "__in").orderBy(F.desc("__q"), "__h")
+    rows = rows.withColumn("__in", F.row_number().over(first) <= F.col("__first"))
+    return rows.select(*kept, F.when(F.col("__in"), 0).when(F.row_number().over(second) <= F.col("__second"), 1).otherwise(2).alias("__split"))
 
-    return own_turn
 
+def _within(rows: DataFrame, g: Sequence[str], sizes: dict[tuple, int]) -> DataFrame:
+    """``__in`` for rows dealt by ranges: whether a row is one of the first of its task, as many as ``sizes`` says."""
+    counts = rows.groupBy(*g, F.shiftright("__at", 33).alias("__range")).agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"))
+    ends, left = {task: -1 for task in sizes}, dict(sizes)
+    for r in sorted(counts.collect(), key=lambda r: r["__range"]):                     # tasks and ranges
+        task = tuple(r[c] for c in g)
+        if left[task] > 0:
+            ends[task] = r["first"] + min(left[task], r["n"]) - 1
+            left[task] -= r["n"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*g).schema) + ", "
+    table = rows.sparkSession.createDataFrame([(*task, end) for task, end in ends.items()], f"{kinds if g else ''}__end long")
+    return join_null_safe(rows, F.broadcast(table), g).withColumn("__in", F.col("__at") <= F.col("__end")).drop("__at", "__end")
 
-def _by_ranges(rows: DataFrame, g: list[str], turns: dict[tuple, tuple], kept: list[str]) -> DataFrame:
-    """The same assignment for turns too large for one task: ranks by the two pulls, one after the other."""
-    spark, out = rows.sparkSession, None
-    for task, (label, sizes, pull) in turns.items():
-        here = F.lit(True)
-        for c, v in zip(g, task):
-            here = here & F.col(c).eqNullSafe(F.lit(v))
-        both = F.pandas_udf(lambda x, label=label, pull=pull: pd.DataFrame(dict(zip(("train", "dev"), pulls(x, label, pull)))), "train double, dev double")
-        own = rows.where(here).withColumn("__p", both("__labels"))
-        first = checkpointed(range_row_number(own, [], [F.desc("__p.train"), F.asc("__h")], "__r"), "turn")
-        rest = range_row_number(first.where(F.col("__r") > sizes[0]).drop("__r"), [], [F.desc("__p.dev"), F.asc("__h")], "__r")
-        one = first.where(F.col("__r") <= sizes[0]).select(*kept, F.lit(0).alias("__split")).unionByName(
-            rest.select(*kept, F.when(F.col("__r") <= sizes[1], 1).otherwise(2).alias("__split")))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], rows.select(*kept).withColumn("__split", F.lit(0)).schema)
+
+def _by_ranges(rows: DataFrame, g: Sequence[str], turns: dict[tuple, tuple], kept: Sequence[str], ranges: int) -> DataFrame:
+    """The same assignment for tasks too large for one task of Spark: two orders by ranges, the second of what the first left."""
+    dealt = _within(dealt_by_ranges(rows, g, [F.desc("__p"), F.asc("__h")], "__at", ranges), g, {t: sizes[0] for t, (_, sizes, _) in turns.items()})
+    rest = dealt_by_ranges(dealt.where(~F.col("__in")).drop("__in"), g, [F.desc("__q"), F.asc("__h")], "__at", ranges)
+    rest = _within(rest, g, {t: sizes[1] for t, (_, sizes, _) in turns.items()})
+    return dealt.where("__in").select(*kept, F.lit(0).alias("__split")).unionByName(rest.select(*kept, F.when(F.col("__in"), 1).otherwise(2).alias("__split")))
 
 
 def iterative_split(notes: DataFrame, key: str = "note_id", labels_col: str = "labels", seed: int = DEFAULT_SEED, shares: Sequence[float] = SPLIT_SHARES,
@@ -124,17 +129,17 @@ def iterative_split(notes: DataFrame, key: str = "note_id", labels_col: str = "l
         counts[tuple(r[c] for c in g)].append(r["n"])
     quotas = {t: Quotas(counts[t], n, shares) for t, n in sizes.items()}
 
-    ids = join_null_safe(long, turns.drop("n"), [*g, "label"]).groupBy(*own).agg(F.array_sort(F.collect_list("__turn")).alias("__ids"))
+    every = narrow.select(*own, F.explode_outer("__labels").alias("label"))
+    ids = join_null_safe(every, turns.drop("n"), [*g, "label"], "left").groupBy(*own).agg(F.array_sort(F.collect_list("__turn")).alias("__labels"))
     last = max((len(c) for c in counts.values()), default=0)
-    rows = join_null_safe(narrow.drop("__labels"), ids, own, "left").select(
-        *own, F.coalesce("__ids", F.array().cast("array<int>")).alias("__labels"),
-        F.coalesce(F.element_at("__ids", 1), F.lit(last)).alias("__turn"), F.concat(seeded_hash(seed, *own), F.lit(":"), F.col(key).cast("string")).alias("__h"))
+    rows = checkpointed(ids.select(
+        *own, "__labels", F.coalesce(F.get("__labels", F.lit(0)), F.lit(last)).alias("__turn"),
+        F.concat(seeded_hash(seed, *own), F.lit(":"), F.col(key).cast("string")).alias("__h")), "strat-rows")
     path = shared_dir(notes.sparkSession, "strat-rounds")
     rows.repartitionByRange("__turn", "__h").write.partitionBy("__turn").parquet(f"{path}/in")
-    todo = checkpointed(rows.groupBy("__turn", *g).agg(F.count(F.lit(1)).alias("n")), "strat-todo").collect()                 # labels of all tasks
+    todo = rows.groupBy("__turn", *g).agg(F.count(F.lit(1)).alias("n")).collect()                                          # labels of all tasks
     spark, schema = notes.sparkSession, rows.drop("__turn").schema
     kept = [*own, "__labels"]
-    result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema) + ", __split int"
     done = []
     for turn in sorted({r["__turn"] for r in todo}):
         n_here = {tuple(r[c] for c in g): r["n"] for r in todo if r["__turn"] == turn}
@@ -143,10 +148,10 @@ def iterative_split(notes: DataFrame, key: str = "note_id", labels_col: str = "l
         few = {t: plan[t] for t in plan if n_here[t] <= small}
         many = {t: plan[t] for t in plan if t not in few}
 
-        out = here.groupBy(*g).applyInPandas(_in_one_task(few, kept), result).where("__split >= 0")
+        parts = [_in_one_task(_plan(here, g, few, True), g, kept)] if few else []
         if many:
-            out = out.unionByName(_by_ranges(here, g, many, kept))
-        out.write.parquet(f"{path}/out/turn={turn}")
+            parts.append(_by_ranges(_plan(here, g, many, False), g, many, kept, RANGES))
+        reduce(DataFrame.unionByName, parts).write.parquet(f"{path}/out/turn={turn}")
         done.append(f"{path}/out/turn={turn}")
         given = spark.read.parquet(done[-1]).select(*g, "__split", F.explode(F.concat("__labels", F.array(F.lit(-1)))).alias("label"))
         for r in given.groupBy(*g, "__split", "label").agg(F.count(F.lit(1)).alias("n")).collect():      # labels x splits
@@ -161,8 +166,10 @@ def iterative_split(notes: DataFrame, key: str = "note_id", labels_col: str = "l
 def label_quotas(split: DataFrame, key: str = "note_id", labels_col: str = "labels", shares: Sequence[float] = SPLIT_SHARES, groups: Sequence[str] = ("task",)) -> DataFrame:
     """(groups, label, split, positives, quota, assigned, n_notes): how far each label's notes in a split are from its share."""
     g = list(groups)
-    long = split.select(*g, key, "split", F.explode(F.array_distinct(labels_col)).alias("label")).where(F.col("label").isNotNull())
-    got = long.groupBy(*g, "label").agg(F.count(F.lit(1)).alias("positives"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
-    sizes = split.groupBy(*g).agg(F.count_if(F.col("split").isNotNull()).alias("n_notes"))
+    known = F.array_compact(F.array_distinct(F.coalesce(labels_col, F.array())))
+    long = split.select(*g, "split", F.explode(F.concat(known, F.array(F.lit(None)))).alias("label"))
+    counted = long.groupBy(*g, "label").agg(F.count(F.lit(1)).alias("positives"), F.count_if(F.col("split").isNotNull()).alias("n_notes"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    # the null label stands for every note once
+    got = counted.withColumn("n_notes", F.max(F.when(F.col("label").isNull(), F.col("n_notes"))).over(Window.partitionBy(*g))).where(F.col("label").isNotNull())
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), (F.col("positives") * share).alias("quota"), F.col(s).alias("assigned")) for s, share in zip(SPLITS, shares)])).alias("x")
-    return join_null_safe(got, sizes, g).select(*g, "label", "positives", "n_notes", each).select(*g, "label", "x.split", "positives", "x.quota", "x.assigned", "n_notes")
+    return got.select(*g, "label", "positives", "n_notes", each).select(*g, "label", "x.split", "positives", "x.quota", "x.assigned", "n_notes")

@@ -10,6 +10,7 @@ from curata.operators import stratify as ST
 from curata.plans.corpus_queries import notes_split
 from curata.plans.oracle_views import VIEWS
 from curata.plans.registry import register
+from curata.session import checkpointed
 from curata.sources import tables as T
 
 H = "md5('42:' || CAST(note_id AS VARCHAR))"
@@ -50,7 +51,8 @@ JOIN (SELECT task, count(*) AS n_notes FROM notes_orders GROUP BY task) USING (t
 def q_iterative_split(spark, sf):
     """D1 over all order notes, those without labels too: every label's quota per split, and whether the notes it got are within one of
     it (asked of labels with 6 notes or more); n_notes counts the notes that have a split."""
-    q = ST.label_quotas(ST.iterative_split(T.notes_orders(spark, sf)))
+    notes = checkpointed(T.notes_orders(spark, sf).select("note_id", "task", "labels"), "notes")     # read twice
+    q = ST.label_quotas(ST.iterative_split(notes))
     met = (F.abs(F.col("assigned") - F.col("quota")) <= 1) | (F.col("positives") < 6)
     return q.select("task", "label", "split", "positives", F.round("quota", 6).alias("quota"), "n_notes", met.alias("met"))
 

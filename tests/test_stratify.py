@@ -80,3 +80,13 @@ def test_repeats_empty_and_unlabelled(spark):
     assert ST.iterative_split(df.limit(0)).count() == 0
     only = spark.createDataFrame([("a", i, []) for i in range(100)], schema)
     assert Counter(r["split"] for r in ST.iterative_split(only).collect()) == {"train": 66, "dev": 17, "test": 17}
+
+
+def test_large_tasks_of_a_round_are_ordered_together(spark, monkeypatch):
+    """Two orders by ranges per round, however many tasks are large; the same splits as in one task of Spark each."""
+    calls, plain_deal = [], ST.dealt_by_ranges
+    monkeypatch.setattr(ST, "dealt_by_ranges", lambda df, *a: calls.append(1) or plain_deal(df, *a))
+    rows = [(t, i, sorted(x)) for k, t in enumerate((None, "a", "b", "c")) for i, x in random_notes(60 + 20 * k, 3, k).items()]
+    df = spark.createDataFrame(rows, "task string, note_id long, labels array<string>")
+    of = lambda out: {(r["task"], r["note_id"]): r["split"] for r in out.collect()}
+    assert of(ST.iterative_split(df, small=2)) == of(ST.iterative_split(df)) and 0 < len(calls) <= 2 * 4
