@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curata.operators.ranking import hash_bucket, join_null_safe, ordered_row_number, seeded_hash, two_level_row_number
+from curata.operators.ranking import dealt_by_ranges, hash_bucket, join_null_safe, ordered_row_number, seeded_hash, two_level_row_number
+from curata.session import checkpointed
 
 DEFAULT_SEED = 42
 SPLIT_SHARES = (0.66, 0.17, 0.17)   # train, dev, test
@@ -39,9 +40,12 @@ def label_strata(notes: DataFrame, key: str = "note_id", labels_col: str = "labe
     g = list(groups)
     ex = notes.select(*g, key, F.explode(F.array_distinct(labels_col)).alias("label"))
     support = ex.groupBy(*g, "label").agg(F.count(F.lit(1)).alias("support"))
-    rare = (join_null_safe(ex, support, [*g, "label"])
-            .groupBy(*g, key)
-            .agg(F.min_by("label", F.struct("support", "label")).alias("stratum")))
+    # a label's place by (support, label): the rarest label of a note is its least place, a number, which partial aggregates
+    # keep without sorting; written first, so that the join knows how small the labels of all groups are
+    place = F.row_number().over(Window.partitionBy(*g).orderBy("support", "label"))
+    places = checkpointed(support.select(*g, "label", place.alias("__place")), "strata")
+    rare = join_null_safe(ex, places, [*g, "label"]).groupBy(*g, key).agg(F.min("__place").alias("__place"))
+    rare = join_null_safe(rare, places.withColumnRenamed("label", "stratum"), [*g, "__place"]).drop("__place")
     return join_null_safe(notes, rare, [*g, key], "left").withColumn("stratum", F.coalesce("stratum", F.lit("")))
 
 
@@ -135,11 +139,16 @@ def head_per_split(df: DataFrame, caps: DataFrame, key: str, groups: Sequence[st
                    ) -> DataFrame:
     """O2: first `size` rows of each (task, split), size from A4 per split; a null size keeps all.
 
-    Caps can be large (thousands), so the rank uses the two-level form.
+    The rows are dealt once by ranges of (task, split, key).  The rows of each frame in each range and the caps say up to
+    which row a range is kept: one row per range and frame that it holds, so a frame that is cut leaves few ranges to read.
     """
-    r = ordered_row_number(df, groups, key, out="__r")
-    return (join_null_safe(r, caps.select("split", "size"), ["split"], "left")
-            .where(F.col("size").isNull() | (F.col("__r") <= F.col("size"))).drop("__r", "size"))
+    rows = dealt_by_ranges(df, groups, [F.asc(key)], "__at").withColumn("__range", F.shiftright("__at", 33))
+    counts = rows.groupBy(*groups, "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    ends = join_null_safe(counts, caps.select("split", "size"), ["split"], "left").where(F.col("size").isNull() | (F.col("__off") < F.col("size")))
+    ends = ends.select(*groups, "__range", (F.col("__first") + F.coalesce(F.col("size") - F.col("__off"), "__n")).alias("__end"))
+    return join_null_safe(rows, F.broadcast(ends), [*groups, "__range"]).where(F.col("__at") < F.col("__end")).drop("__at", "__range", "__end")
 
 
 def split_shares(df: DataFrame, groups: Sequence[str] = ("task",)) -> DataFrame:

@@ -91,7 +91,7 @@ JOIN (SELECT split, least(min(n), CASE split WHEN 'train' THEN 5000 ELSE 1000 EN
   ON s.split = c.split
 WHERE s.r <= c.size""", ("notes_split",))
 def q_head_per_split(spark, sf):
-    s = notes_split(spark, sf).select("note_id", "task", "split")
+    s = checkpointed(notes_split(spark, sf).select("note_id", "task", "split"), "split")     # the caps and the ranges read it
     caps = L.split_size_cap(s, {"train": 5000, "dev": 1000, "test": 1000})
     return S.head_per_split(s, caps, "note_id")
 

@@ -109,3 +109,18 @@ def test_split_of_wide_notes_equals_narrow(spark, sf):
     a = {(r["note_id"], r["split"], r["stratum"]) for r in narrow.collect()}
     b = {(r["note_id"], r["split"], r["stratum"]) for r in wide.collect()}
     assert a == b
+
+
+def test_head_per_split_deals_the_rows_once(spark, monkeypatch):
+    """One order by ranges, kept or cut by the caps; a frame without a cap stays whole."""
+    from curata.operators import splits as S
+
+    calls, deal = [], S.dealt_by_ranges
+    monkeypatch.setattr(S, "dealt_by_ranges", lambda df, *a: calls.append(1) or deal(df, *a))
+    rows = [(t, s, (i * 37) % 101) for t in (None, "a") for s in ("train", "dev", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "task string, split string, note_id long").repartition(4)
+    caps = spark.createDataFrame([("train", 7), ("dev", None), (None, 0)], "split string, size long")
+    got = sorted(S.head_per_split(df, caps, "note_id").collect(), key=str)
+    size = {"train": 7, "dev": 100, None: 0}
+    want = [x for t in (None, "a") for s in size for x in sorted(x for x in rows if x[:2] == (t, s))[:size[s]]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(calls) == 1
