@@ -26,6 +26,7 @@ PAD, CLS, SEP, UNK = 0, 1, 2, 3
 MAX_LEN = 512
 HEAD_WORDS = 500_000        # words that encode_tokens broadcasts at most
 HEAD_BYTES = 16 << 20
+PART = 128                  # words of a note that go to Python in one row
 
 
 def extract_sections(df: DataFrame, text: str = "text", blank_brackets: bool = False) -> DataFrame:
@@ -92,30 +93,56 @@ def frequent_words(vocab: DataFrame, max_words: int = HEAD_WORDS, max_bytes: int
     return words.sort_by("token_id")["token"].combine_chunks().cast(pa.string())
 
 
+def _whole_notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows of (keys, part, words), cut before a note's first part; a note whose parts go on waits for the next batch."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        first = pc.equal(batch.column(batch.num_columns - 2), 0).to_numpy(zero_copy_only=False).nonzero()[0]
+        if len(first):
+            yield batch.slice(0, first[-1])
+            batch = batch.slice(first[-1])
+        rest = batch
+    if rest is not None:
+        yield rest
+
+
+def look_up_notes(batches: Iterator[pa.RecordBatch], known: pa.Array, keys: Sequence[str], base: int = 0) -> Iterator[pa.RecordBatch]:
+    """(keys, __row, __ids, __rest) of each note from the rows (keys, part, words) of its parts, one after the other; rows are numbered from ``base`` on."""
+    done = 0
+    for batch in _whole_notes(batches):
+        first = pc.equal(batch.column(batch.num_columns - 2), 0).to_numpy(zero_copy_only=False).nonzero()[0]
+        if not len(first):
+            continue
+        lists = batch.column(batch.num_columns - 1)
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        at = (offsets - offsets[0])[[*first, len(lists)]]
+        found = pc.index_in(flat, value_set=known)
+        ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pc.add(found, pa.scalar(UNK + 1, pa.int32())))
+        missed = pc.is_null(found).to_numpy(zero_copy_only=False).nonzero()[0]
+        place = missed - at[at.searchsorted(missed, side="right") - 1]
+        rest = pa.StructArray.from_arrays([pa.array(place, pa.int32()), flat.take(pa.array(missed))], ["pos", "token"])
+        row = pa.array(range(base + done, base + done + len(first)), pa.int64())
+        done += len(first)
+        own = [c.take(pa.array(first)) for c in batch.columns[:-2]]
+        yield pa.RecordBatch.from_arrays([*own, row, ids, pa.ListArray.from_arrays(pa.array(missed.searchsorted(at), pa.int32()), rest)],
+                                         [*keys, "__row", "__ids", "__rest"])
+
+
 def _look_up_in_place(tokens: DataFrame, keys: Sequence[str], head: pa.Array) -> DataFrame:
-    """(keys, __row, __ids, __rest): ids of the head's words in place, null elsewhere, and the other words with their positions."""
+    """(keys, __row, __ids, __rest): ids of the head's words in place, null elsewhere, and the other words with their positions.
+
+    Arrow batches are bounded in rows, so a note's words go in rows of ``PART`` words: a batch and what is made of it stay small."""
     shared = tokens.sparkSession.sparkContext.broadcast(head)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, done = shared.value, TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat, starts = lists.flatten(), lists.offsets
-            starts = pc.subtract(starts, starts[0])
-            found = pc.index_in(flat, value_set=known)
-            ids = pa.ListArray.from_arrays(starts, pc.add(found, pa.scalar(UNK + 1, pa.int32())))
-            missed = pc.is_null(found).to_numpy(zero_copy_only=False).nonzero()[0]
-            at = starts.to_numpy()
-            rest_starts = pa.array(missed.searchsorted(at), pa.int32())
-            place = missed - at[at.searchsorted(missed, side="right") - 1]
-            rest = pa.StructArray.from_arrays([pa.array(place, pa.int32()), flat.take(pa.array(missed))], ["pos", "token"])
-            row = pa.array(range(base + done, base + done + batch.num_rows), pa.int64())
-            done += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], row, ids, pa.ListArray.from_arrays(rest_starts, rest)],
-                                             [*keys, "__row", "__ids", "__rest"])
+        yield from look_up_notes(batches, shared.value, keys, TaskContext.get().partitionId() << 33)
 
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__t") - 1, F.lit(0)), F.lit(PART)), lambda s: F.slice("__t", s + 1, PART))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*keys).schema)
-    return tokens.mapInArrow(look_up, f"{own}, __row long, __ids array<int>, __rest array<struct<pos:int,token:string>>")
+    return tokens.select(*keys, F.posexplode(parts).alias("__part", "__words")).mapInArrow(
+        look_up, f"{own}, __row long, __ids array<int>, __rest array<struct<pos:int,token:string>>")
 
 
 def encode_tokens(docs: DataFrame, vocab: DataFrame, key: str | Sequence[str] | None = None, text: str = "text",

@@ -90,3 +90,19 @@ def test_blank_brackets_flag(spark):
     df = spark.createDataFrame([(1, "Chief Complaint: [] none\n\nPlan: x")], "note_id long, text string")
     assert TX.extract_sections(df).first()["CHIEF_COMPLAINT"] == "[] none"
     assert TX.extract_sections(df, blank_brackets=True).first()["CHIEF_COMPLAINT"] == ""
+
+
+def test_a_note_in_parts_over_several_batches():
+    """Parts of notes meet again, also when a batch ends inside a note; a note without words is a row."""
+    import pyarrow as pa
+
+    from curata.operators import text as TX
+
+    parts = [(7, 0, ["a", "x"]), (7, 1, ["b", "a"]), (7, 2, ["y"]), (8, 0, []), (None, 0, ["b"]), (9, 0, ["z", "a"]), (9, 1, ["a"])]
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()))
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts[i:i + size]), kinds)], ["note_id", "p", "w"]) for i in range(0, len(parts), size)]
+        out = [r for b in TX.look_up_notes(iter(batches), pa.array(["a", "b"]), ["note_id"], 100) for r in b.to_pylist()]
+        assert [(r["note_id"], r["__row"], r["__ids"], [(x["pos"], x["token"]) for x in r["__rest"]]) for r in out] == [
+            (7, 100, [4, None, 5, 4, None], [(1, "x"), (4, "y")]), (8, 101, [], []), (None, 102, [5], []), (9, 103, [None, 4, 4], [(0, "z")])]
+    assert list(TX.look_up_notes(iter([]), pa.array(["a"]), ["note_id"])) == []
