@@ -31,12 +31,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curata.llm.common import in_turn
+
 KINDS = ("assign", "access", "hex", "random")
 BANDS = (16, 20, 24, 32, 48, 64)         # least lengths
 BINS = 200                              # of the randomness, on a log scale down to 1e-20
+ROWS = 256                              # texts that lie in memory as Python objects at a time
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -136,18 +140,19 @@ def random_limits(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, al
     """Per length band the least randomness bin that is reported (BINS: none), from all documents."""
 
     def measure(batches):
-        for pdf in batches:
+        for batch in batches:
             seen: dict[tuple, int] = {}
-            for text in pdf["t"]:
+            for text in in_turn(batch.column(0), ROWS):
                 runs = list(runs_of(text)) if text else []
                 words = [(s, e, run) for s, e, run in runs if _WORDLIKE.match(run)]
                 own = candidates(text, base_spans(text)) if len(words) < len(runs) else ()
                 for word, (s, e, run) in [(True, x) for x in words] + [(False, x) for x in own]:
                     key = (band(e - s), level(randomness(run)), word)
                     seen[key] = seen.get(key, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["band", "level", "word", "n"])
+            columns = list(zip(*((*k, n) for k, n in seen.items()))) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.int64()))], ["band", "level", "word", "n"])
 
-    table = (docs.select(F.col(text_col).alias("t")).mapInPandas(measure, "band int, level int, word boolean, n long")
+    table = (docs.select(F.col(text_col).alias("t")).mapInArrow(measure, "band int, level int, word boolean, n long")
              .groupBy("band", "level", "word").agg(F.sum("n").alias("n")).collect())     # at most bands x bins x 2 rows
     return limits_from({(r.band, r.level, r.word): r.n for r in table}, fdr, alpha)
 
@@ -189,9 +194,10 @@ def redacted_column(text: Column, limits: list[int], mark: str = "[SECRET]") ->
             at = max(at, s["end"])
         return "".join([*out, text[at:]]) if out else text
 
-    @F.pandas_udf("string")
-    def redact(texts: pd.Series) -> pd.Series:
-        return pd.Series([clean(t) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def redact(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([clean(t) for t in texts.slice(at, ROWS).to_pylist()], pa.string()) for at in range(0, len(texts), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return redact(text)
 

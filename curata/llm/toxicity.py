@@ -25,11 +25,13 @@ from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curata.llm.common import in_turn
 from curata.session import checkpointed
 
 _TOKENS, _IN = "__tokens", "__features"
@@ -73,9 +75,10 @@ class ToxicityChain:
                 out.append(_probability(model, found, out))
             return out
 
-        @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
-        def score(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([probabilities(t) for t in texts], columns=names)
+        @F.arrow_udf(", ".join(f"`{n}` double" for n in names))
+        def score(texts: pa.Array) -> pa.Array:
+            rows = [probabilities(t) for t in in_turn(texts)]
+            return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in range(len(names))], names)
 
         return score(text)
 

@@ -353,3 +353,22 @@ def test_every_quote_of_a_window_and_a_step_is_found(spark):
     changed = [(0, item[:40] + "々" + item[41:96])]
     again = decontaminate.find_leaks(spark.createDataFrame(changed, "doc_id long, text string"), spark.createDataFrame([(1, item[:96])], "item_id long, text string")).collect()
     assert [(r.doc_id, r.edits) for r in again] == [(0, 1)]
+
+
+def test_texts_are_judged_in_small_parts():
+    """What the search for benchmark items holds at a time is bounded, whatever a batch of Arrow holds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from curata.llm.common import in_turn
+
+    rnd = random.Random(9)
+    text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400))
+    index = decontaminate.Index([(1, text[:300])])
+    texts = pa.array([text[k % 50:] for k in range(1200)] + [None, ""])
+    tracemalloc.start()
+    found = [len(f) for part in decontaminate._batches(in_turn(texts)) for f in decontaminate.find_items(part, index)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [1] * 1200 + [0, 0] and peak < 40e6
