@@ -26,7 +26,7 @@ PAD, CLS, SEP, UNK = 0, 1, 2, 3
 MAX_LEN = 512
 HEAD_WORDS = 500_000        # words that encode_tokens broadcasts at most
 HEAD_BYTES = 16 << 20
-PART = 128                  # words of a note that go to Python in one row
+PART = 64                   # words of a note that go to Python in one row
 
 
 def extract_sections(df: DataFrame, text: str = "text", blank_brackets: bool = False) -> DataFrame:
