@@ -2,9 +2,10 @@
 
 A text is cut by the vocabulary's pattern; each match is encoded by itself.  A match that is a
 token is that token; otherwise its bytes are folded: the adjacent pair of lowest rank
-(leftmost first) is merged until no pair has a rank.  Every task folds each distinct match
-once and keeps the ids in a bounded memo.  Matches longer than ``LONG`` bytes use a
-heap of pairs, so one endless word costs n log n.
+(leftmost first) is merged until no pair has a rank.  Every task keeps the ids of matches in a
+bounded memo and folds the distinct matches of some texts that it does not know together: a match is a lane of
+NumPy arrays, and a step merges one pair of every lane.  Matches longer than ``LANE`` bytes are
+folded one by one, those longer than ``LONG`` through a heap of pairs, so one endless word costs n log n.
 
 Decoding stays in the JVM: ids look up a literal array of the pieces (as hex), the pieces are
 joined and turned to bytes.
@@ -20,6 +21,7 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,11 @@ from pyspark.sql import functions as F
 from curata.session import checkpointed
 
 LONG = 256          # bytes; longer matches are merged through a heap
-MEMO = 200_000      # matches that a task remembers
+LANE = 64           # bytes; longer matches are folded one by one
+LANES = 2048        # matches folded together
+MEMO = 100_000      # matches in each of the two halves of a task's memo
+MEMO_CHARS = 1 << 22    # and their characters
+_NONE = np.iinfo(np.int64).max
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -85,23 +91,101 @@ def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Memo(dict):
-    """match -> ids; folds what it does not know, forgets all when full."""
+class Merges:
+    """What pairs of pieces merge to, as arrays: made once on the driver.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
+    A piece is known by its rank (ranks are distinct); single bytes without one and the padding get numbers above all ranks."""
 
-    def __missing__(self, match: str) -> list[int]:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[match] = fold(match.encode("utf-8"), self.ranks)
-        return ids
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.above = ranks, max(ranks.values(), default=-1) + 1
+        self.padding = self.above + 256
+        parts = {bytes([b]): self.above + b for b in range(256)} | ranks
+        found = sorted((parts[token[:k]] * (self.padding + 1) + parts[token[k:]], rank) for token, rank in ranks.items()
+                       for k in range(1, len(token)) if token[:k] in parts and token[k:] in parts)
+        self.pairs, self.merged = np.array([*found, (_NONE, _NONE)], np.int64).T.copy()     # the last fits no pair
+        self.bytes = np.array([parts[bytes([b])] for b in range(256)], np.int64)
+        self.of_bytes = self.rank(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of pieces joined, or _NONE."""
+        pair = left * (self.padding + 1) + right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.merged[at], _NONE)
+
+    def fold_all(self, matches: list[str]) -> dict[str, bytes]:
+        """match -> its ids as 32-bit integers."""
+        out = {}
+        matches = sorted(matches, key=len)      # lanes of like length together
+        for at in range(0, len(matches), LANES):
+            pieces = {match: match.encode("utf-8") for match in matches[at:at + LANES]}
+            lanes = {match: piece for match, piece in pieces.items() if 1 < len(piece) <= LANE and piece not in self.ranks}
+            out |= {match: np.array(fold(piece, self.ranks), np.int32).tobytes() for match, piece in pieces.items() if match not in lanes}
+            if lanes:
+                ids, ends = self._fold_lanes(list(lanes.values()))
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                out |= {match: raw[i:j] for match, i, j in zip(lanes, [0, *ends], ends)}
+        return out
+
+    def _fold_lanes(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, where those of each end).
+
+        A column is a lane, a row a byte's place.  ``after`` and ``before`` link the places where pieces start; a last row of
+        padding stands before the first and after the last.  ``keys``: rank and place of the pair that starts there, in one number."""
+        size = np.array([len(p) for p in pieces])
+        n, width = len(pieces), int(size.max())
+        text = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width).T.astype(np.int64, order="C")
+        place = np.arange(width + 1)[:, None]
+        ids = np.full((width + 1, n), self.padding)
+        ids[:-1] = np.where(place[:-1] < size, self.bytes[text], self.padding)
+        keys = np.full((width + 1, n), _NONE)
+        first = self.of_bytes[text[:-1] * 256 + text[1:]]
+        keys[:-2] = np.where((place[1:-1] < size) & (first < _NONE), first * width + place[:-2], _NONE)
+        after, before = (place + 1).repeat(n), (place - 1).repeat(n)
+        before[:n] = width
+        flat_ids, flat_keys = ids.reshape(-1), keys.reshape(-1)
+        while True:
+            least = keys.min(axis=0)
+            lane = np.flatnonzero(least < _NONE)
+            if not len(lane):
+                break
+            rank, at = np.divmod(least[lane], width)
+            here = at * n + lane
+            gone = after[here] * n + lane
+            right = after[gone]
+            left = before[here]
+            flat_ids[here], flat_ids[gone], flat_keys[gone] = rank, self.padding, _NONE
+            after[here], before[right * n + lane] = right, at
+            for start, key in ((at, self.rank(rank, flat_ids[right * n + lane])), (left, self.rank(flat_ids[left * n + lane], rank))):
+                flat_keys[start * n + lane] = np.where(key < _NONE, key * width + start, _NONE)
+        kept = (ids < self.padding).T
+        found = ids.T[kept]
+        if (found >= self.above).any():
+            raise KeyError("a byte without a rank")
+        return found.astype(np.int32), kept.sum(axis=1).cumsum()
+
+
+class Memo:
+    """match -> ids, in two halves: when the newer one is full it becomes the older one, and what that held is forgotten
+    unless it was asked for meanwhile."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.ids, self.old, self.size = merges, {}, {}, 0
+
+    def learn(self, matches: set[str]) -> dict[str, bytes]:
+        """A map that holds the ids of all these matches."""
+        if len(self.ids) >= MEMO or self.size >= MEMO_CHARS:
+            self.old, self.ids, self.size = self.ids, {}, 0
+        new = matches.difference(self.ids)
+        back = {m: self.old[m] for m in new if m in self.old}
+        self.ids |= back
+        self.ids |= self.merges.fold_all([m for m in new if m not in back])
+        self.size += sum(map(len, new))
+        return self.ids
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 128) -> DataFrame:
     """(doc_id, ids): token ids of every text.  Tasks turn ``rows`` texts at a time into Python objects, so memory stays small."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(Merges(ranks))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +195,12 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                found = [list(chain.from_iterable(map(memo.__getitem__, find(t)))) if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                matches = [find(t) if t else [] for t in part.column(1).to_pylist()]
+                known = memo.learn(set(chain.from_iterable(matches))).__getitem__
+                found = [b"".join(map(known, m)) for m in matches]
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, f"doc_id {id_type}, ids array<int>")
 

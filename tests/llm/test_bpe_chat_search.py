@@ -37,6 +37,41 @@ def test_higher_order_folds_say_the_same(spark):
     assert sorted(map(key, byte_bpe.encode_by_words(docs, ranks, public_tokenizers.PATTERN).collect())) == sorted(map(key, byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).collect()))
 
 
+def test_matches_folded_together_are_folded_right():
+    """Lanes against single folds: real ranks, ranks in no order with tokens out of reach, bytes without a rank."""
+    rnd = random.Random(11)
+    words = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randrange(90))) for letters in ("ab", "abcd", "etaoin", "é漢ßx", "\0a\n") for _ in range(400)})
+    tokens = sorted({bytes(rnd.choice(b"abcd") for _ in range(rnd.randrange(2, 7))) for _ in range(600)} | {"é".encode(), "漢".encode()})
+    mixed = dict(zip([*tokens, *(bytes([b]) for b in range(256))], rnd.sample(range(5000), len(tokens) + 256)))
+    for ranks in (byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), mixed):
+        found = byte_bpe.Merges(ranks).fold_all(words)
+        assert {w: list(memoryview(ids).cast("i")) for w, ids in found.items()} == {w: byte_bpe.fold(w.encode(), ranks) for w in words}
+    few = {b"a": 0, b"b": 1, "é".encode(): 2, "aé".encode(): 3}         # the bytes of é have no rank, joined they have
+    for w in ("abaé", "ééb", "ba"):
+        assert list(memoryview(byte_bpe.Merges(few).fold_all([w])[w]).cast("i")) == byte_bpe.fold(w.encode(), few)
+    with pytest.raises(KeyError):
+        byte_bpe.Merges(few).fold_all(["abc"])
+
+
+def test_a_task_folds_new_matches_together_and_forgets_by_halves(monkeypatch):
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    single, together, fold, lanes = [], [], byte_bpe.fold, byte_bpe.Merges._fold_lanes
+    monkeypatch.setattr(byte_bpe, "fold", lambda piece, ranks: single.append(piece) or fold(piece, ranks))
+    monkeypatch.setattr(byte_bpe.Merges, "_fold_lanes", lambda self, pieces: together.extend(pieces) or lanes(self, pieces))
+    monkeypatch.setattr(byte_bpe, "MEMO", 40)
+    memo = byte_bpe.Memo(byte_bpe.Merges(ranks))
+    for i in range(30):
+        asked = {" qzalways", "the", "x" * 70} | {f" qz{i}w{k}" for k in range(20)}
+        known = memo.learn(asked)
+        assert {w: list(memoryview(known[w]).cast("i")) for w in asked} == {w: fold(w.encode(), ranks) for w in asked}
+        assert len(memo.ids) < 40 + len(asked) and len(memo.old) < 40 + len(asked)
+    assert sorted(single) == [b"the", b"x" * 70] and len(together) == len(set(together)) == 601
+    monkeypatch.setattr(byte_bpe, "MEMO_CHARS", 100)
+    for i in range(5):
+        memo.learn({f"{i}" * 150})
+        assert len(memo.ids) == 1 or i == 0
+
+
 def test_chat_events_fold(spark):
     events = [
         ("c", 1, 0, "message", "user", "hi <s>[x]&"), ("c", 2, 1, "message", "assistant", "He"), ("c", 3, 1, "delta", None, "llo"), ("c", 4, 1, "regenerate", None, "Bye"),
